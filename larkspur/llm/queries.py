@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspur.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary on this box; every operator takes the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.hashtree import shard_documents
 
