@@ -16,6 +16,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.pfor import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end=2)
+
+
+def op3_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op4_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.bpe import round_trip
 
