@@ -40,6 +40,12 @@ def op6_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.chat import format_conversations, with_probe
+
+    return format_conversations(with_probe(table(spark, sf_dir, "conversations")))
+
+
 def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.hashtree import shard_documents
 
