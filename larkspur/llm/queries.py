@@ -22,6 +22,12 @@ def op1_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end=2)
 
 
+def op2_containment_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.decontam import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.langid import identify
 
