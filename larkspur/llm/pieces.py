@@ -7,9 +7,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
-# The public splitting pattern of byte-level BPE vocabularies, and its form for pure ASCII text.
+# The public splitting pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+
+#: The same splits by the faster standard module, for text of ASCII, and of Latin letters alone.
+ASCII_PATTERN = r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+LATIN_PATTERN = r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+
+#: Characters below U+0250 that the two modules class differently, and all characters from there on.
+NOT_LATIN = "[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]"
 
 #: Pieces handed on at a time, so that a very long text needs no list of all its pieces.
 RUN = 200_000
@@ -19,12 +25,16 @@ RUN = 200_000
 def _patterns():
     import regex
 
-    return re.compile(ASCII_PATTERN), regex.compile(PATTERN)
+    return re.compile(ASCII_PATTERN), re.compile(LATIN_PATTERN), regex.compile(PATTERN), re.compile(NOT_LATIN)
+
+
+def _pattern(text: str):
+    plain, latin, full, other = _patterns()
+    return plain if text.isascii() else full if other.search(text) else latin
 
 
 def pieces(text: str) -> list[str]:
-    plain, full = _patterns()
-    return (plain if text.isascii() else full).findall(text)
+    return _pattern(text).findall(text)
 
 
 def piece_runs(text: str, run: int = RUN) -> Iterator[list[str]]:
@@ -32,8 +42,7 @@ def piece_runs(text: str, run: int = RUN) -> Iterator[list[str]]:
     if len(text) <= run:
         yield pieces(text)
         return
-    plain, full = _patterns()
-    found = (m.group() for m in (plain if text.isascii() else full).finditer(text))
+    found = (m.group() for m in _pattern(text).finditer(text))
     while part := list(islice(found, run)):
         yield part
 
