@@ -40,6 +40,12 @@ def op4_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.linechunks import remove_repeated_chunks
+
+    return remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.bpe import round_trip
 
@@ -52,6 +58,18 @@ def op7_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op8_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.subspace import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.parity import Join, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Join(words=4, p=85, q=100))
+
+
 def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.hashtree import shard_documents
 
@@ -63,4 +81,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from larkspur.llm import linechunks
+
+    return {"op5_line_chunks": linechunks.ORACLE}
