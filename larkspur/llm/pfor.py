@@ -20,11 +20,13 @@ speculative tasks leave no half files, and on any storage that Spark knows.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.bpe import byte_letters
 from larkspur.llm.common import scratch, shuffle_parts, written
-from larkspur.llm.pieces import piece_runs, special_matcher, split_specials
+from larkspur.llm.pieces import RUN, piece_runs, pieces, special_matcher, split_specials
 
 MAGIC, HEAD = b"LPF1", struct.Struct("<4sQIIQHIQI")
 BLOCK, PERCENTILE = 256, 0.90
@@ -53,19 +56,27 @@ def _widths(values: np.ndarray, percentile: float) -> np.ndarray:
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(rows.astype(">u4").view(np.uint8).reshape(*rows.shape, 4), axis=2)[:, :, 32 - width :]
-    return np.packbits(bits.reshape(len(rows), -1), axis=1)
+    """The low ``width`` bits of each value, most significant bit first; eight values fill ``width`` bytes."""
+    values = (rows.astype(np.uint64) & np.uint64((1 << width) - 1)).reshape(len(rows), -1, 8)
+    out = np.zeros((len(rows), values.shape[1], width + 5), np.uint8)
+    for k in range(8):
+        byte, shift = divmod(k * width, 8)
+        spread = values[:, :, k] << np.uint64(40 - width - shift)
+        for t in range((width + shift + 7) // 8):
+            out[:, :, byte + t] |= (spread >> np.uint64(32 - 8 * t)).astype(np.uint8)
+    return np.ascontiguousarray(out[:, :, :width]).reshape(len(rows), -1)
 
 
 def _unpack(packed: np.ndarray, width: int, size: int) -> np.ndarray:
-    bits = np.unpackbits(packed, axis=1)[:, : size * width].reshape(len(packed), size, width)
-    whole = 8 * -(-width // 8)
-    padded = np.zeros((len(packed), size, whole), np.uint8)
-    padded[:, :, whole - width :] = bits
-    out = np.zeros((len(packed), size), np.uint32)
-    for byte in np.moveaxis(np.packbits(padded, axis=2), 2, 0):
-        out = (out << np.uint32(8)) | byte
-    return out
+    bit = np.arange(size) * width
+    byte, shift = bit >> 3, (bit & 7).astype(np.uint64)
+    padded = np.zeros((len(packed), packed.shape[1] + 5), np.uint8)
+    padded[:, : packed.shape[1]] = packed
+    found = np.zeros((len(packed), size), np.uint64)
+    taken = (width + 14) // 8
+    for t in range(taken):
+        found = (found << np.uint64(8)) | padded[:, byte + t]
+    return ((found >> (np.uint64(8 * taken - width) - shift)) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[np.ndarray, bytes]:
@@ -166,32 +177,39 @@ def read_segments(content: bytes) -> Iterator[Segment]:
 
 
 class LibraryEncoder:
-    """Ids of the tokenizers library, with each distinct piece encoded by it once and looked up after that."""
+    """Ids of the tokenizers library's byte-level BPE model, which encodes each distinct piece once; later ones are looked up."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        from tokenizers.models import BPE
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec["model"]["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
+            raise ValueError("not a file of a byte-level BPE tokenizer")
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        self.model = BPE(vocab=spec["model"]["vocab"], merges=merges, cache_capacity=0)
+        self.specials = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.matcher = special_matcher(self.specials)
+        self.letters = [byte_letters()[b] for b in range(256)]
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def _learn(self, new: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        letters, tokenize, known = self.letters, self.model.tokenize, len(self.number)
+        found = [[t.id for t in tokenize("".join([letters[b] for b in piece.encode()]))] for piece in new]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total, known = int(sizes.sum()), len(self.number)
+        total = int(sizes.sum())
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while known + len(new) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.start[known : known + len(new)] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.ids[self.used : self.used + total] = list(chain.from_iterable(found))
+        self.start[known : known + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.length[known : known + len(new)] = sizes
         self.used += total
         self.number.update(zip(new, range(known, known + len(new)), strict=True))
@@ -203,28 +221,27 @@ class LibraryEncoder:
         if len(self.number) > CACHED_PIECES:
             self.clear()
         number = self.number
-        try:
-            codes = np.fromiter(map(number.__getitem__, run), np.int64, len(run))
-        except KeyError:
-            self._learn(list({p for p in run if p not in number}))
-            codes = np.fromiter(map(number.__getitem__, run), np.int64, len(run))
-        sizes = self.length[codes]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.start[codes] - ends + sizes, sizes) + np.arange(ends[-1])], ends
+        codes = list(map(number.get, run))
+        if None in codes:
+            self._learn(list({p for p, c in zip(run, codes, strict=True) if c is None}))
+            codes = list(map(number.__getitem__, run))
+        at = np.array(codes, np.int64)
+        sizes = self.length[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(ends[-1])], ends
 
     def encode_many(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of each text and the end id; short texts are looked up together."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         group, sizes, at = [], [], []
         for i, text in enumerate(texts):
-            special = self.matcher is not None and self.matcher.search(text)
-            if special or len(text) > BATCH_CHARS:
+            if any(x in text for x in self.specials) or len(text) > RUN:
                 parts = []
                 for stretch in split_specials(text, self.specials, self.matcher):
                     parts += [np.array([stretch], np.uint32)] if isinstance(stretch, int) else [self._run(r)[0] for r in piece_runs(stretch)]
                 out[i] = np.concatenate([*parts, np.array([end], np.uint32)])
             else:
-                found = [p for r in piece_runs(text) for p in r]
+                found = pieces(text)
                 group += found
                 sizes.append(len(found))
                 at.append(i)
