@@ -177,6 +177,28 @@ def predict(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, settings: Settings = Settings(), least: float = 0.1) -> DataFrame:
+    """``docs`` without rows of no learned language: no letter, or a closeness below ``least``; all columns stay.
+
+    Profiles are fitted on the rows that are not held out. Where no row has a language
+    there is nothing to judge by, and every row with a letter stays.
+    """
+    profiles = fit(docs.where(~held_out(F.col("doc_id"))), settings)
+
+    def clean(text: str | None) -> bool:
+        if not profiles.languages:
+            return bool(text) and len(letters_of(text)) > 0
+        language, score = profiles.predict(text)
+        return language != UND and score >= least
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.filter(pa.array([clean(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """A quarter of the rows, by a checksum of the id as text; a row without an id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
