@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from larkspur.plans import curation, search  # noqa: F401  registering is what the import is for
+from larkspur.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
