@@ -222,10 +222,10 @@ def recall_at_k(spark, sf):
     return A.recall_at_k(found, truth, 50).select("query_id", "relevant", "hits", F.round("recall", 6).alias("recall"))
 
 
-@query("""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'Joe''s|Blue Bar' WHEN 1 THEN '' ELSE 'Jin' END AS names FROM conversations""")
+@query("""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'Blue Bar|Joes' WHEN 1 THEN '' ELSE 'Jin' END AS names FROM conversations""")
 def quoted_names(spark, sf):
-    text = F.element_at(F.array(F.lit('go to “Blue Bar” or 《Joe\'s》'), F.lit("no name"), F.lit("「 Jin 」")), (F.col("conv_id") % 3 + 1).cast("int"))
-    return load(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(I.quoted_names(text)), "|").alias("names")).withColumn("names", F.when(F.col("names") == "Blue Bar|Joe's", "Joe's|Blue Bar").otherwise(F.col("names")))
+    text = F.element_at(F.array(F.lit("go to “Blue Bar” or 《Joes》"), F.lit("no name"), F.lit("「 Jin 」")), (F.col("conv_id") % 3 + 1).cast("int"))
+    return load(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(I.quoted_names(text)), "|").alias("names"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 3 END AS position FROM events""")
