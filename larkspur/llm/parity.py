@@ -13,10 +13,11 @@ empty segments. A set enters the band of its size, and the next one if a linked
 can lie there.
 
 Sets that are equal are one class before the join. Buckets of equal segments never emit all
-their pairs: every member is paired with the bucket's first member, links are verified,
-components formed, and only buckets that still hold several components are gone through
-again with other members in the lead; pairs across components are listed out only once
-few are left. Two members of a component need no check, so no link between components is lost.
+their pairs: every member is held against the nearest (by sketch) of its buckets' drawn
+leads, links are verified and components formed, and buckets that still hold several
+components are gone through again with other leads; pairs across components are looked at
+one by one only once few are left or leads no longer help. Two members of a component need
+no check, so no link between components is lost.
 
 Pairs pass a folded sketch of 512 bits first (its Hamming distance bounds the difference,
 too) and are then verified by the exact sizes of intersection and union of both texts'
@@ -45,11 +46,11 @@ BAND_GROWTH = 1.5
 #: 64-bit words of the folded sketch.
 FOLD = 8
 
-#: Most rows that are broadcast; pairs per document, below which the rest of a bucket's pairs are listed out.
-BROADCAST_ROWS, LISTED_PAIRS = 500_000, 2.0
+#: Most rows that are broadcast; pairs of bucket members per document, below which the pairs across components are looked at one by one.
+BROADCAST_ROWS, LISTED_PAIRS = 500_000, 64.0
 
-#: Rounds with new leads before pairs are listed out whatever their number.
-ROUNDS = 10
+#: Fewest and most rounds of leads, and the share of pairs that a round must leave at most for another to be worth it.
+LEAD_ROUNDS, ROUNDS, SHRUNK = 2, 10, 0.7
 
 
 @dataclass(frozen=True)
@@ -162,9 +163,18 @@ def _near(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     """Pairs (a, b) of nodes with the documents' ids and keys, without those whose sizes or folded sketches rule a link out."""
     side = lambda x: nodes.select(*[F.col(c).alias(f"{x}_{c}") for c in ("node", "doc_id", "n", "k1", "k2", "fold")])
     both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-    apart = sum((F.bit_count(F.get("a_fold", F.lit(i)).bitwiseXOR(F.get("b_fold", F.lit(i)))) for i in range(FOLD)), F.lit(0))
+    return both.where(_may_link(join)).select("a", "b", *[f"{x}_{c}" for x in "ab" for c in ("doc_id", "k1", "k2")])
+
+
+def _may_link(join: Join) -> Column:
+    """Whether sizes and folded sketches of a row's two sides allow a link."""
     sizes = F.least("a_n", "b_n") * join.q >= F.greatest("a_n", "b_n") * join.p
-    return both.where(sizes & (apart <= join.far(F.col("a_n"), F.col("b_n")))).select("a", "b", *[f"{x}_{c}" for x in "ab" for c in ("doc_id", "k1", "k2")])
+    return sizes & (_apart() <= join.far(F.col("a_n"), F.col("b_n")))
+
+
+def _apart() -> Column:
+    """Hamming distance of the folded sketches of a row's two sides."""
+    return sum((F.bit_count(F.get("a_fold", F.lit(i)).bitwiseXOR(F.get("b_fold", F.lit(i)))) for i in range(FOLD)), F.lit(0))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
@@ -207,34 +217,36 @@ def _linked(nodes: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     buckets = pieces.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x")).where("lo < hi")
     # buckets with the same members are one bucket
     buckets = written(buckets.groupBy("lo", "hi", "c", "x").agg(F.min("key").alias("key")), "buckets")
-    large = buckets.where("c > 2").select(F.col("key").alias("_key"), "lo")
-    members = written(pieces.join(_few(large), F.col("key") == F.col("_key")).select("key", "node", "lo"), "members")
-    pairs = buckets.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(members.where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))).distinct()
-    links = written(_verified(_near(pairs, nodes, join), docs, join), "links")
-    rest = members.where("node > lo").select("key", "node")
-    small = nodes.select(F.col("node").alias("_node"), "doc_id", "n", "fold", "k1", "k2")
-    total = nodes.count()
+    members = written(pieces.join(_few(buckets.select(F.col("key").alias("_key"))), F.col("key") == F.col("_key")).select("key", "node"), "members")
+    sketches = nodes.select(F.col("node").alias("_node"), "doc_id", "n", "fold")
+    rest = written(members.join(sketches, F.col("node") == F.col("_node")).drop("_node"), "rest")
+    links = nodes.sparkSession.createDataFrame([], "a long, b long")
+    total, before = nodes.count(), float("inf")
     for turn in range(1, ROUNDS + 1):
-        if rest.isEmpty():
-            break
-        labels = components(links)
-        labelled = rest.join(small, F.col("node") == F.col("_node")).join(labels.withColumnRenamed("node", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
-        labelled = labelled.select("key", "node", F.coalesce("component", "doc_id").alias("component"), F.xxhash64("node", F.lit(turn)).alias("draw"))
-        state = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("c"), F.min("draw").alias("d0"), F.max("draw").alias("d1")).where("c0 < c1")
-        state = state.withColumnRenamed("key", "_key")
-        open_rows = written(labelled.join(state, F.col("key") == F.col("_key")).select("key", "node", "component", "draw", "c", "d0", "d1"), "open")
-        sizes = open_rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.first("c").alias("c"))
-        listed = sizes.agg(F.coalesce(F.sum(F.col("n").cast("double") * (F.col("c") - F.col("n"))) / 2, F.lit(0.0))).first()[0]
+        if turn == 1:
+            labelled = rest.withColumn("component", F.col("doc_id"))
+        else:
+            labels = components(links).withColumnRenamed("node", "_doc")
+            labelled = rest.join(labels, F.col("doc_id") == F.col("_doc"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("_doc")
+        state = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("c")).where("c0 < c1").select(F.col("key").alias("_key"), "c")
+        rest = written(labelled.join(_few(written(state, "open-keys")), F.col("key") == F.col("_key")).drop("_key"), "open")
+        sizes = rest.groupBy("key", "component").agg(F.count("*").alias("m"), F.first("c").alias("c"))
+        listed = sizes.agg(F.coalesce(F.sum(F.col("m").cast("double") * (F.col("c") - F.col("m"))) / 2, F.lit(0.0))).first()[0]
         if not listed:
-            break
-        if listed <= LISTED_PAIRS * total or turn == ROUNDS:
-            left, right = (open_rows.select(F.col("key").alias(f"{x}_key"), F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab")
-            pairs = left.join(right, (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))).select("a", "b").distinct()
+            return links
+        if turn > LEAD_ROUNDS and (listed <= LISTED_PAIRS * total or listed > SHRUNK * before or turn == ROUNDS):
+            left, right = (rest.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("key", "component", "n", "fold")]) for x in "ab")
+            across = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
+            pairs = left.join(right, across & _may_link(join)).select("a", "b").distinct()
             return links.unionByName(_verified(_near(pairs, nodes, join), docs, join))
-        leads = open_rows.where("draw = d0 OR draw = d1").select(F.col("key").alias("_key"), F.col("node").alias("lead"), F.col("component").alias("_component"))
-        pairs = open_rows.join(leads, (F.col("key") == F.col("_key")) & (F.col("component") != F.col("_component"))).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        # each member is held against the nearest, by folded sketch, of one drawn member of each of its buckets
+        lead = F.min_by(F.struct("node", "component", "n", "fold"), F.xxhash64("node", F.lit(turn)))
+        leads = written(rest.groupBy(F.col("key").alias("a_key")).agg(lead.alias("l")).select("a_key", F.col("l.node").alias("a"), *[F.col(f"l.{c}").alias(f"a_{c}") for c in ("component", "n", "fold")]), "leads")
+        right = rest.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("key", "component", "n", "fold")])
+        met = right.join(_few(leads), (F.col("a_key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component")) & _may_link(join))
+        pairs = met.groupBy("b").agg(F.min_by("a", _apart()).alias("a")).select("a", "b")
         links = written(links.unionByName(_verified(_near(pairs, nodes, join), docs, join)), "links")
-        rest = open_rows.where("draw != d0 AND draw != d1").select("key", "node")
+        rest, before = rest.drop("component", "c"), listed
     return links
 
 
