@@ -124,15 +124,18 @@ def test_line_chunks_against_sql(spark):
     key = lambda df: sorted(map(tuple, df[["doc_id", "text", "n_removed", "removed_chars"]].astype(object).where(df.notna(), None).values.tolist()))
     assert key(got) == key(want)
     by = got.set_index("doc_id")
-    assert by["n_removed"].sum() > 10 and by.loc[26, "text"] == ""
+    # of a copy only what was no multi-line chunk stays: single lines at either end
+    assert by["n_removed"].sum() > 10 and len(by.loc[26, "text"].split("\n")) <= 2
     assert by.loc[28, "text"] == by.loc[29, "text"] == "\n\n\n\n" and by.loc[20, "text"] == "a\n\n\n\nb\n"
 
 
 def test_line_chunks_edges(spark):
     text = "\n".join(prose(5) for _ in range(20))
     docs = spark.createDataFrame([(1, text, 5), (1, text, 6), (None, text, 7), (2, text, 8)], "doc_id long, text string, n_removed int")
-    got = [(r["doc_id"], r["text"] == text, r["text"] == "") for r in linechunks.remove_repeated_chunks(docs).collect()]
-    assert sorted(got, key=str) == sorted([(None, True, False), (1, False, True), (1, False, True), (2, False, True)], key=str)
+    rows = linechunks.remove_repeated_chunks(docs).collect()
+    assert len(rows) == 4 and {r["doc_id"]: r["text"] == text for r in rows} == {None: True, 1: False, 2: False}
+    assert len({r["text"] for r in rows if r["doc_id"] == 1}) == 1  # equal rows are one document
+    assert all(len(r["text"].split("\n")) <= 2 for r in rows if r["doc_id"] is not None)
     assert linechunks.remove_repeated_chunks(docs.limit(0)).count() == 0
 
 

@@ -54,7 +54,7 @@ def test_no_python_on_the_path_of_shards(spark):
 
 def test_pipeline(spark, tmp_path):
     english = "the cat and the dog saw that this was the house of the other one with a lot of things in it"
-    base = [" ".join(f"{w}{(i * 7 + k) % 13}" if k % 3 == 0 else w for k, w in enumerate(english.split() * 3)) + f" number{i} ends" * 3 for i in range(20)]
+    base = [" ".join(f"{w}{i}{k % 5}" if k % 3 == 0 else w for k, w in enumerate(english.split() * 3)) + f" number{i} ends" * 3 for i in range(20)]
     item = "which of these nine answers is the right one for the question asked here today"
     shared = "\n".join(f"shared line number {k} with words of its own" for k in range(12))
     data = [(i, t, "en", "s", len(t)) for i, t in enumerate(base)]
