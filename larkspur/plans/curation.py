@@ -144,10 +144,10 @@ def cuisine_tags(spark, sf):
     return load(spark, sf, "part").select("p_partkey", F.array_join(T.cuisine_tags(categories), "|").alias("tags"), T.is_food_place(categories).alias("food"))
 
 
-@query("""SELECT p_partkey, CAST(CASE WHEN regexp_full_match(trim(raw), '\\${1,4}') THEN length(trim(raw)) END AS INTEGER) AS level FROM (SELECT p_partkey, repeat('$', CAST(p_size % 7 AS INTEGER)) || CASE WHEN p_partkey % 5 = 0 THEN ' ' WHEN p_partkey % 5 = 1 THEN 'x' ELSE '' END AS raw FROM part)""")
+@query("""SELECT p_partkey, CAST(CASE WHEN regexp_full_match(trim(raw), '\\${1,4}') THEN length(trim(raw)) ELSE 0 END AS INTEGER) AS level FROM (SELECT p_partkey, repeat('$', CAST(p_size % 7 AS INTEGER)) || CASE WHEN p_partkey % 5 = 0 THEN ' ' WHEN p_partkey % 5 = 1 THEN 'x' ELSE '' END AS raw FROM part)""")
 def price_levels(spark, sf):
     raw = F.concat(F.repeat(F.lit("$"), F.col("p_size") % 7), F.when(F.col("p_partkey") % 5 == 0, " ").when(F.col("p_partkey") % 5 == 1, "x").otherwise(""))
-    return load(spark, sf, "part").select("p_partkey", T.price_level(raw).alias("level"))
+    return load(spark, sf, "part").select("p_partkey", F.coalesce(T.price_level(raw), F.lit(0)).alias("level"))
 
 
 @query(f"""WITH {TEXTS}, t AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 0 ELSE rating END AS rating, CASE WHEN doc_id % 19 = 0 THEN -5 WHEN doc_id % 23 = 0 THEN 1893456000000 ELSE 1500000000000 + doc_id * 1000 END AS ms, text FROM texts)

@@ -11,13 +11,14 @@ from larkspur.sources.tables import events, load
 
 
 def _halves(spark, sf):
-    rows = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderstatus").alias("status"))
-    old = rows.where("o_orderkey % 3 <> 0").select((F.col("o_custkey")).alias("k"), "o_orderkey", "o_totalprice", "status")
-    return K.latest(old.where("o_orderkey % 2 = 0"), ["k"], [F.col("o_orderkey")]), old.where("o_orderkey % 2 = 1")
+    """Current rows (one for each of most customers) and all other orders as incoming ones."""
+    rows = load(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("status"))
+    current = (F.col("o_orderkey") % 2 == 0) & (F.col("k") % 5 != 0)
+    return K.latest(rows.where(current), ["k"], [F.col("o_orderkey")]), rows.where(~current)
 
 
-_OLD = "SELECT * FROM (SELECT o_custkey AS k, o_orderkey, o_totalprice, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0) WHERE rn = 1"
-_NEW = "SELECT o_custkey AS k, o_orderkey, o_totalprice, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 1"
+_OLD = "SELECT * FROM (SELECT o_custkey AS k, o_orderkey, o_totalprice, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 5 <> 0) WHERE rn = 1"
+_NEW = "SELECT o_custkey AS k, o_orderkey, o_totalprice, o_orderstatus AS status FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_custkey % 5 <> 0)"
 
 
 @query(f"""WITH old AS ({_OLD}), new AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o_orderkey DESC) AS rn FROM ({_NEW}))
@@ -159,10 +160,10 @@ def idempotent_confirm(spark, sf):
 
 
 @query("""WITH b AS (SELECT 'slot-' || (c_custkey) || '-20240105-1800' AS slot_id, c_custkey % 9 AS booked FROM customer), s AS (SELECT c_custkey AS restaurant_id, d AS slot_date, t AS slot_time,
-'slot-' || c_custkey || '-' || strftime(d, '%Y%m%d') || '-' || replace(t, ':', '') AS slot_id FROM customer, (VALUES (DATE '2024-01-05'), (DATE '2024-01-06')) v(d), (VALUES ('17:00'), ('18:00'), ('19:00'), ('20:00'), ('21:00')) w(t) WHERE c_custkey < 200)
+'slot-' || c_custkey || '-' || strftime(d, '%Y%m%d') || '-' || replace(t, ':', '') AS slot_id FROM customer, (VALUES (DATE '2024-01-05'), (DATE '2024-01-06')) v(d), (VALUES ('17:00'), ('18:00'), ('19:00'), ('20:00'), ('21:00')) w(t))
 SELECT restaurant_id, slot_id, CAST(8 - coalesce(booked, 0) AS BIGINT) AS remaining FROM s LEFT JOIN b USING (slot_id) WHERE 8 - coalesce(booked, 0) >= 3""")
 def slot_availability(spark, sf):
-    places = load(spark, sf, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("restaurant_id"))
+    places = load(spark, sf, "customer").select(F.col("c_custkey").alias("restaurant_id"))
     dates = spark.sql("SELECT explode(array(DATE '2024-01-05', DATE '2024-01-06')) AS slot_date")
     booked = load(spark, sf, "customer").select(S.slot_id(F.col("c_custkey"), F.lit("2024-01-05").cast("date"), F.lit("18:00")).alias("slot_id"), (F.col("c_custkey") % 9).alias("booked"))
     return S.availability(places, dates, booked, 8, 3).select("restaurant_id", "slot_id", "remaining")

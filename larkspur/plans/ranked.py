@@ -15,28 +15,28 @@ from larkspur.sources.tables import KDOCS, PLACES, TEXTS, events, kdocs, load, p
 
 
 def _queries(spark, sf):
-    return kdocs(spark, sf).where("document_id < 8").select(F.col("document_id").alias("query_id"), "scope", "embedding")
+    return kdocs(spark, sf).where("document_id % 20 = 0").select(F.col("document_id").alias("query_id"), "scope", "embedding")
 
 
 _SIM = "greatest(0.0, least(1.0, list_cosine_similarity(d.embedding, q.embedding)))"
 
 
 @query(f"""WITH {KDOCS} SELECT query_id, document_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT q.document_id AS query_id, d.document_id, {_SIM} AS score,
-row_number() OVER (PARTITION BY q.document_id ORDER BY {_SIM} DESC, d.document_id) AS rank FROM kdocs d JOIN kdocs q ON d.scope = q.scope WHERE q.document_id < 8) WHERE rank <= 5""")
+row_number() OVER (PARTITION BY q.document_id ORDER BY {_SIM} DESC, d.document_id) AS rank FROM kdocs d JOIN kdocs q ON d.scope = q.scope WHERE q.document_id % 20 = 0) WHERE rank <= 5""")
 def cosine_topk(spark, sf):
     return R.vector_hits(kdocs(spark, sf), _queries(spark, sf), ["scope"], 5).select("query_id", "document_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {KDOCS} SELECT query_id, document_id, round(score, 6) AS score FROM (SELECT q.document_id AS query_id, d.document_id, {_SIM} AS score,
-row_number() OVER (PARTITION BY q.document_id ORDER BY {_SIM} DESC, d.document_id) AS rank FROM kdocs d JOIN kdocs q ON d.scope = q.scope WHERE q.document_id < 8 AND {_SIM} >= 0.3) WHERE rank <= 20""")
+row_number() OVER (PARTITION BY q.document_id ORDER BY {_SIM} DESC, d.document_id) AS rank FROM kdocs d JOIN kdocs q ON d.scope = q.scope WHERE q.document_id % 20 = 0 AND {_SIM} >= 0.3) WHERE rank <= 20""")
 def similarity_floor(spark, sf):
     return R.vector_hits(kdocs(spark, sf), _queries(spark, sf), ["scope"], 20, floor=R.REVIEW_FLOOR).select("query_id", "document_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {KDOCS} SELECT query_id, restaurant_id, document_id, round(score, 6) AS score FROM (SELECT q.document_id AS query_id, d.restaurant_id, d.document_id, {_SIM} AS score,
-row_number() OVER (PARTITION BY q.document_id, d.restaurant_id ORDER BY {_SIM} DESC, d.document_id) AS rn FROM kdocs d JOIN kdocs q ON d.scope = q.scope WHERE q.document_id < 8 AND d.restaurant_id % 2 = 0) WHERE rn = 1""")
+row_number() OVER (PARTITION BY q.document_id, d.restaurant_id ORDER BY {_SIM} DESC, d.document_id) AS rn FROM kdocs d JOIN kdocs q ON d.scope = q.scope WHERE q.document_id % 20 = 0) WHERE rn = 1""")
 def pool_rescore_best(spark, sf):
-    pool = _queries(spark, sf).select("query_id").join(kdocs(spark, sf).where("restaurant_id % 2 = 0").select("restaurant_id").distinct())
+    pool = _queries(spark, sf).select("query_id").join(F.broadcast(kdocs(spark, sf).select("restaurant_id").distinct().limit(40)))  # 40 places by construction
     return R.pool_scores(kdocs(spark, sf), _queries(spark, sf), pool, ["scope"]).select("query_id", "restaurant_id", "document_id", F.round("score", 6).alias("score"))
 
 
@@ -61,14 +61,14 @@ def token_containment(spark, sf):
     return load(spark, sf, "part").select("p_partkey", F.round(V.token_containment(F.lit("Red bolt  x"), F.col("p_name")), 6).alias("score"))
 
 
-@query(f"""WITH {_ASKED}, s AS (SELECT query_id, p_partkey AS id, {_TRI.replace("name", "p_name").replace("p_p_name", "p_name")} AS score FROM q LEFT JOIN part ON contains(lower(p_name), text) AND p_partkey % 50 = query_id),
+@query(f"""WITH {_ASKED}, s AS (SELECT query_id, p_partkey AS id, {_TRI.replace("name", "p_name").replace("p_p_name", "p_name")} AS score FROM q LEFT JOIN part ON contains(lower(p_name), text)),
 g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn, lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, id) AS second FROM s WHERE score >= 0.55)
-SELECT q.query_id, CASE WHEN g.id IS NULL THEN 'not_found' WHEN g.score - second < 0.1 THEN 'ambiguous' ELSE 'resolved' END AS status, g.id, round(g.score, 6) AS score FROM q LEFT JOIN g ON g.query_id = q.query_id AND rn = 1""")
+SELECT q.query_id, CASE WHEN g.id IS NULL THEN 'not_found' WHEN g.score - second < 0.1 THEN 'ambiguous' ELSE 'resolved' END AS status, coalesce(g.id, -1) AS id, round(g.score, 6) AS score FROM q LEFT JOIN g ON g.query_id = q.query_id AND rn = 1""")
 def resolve_name(spark, sf):
     items = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("address"))
-    hits = R.text_hits(items.where("id % 50 BETWEEN 1 AND 4"), _asked(spark), 1 << 30).where(F.col("id") % 50 == F.col("query_id"))
+    hits = R.text_hits(items, _asked(spark), 1 << 30)
     matches = _asked(spark).select("query_id").join(hits.select("query_id", "id", "score"), "query_id", "left")
-    return R.resolve_names(matches).select("query_id", "status", "id", F.round("score", 6).alias("score"))
+    return R.resolve_names(matches).select("query_id", "status", F.coalesce("id", F.lit(-1).cast("long")).alias("id"), F.round("score", 6).alias("score"))
 
 
 @query("""SELECT conv_id, turn, CAST(m AS INTEGER) AS matched FROM (SELECT conv_id, turn, CAST(contains(lower(text), 'the') AS INTEGER) + CAST(contains(lower(text), 'tion') AS INTEGER) + CAST(contains(lower(text), 'zzz') AS INTEGER) AS m FROM conversations) WHERE m > 0 ORDER BY m DESC, conv_id, turn LIMIT 40""")
@@ -80,12 +80,12 @@ def memory_terms(spark, sf):
 
 # ---- fusion: three channels over places, with many queries in one plan
 
-_HITS = f"""{PLACES}, {KDOCS}, hits AS (
-  SELECT b.q AS query_id, 'structured' AS channel, restaurant_id, 1.0::DOUBLE AS score FROM places JOIN (VALUES (0, 'asia'), (1, 'europe'), (2, 'africa')) b(q, area) ON borough = area WHERE is_active AND rating >= 3.0
-  UNION ALL SELECT restaurant_id % 3, 'keyword', restaurant_id, round((restaurant_id % 17) / 17.0::DOUBLE, 6) FROM places WHERE restaurant_id % 5 = 0
+_HITS = f"""{PLACES}, {KDOCS}, asked(q, area) AS (VALUES (0, 'asia'), (1, 'europe'), (2, 'africa')), hits AS (
+  SELECT q AS query_id, 'structured' AS channel, restaurant_id, 1.0::DOUBLE AS score FROM places JOIN asked ON borough = area WHERE is_active AND rating >= 3.0
+  UNION ALL SELECT q, 'keyword', restaurant_id, round(((restaurant_id + q) % 17) / 17.0::DOUBLE, 6) FROM places, asked WHERE contains(name, '7')
   UNION ALL SELECT q.document_id, 'vector', d.document_id, round({_SIM}, 6) FROM kdocs d JOIN kdocs q ON q.document_id < 3
-  UNION ALL SELECT restaurant_id % 3, 'review', restaurant_id, round((restaurant_id % 23) / 23.0::DOUBLE, 6) FROM places WHERE restaurant_id % 7 = 0
-  UNION ALL SELECT restaurant_id % 3, 'review', restaurant_id, 0.01::DOUBLE FROM places WHERE restaurant_id % 14 = 0),
+  UNION ALL SELECT q, 'review', restaurant_id, round(((restaurant_id + q) % 23) / 23.0::DOUBLE, 6) FROM places, asked WHERE contains(name, '3')
+  UNION ALL SELECT q, 'review', restaurant_id, 0.01::DOUBLE FROM places, asked WHERE contains(name, '33')),
  pool AS (SELECT q AS query_id, restaurant_id, CASE WHEN rating > 0 THEN 4.0 + (rating - 4.0) * rating_count / (rating_count + 50.0) ELSE 0.0 END AS prior FROM places, (VALUES (0), (1), (2)) v(q) WHERE is_active)"""
 _BEST = "best AS (SELECT h.query_id, h.channel, h.restaurant_id, max(score) AS raw FROM hits h SEMI JOIN pool p ON h.query_id = p.query_id AND h.restaurant_id = p.restaurant_id GROUP BY 1, 2, 3)"
 _WEIGHT = "CASE channel WHEN 'structured' THEN 1.0 WHEN 'keyword' THEN 0.5 WHEN 'vector' THEN 1.0 ELSE 0.8 END"
@@ -100,10 +100,11 @@ def _hits(spark, sf):
     all_places = places(spark, sf)
     areas = spark.createDataFrame([(0, "asia"), (1, "europe"), (2, "africa")], "query_id long, borough string")
     hit = lambda df, q, channel, score: df.select(q.cast("long").alias("query_id"), F.lit(channel).alias("channel"), "restaurant_id", score.cast("double").alias("score"))
-    rid = F.col("restaurant_id")
+    score = lambda n: F.round(((F.col("restaurant_id") + F.col("query_id")) % n) / float(n), 6)
+    each = all_places.join(F.broadcast(areas.select("query_id")))  # three queries
     structured = hit(all_places.where("is_active AND rating >= 3.0").join(F.broadcast(areas), "borough"), F.col("query_id"), "structured", F.lit(1.0))
-    keyword = hit(all_places.where(rid % 5 == 0), rid % 3, "keyword", F.round((rid % 17) / 17.0, 6))
-    review = hit(all_places.where(rid % 7 == 0), rid % 3, "review", F.round((rid % 23) / 23.0, 6)).unionByName(hit(all_places.where(rid % 14 == 0), rid % 3, "review", F.lit(0.01)))
+    keyword = hit(each.where(F.contains("name", F.lit("7"))), F.col("query_id"), "keyword", score(17))
+    review = hit(each.where(F.contains("name", F.lit("3"))), F.col("query_id"), "review", score(23)).unionByName(hit(each.where(F.contains("name", F.lit("33"))), F.col("query_id"), "review", F.lit(0.01)))
     asked = kdocs(spark, sf).where("document_id < 3").select(F.col("document_id").alias("query_id"), F.lit(1).alias("one"), "embedding")
     near = R.vector_hits(kdocs(spark, sf).withColumn("one", F.lit(1)), asked, ["one"], 1 << 30)
     vector = near.select("query_id", F.lit("vector").alias("channel"), F.col("document_id").alias("restaurant_id"), F.round("score", 6).alias("score"))
@@ -130,11 +131,11 @@ def unknown_hits(spark, sf):
     return R.unknown_hits(hits, pool)
 
 
-@query(f"""WITH {_HITS}, ex AS (SELECT query_id, 'review' AS channel, restaurant_id, round((restaurant_id % 11) / 11.0::DOUBLE, 6) AS score FROM pool WHERE restaurant_id % 3 = 0)
+@query(f"""WITH {_HITS}, ex AS (SELECT query_id, 'review' AS channel, restaurant_id, round((restaurant_id % 11) / 11.0::DOUBLE, 6) AS score FROM pool WHERE prior > 3.5)
 SELECT query_id, channel, restaurant_id, score FROM hits WHERE channel <> 'review' UNION ALL SELECT query_id, channel, restaurant_id, score FROM ex WHERE score >= 0.3""")
 def rescore_overlay(spark, sf):
     hits, pool = _hits(spark, sf)
-    exact = pool.where("restaurant_id % 3 = 0").select("query_id", F.lit("review").alias("channel"), "restaurant_id", F.round((F.col("restaurant_id") % 11) / 11.0, 6).alias("score"))
+    exact = pool.where("prior > 3.5").select("query_id", F.lit("review").alias("channel"), "restaurant_id", F.round((F.col("restaurant_id") % 11) / 11.0, 6).alias("score"))
     return R.rescored(hits, exact, {"review": 0.3})
 
 
@@ -212,8 +213,8 @@ def drop_reasons(spark, sf):
     return A.drop_summary(rows, "k")
 
 
-@query(f"""WITH {KDOCS}, r AS (SELECT q.document_id AS query_id, d.document_id AS id, row_number() OVER (PARTITION BY q.document_id ORDER BY {_SIM} DESC, d.document_id) AS rank FROM kdocs d JOIN kdocs q ON q.document_id < 8),
-t AS (SELECT q.document_id AS query_id, d.document_id AS id FROM kdocs d JOIN kdocs q ON d.scope = q.scope AND q.document_id < 8), n AS (SELECT query_id, count(*) AS relevant FROM t GROUP BY 1)
+@query(f"""WITH {KDOCS}, r AS (SELECT q.document_id AS query_id, d.document_id AS id, row_number() OVER (PARTITION BY q.document_id ORDER BY {_SIM} DESC, d.document_id) AS rank FROM kdocs d JOIN kdocs q ON q.document_id % 20 = 0),
+t AS (SELECT q.document_id AS query_id, d.document_id AS id FROM kdocs d JOIN kdocs q ON d.scope = q.scope AND q.document_id % 20 = 0), n AS (SELECT query_id, count(*) AS relevant FROM t GROUP BY 1)
 SELECT n.query_id, relevant, count(t.id) AS hits, round(count(t.id) / least(relevant, 50)::DOUBLE, 6) AS recall FROM n LEFT JOIN (SELECT * FROM r WHERE rank <= 50) r USING (query_id) LEFT JOIN t ON t.query_id = n.query_id AND t.id = r.id GROUP BY 1, 2""")
 def recall_at_k(spark, sf):
     asked = _queries(spark, sf).withColumn("one", F.lit(1)).select("query_id", "one", "embedding")
@@ -228,10 +229,10 @@ def quoted_names(spark, sf):
     return load(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(I.quoted_names(text)), "|").alias("names"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 3 END AS position FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 3 ELSE 0 END AS position FROM events""")
 def reference_positions(spark, sf):
     text = F.element_at(F.array(*map(F.lit, ("the second one", "the last", "第三家", "number 9"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return events(spark, sf).select("event_id", I.referred_position(text, F.lit(5)).alias("position"))
+    return events(spark, sf).select("event_id", F.coalesce(I.referred_position(text, F.lit(5)), F.lit(0)).alias("position"))
 
 
 @query("""SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS kept FROM events""")

@@ -48,10 +48,10 @@ def array_any_of(spark, sf):
     return load(spark, sf, "part").where(F.arrays_overlap(F.split("p_name", " "), F.array(F.lit("red"), F.lit("ring")))).select("p_partkey")
 
 
-@query("""SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS DISTINCT FROM 1""")
+@query("""SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS DISTINCT FROM 1""")
 def null_safe_model_diff(spark, sf):
     joined = load(spark, sf, "documents").select("doc_id").join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return joined.where(~F.col("quality").eqNullSafe(1)).select("doc_id", "quality")
+    return joined.where(~F.col("quality").eqNullSafe(1)).select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
 @query("""SELECT doc_id, has_label, preview FROM (SELECT d.doc_id, l.doc_id IS NOT NULL AS has_label, CASE WHEN d.doc_id % 2 = 0 THEN left(d.text, 16) END AS preview
@@ -109,9 +109,9 @@ def anti_join_unmatched(spark, sf):
     return load(spark, sf, "documents").select("doc_id", "source").join(load(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("""SELECT coalesce(c_mktsegment, 'unmatched') AS segment, count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey GROUP BY 1""")
+@query("""SELECT coalesce(c_mktsegment, 'unmatched') AS segment, count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey GROUP BY 1""")
 def id_map_left_join(spark, sf):
-    known = load(spark, sf, "customer").where(F.col("c_custkey") % 3 != 0).select("c_custkey", "c_mktsegment")
+    known = load(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_mktsegment")
     joined = load(spark, sf, "orders").select("o_custkey").join(known, F.col("o_custkey") == F.col("c_custkey"), "left")
     return joined.groupBy(F.coalesce("c_mktsegment", F.lit("unmatched")).alias("segment")).agg(F.count("*").alias("n"))
 
