@@ -72,7 +72,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     again = written(each.join(_few(keys), "key", "left_semi").select("key", "chunk", "doc_id", "_text", "pos"), "chunks")
     place = F.struct("doc_id", "_text", "pos")
     firsts = again.groupBy("key", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    firsts = firsts.select(F.col("key").alias("_key"), F.col("chunk").alias("_chunk"), "first")
+    # written, so that the join has two plain exchanges and Spark can split a passage with a large share
+    firsts = written(firsts.select(F.col("key").alias("_key"), F.col("chunk").alias("_chunk"), "first"), "chunk-firsts")
     matched = again.join(firsts, (F.col("key") == F.col("_key")) & (F.col("chunk") == F.col("_chunk")))
     return matched.where(place > F.col("first")).select("doc_id", "_text", "pos")
 
