@@ -197,35 +197,55 @@ class LibraryEncoder:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.start, self.length, self.seen = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def _trim(self) -> None:
+        """Keep the pieces that were met most, half of the table at most and none that was met once only."""
+        known = len(self.number)
+        seen = self.seen[:known]
+        kept = np.flatnonzero(seen >= max(2, np.partition(seen, known // 2)[known // 2] + 1))
+        names, sizes, starts = list(self.number), self.length[kept], self.start[kept]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        ids = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        names = [names[i] for i in kept.tolist()]
+        self.clear()
+        self._store(names, ids, sizes.astype(np.int64))
 
     def _learn(self, new: list[str]) -> None:
-        letters, tokenize, known = self.letters, self.model.tokenize, len(self.number)
-        found = [[t.id for t in tokenize("".join([letters[b] for b in piece.encode()]))] for piece in new]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        while self.used + total > len(self.ids):
+        letters, tokenize = self.letters, self.model.tokenize
+        blank = letters[32]
+        # most pieces are a blank and ASCII letters, each of which stands for itself
+        spelled = [blank + p[1:] if p[0] == " " and p[1:].isalpha() and p.isascii() else "".join([letters[b] for b in p.encode()]) for p in new]
+        found = [[t.id for t in tokenize(piece)] for piece in spelled]
+        self._store(new, np.array(list(chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _store(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        known = len(self.number)
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while known + len(new) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.ids[self.used : self.used + total] = list(chain.from_iterable(found))
-        self.start[known : known + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.length[known : known + len(new)] = sizes
-        self.used += total
-        self.number.update(zip(new, range(known, known + len(new)), strict=True))
+        while known + len(names) > len(self.start):
+            self.start, self.length, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.seen))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[known : known + len(names)] = self.used + np.cumsum(sizes) - sizes
+        self.length[known : known + len(names)] = sizes
+        self.used += len(ids)
+        self.number.update(zip(names, range(known, known + len(names)), strict=True))
 
     def _run(self, run: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of pieces, and the number of ids up to each piece's end."""
         if not run:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.number) > CACHED_PIECES:
-            self.clear()
+            self._trim()
         number = self.number
         codes = list(map(number.get, run))
         if None in codes:
-            self._learn(list({p for p, c in zip(run, codes, strict=True) if c is None}))
-            codes = list(map(number.__getitem__, run))
+            unseen = [i for i, c in enumerate(codes) if c is None]
+            self._learn(list({run[i] for i in unseen}))
+            for i in unseen:
+                codes[i] = number[run[i]]
         at = np.array(codes, np.int64)
+        self.seen[: len(number)] += np.bincount(at, minlength=len(number)).astype(np.int32)
         sizes = self.length[at]
         ends = np.cumsum(sizes, dtype=np.int64)
         return self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(ends[-1])], ends

@@ -147,3 +147,13 @@ def test_token_files(spark, library):
         at += len(ids)
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got if r["doc_id"] is not None) == sorted(w for w in want if w[0] is not None)
     assert pfor.token_files(rows(spark).limit(0), PATH, end=2).count() == 0
+
+
+def test_trimmed_tables_change_nothing(library, monkeypatch):
+    """Pieces are dropped from the lookup table and learnt again."""
+    monkeypatch.setattr(pfor, "CACHED_PIECES", 40)
+    encoder, rng = pfor.LibraryEncoder(PATH), random.Random(9)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["the", "of", f"x{rng.randrange(500)}", "é"]) for _ in range(20)) for _ in range(3)]
+        assert [x.tolist() for x in encoder.encode_many(texts, 2)] == [[*expected(library, t), 2] for t in texts]
+    assert len(encoder.number) < 200
