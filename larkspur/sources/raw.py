@@ -70,6 +70,7 @@ def curate_places(raw: DataFrame) -> DataFrame:
     reason = F.when(blank("gmap_id"), "missing_id").when(~food, "not_food").when(~valid, "coordinates").when(~served, "outside_area").when(blank("name"), "missing_name")
     misc = labels_of(F.col("MISC"))
     return raw.select(
+        *[c for c in ("line_no",) if c in raw.columns],
         F.when(reason.isNull(), "accept").when(reason.isin("not_food", "outside_area"), "filter").otherwise("reject").alias("outcome"), reason.alias("reason"), "gmap_id", F.trim("name").alias("name"),
         F.trim(F.coalesce("address", F.lit(""))).alias("address"), X.cuisine_tags(F.col("category")).alias("cuisine_tags"), X.price_level(F.col("price")).alias("price_level"),
         F.col("avg_rating").alias("source_avg"), X.snapshot_status(F.col("state")).alias("snapshot_status"), geo.area_by_box(lat, lon).alias("borough"), lat.alias("lat"), lon.alias("lon"),
