@@ -197,7 +197,7 @@ class LibraryEncoder:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length, self.seen = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.start, self.length, self.seen = (np.zeros(1 << 14, np.int32) for _ in range(3))
 
     def _trim(self) -> None:
         """Keep the pieces that were met most, half of the table at most and none that was met once only."""
@@ -247,8 +247,8 @@ class LibraryEncoder:
         at = np.array(codes, np.int64)
         self.seen[: len(number)] += np.bincount(at, minlength=len(number)).astype(np.int32)
         sizes = self.length[at]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        return self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(ends[-1])], ends
+        ends = np.cumsum(sizes, dtype=np.int32)
+        return self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(ends[-1], dtype=np.int32)], ends
 
     def encode_many(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of each text and the end id; short texts are looked up together."""

@@ -10,12 +10,12 @@ from itertools import islice
 # The public splitting pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: The same splits by the faster standard module, for text of ASCII, and of Latin letters alone.
+#: The same splits by the faster standard module, for text of ASCII, and of Latin-1 alone.
 ASCII_PATTERN = r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 LATIN_PATTERN = r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
-#: Characters below U+0250 that the two modules class differently, and all characters from there on.
-NOT_LATIN = "[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]"
+#: Latin-1 characters that the two modules class differently.
+ODD_LATIN = bytes([*range(0x1C, 0x20), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
 
 #: Pieces handed on at a time, so that a very long text needs no list of all its pieces.
 RUN = 200_000
@@ -25,12 +25,18 @@ RUN = 200_000
 def _patterns():
     import regex
 
-    return re.compile(ASCII_PATTERN), re.compile(LATIN_PATTERN), regex.compile(PATTERN), re.compile(NOT_LATIN)
+    return re.compile(ASCII_PATTERN), re.compile(LATIN_PATTERN), regex.compile(PATTERN)
 
 
 def _pattern(text: str):
-    plain, latin, full, other = _patterns()
-    return plain if text.isascii() else full if other.search(text) else latin
+    plain, latin, full = _patterns()
+    if text.isascii():
+        return plain
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return full
+    return latin if len(data.translate(None, ODD_LATIN)) == len(data) else full
 
 
 def pieces(text: str) -> list[str]:
