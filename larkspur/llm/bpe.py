@@ -31,10 +31,11 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from larkspur.llm.common import rest_worker
 from larkspur.llm.pieces import piece_runs, special_matcher, split_specials
 
 #: Pieces up to this many characters are kept; the table starts anew beyond so many entries.
-CACHED_CHARS, CACHED_PIECES = 48, 500_000
+CACHED_CHARS, CACHED_PIECES = 48, 150_000
 
 #: How a pair's rank and the resulting id share one integer; NONE stands for a pair that never merges.
 ID_BITS = 24
@@ -278,5 +279,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 rows = [digest_text(t.as_py(), path) for t in part.column(1)]
                 counts, of_ids, of_text = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        rest_worker()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

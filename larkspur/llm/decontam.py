@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shingles import mix, plain_words, shingle_set, shingles
+from larkspur.llm.common import rest_worker
+from larkspur.llm.shingles import forget_words, mix, plain_words, shingle_set, shingles
 
 WORDS, THRESHOLD = 5, 0.8
 PERMUTATIONS, GROWTH = 64, 1.25
@@ -147,6 +148,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thresh
                 if rows:
                     names, items, n, of = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in names], batch.column(0).type), pa.array(items, pa.int64()), pa.array(n, pa.int64()), pa.array(of, pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
+            forget_words()
+            rest_worker()
 
         found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, n_shared long, n_item long")
         out = found if out is None else out.unionByName(found)
@@ -164,6 +167,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thresh
                 at = batch.schema.get_field_index("text")
                 clean = pa.array([not shared.value.matches(t.as_py()) for t in batch.column(at)], pa.bool_())
                 yield batch.filter(clean)
+            forget_words()
+            rest_worker()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import rest_worker
+
 UND = "und"
 
 
@@ -172,6 +174,7 @@ def predict(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFrame:
                 part = batch.slice(at, 512)
                 found = [profiles.predict(t.as_py()) for t in part.column(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*keep, "lang_pred", "score"])
+        rest_worker()
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, "text").mapInArrow(run, f"{fields}, lang_pred string, score double")
@@ -195,6 +198,7 @@ def keep_identified(docs: DataFrame, settings: Settings = Settings(), least: flo
         for batch in batches:
             at = batch.schema.get_field_index("text")
             yield batch.filter(pa.array([clean(t.as_py()) for t in batch.column(at)], pa.bool_()))
+        rest_worker()
 
     return docs.mapInArrow(run, docs.schema)
 

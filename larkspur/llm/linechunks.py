@@ -20,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import discard, written
 
 #: Most rows of 64-bit keys, or of decisions per document, that are broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 MIN_LINES = 2
 
@@ -62,7 +62,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, _text (hash of the whole text) and pos of every chunk occurrence that is to go."""
+    """doc_id, _text (hash of the whole text) and _gone, the positions of the chunks that are to go; written."""
     several = docs.select("doc_id", "text").where(F.contains("text", F.lit("\n")))
     chunked = with_chunks(several).withColumn("_text", F.xxhash64("text"))
     each = chunked.select("doc_id", "_text", "_lines", F.posexplode("_chunks").alias("pos", "c")).where(F.col("c.last") - F.col("c.first") + 1 >= MIN_LINES)
@@ -75,7 +75,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     # written, so that the join has two plain exchanges and Spark can split a passage with a large share
     firsts = written(firsts.select(F.col("key").alias("_key"), F.col("chunk").alias("_chunk"), "first"), "chunk-firsts")
     matched = again.join(firsts, (F.col("key") == F.col("_key")) & (F.col("chunk") == F.col("_chunk")))
-    return matched.where(place > F.col("first")).select("doc_id", "_text", "pos")
+    out = written(matched.where(place > F.col("first")).groupBy("doc_id", "_text").agg(F.collect_set("pos").alias("_gone")), "chunks-gone")
+    discard(keys, again, firsts)
+    return out
 
 
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -86,8 +88,7 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     chunks go, the empty string is left. Columns named n_removed or removed_chars are
     replaced; an empty table gives an empty result.
     """
-    gone = written(repeated_chunks(docs).groupBy("doc_id", "_text").agg(F.collect_set("pos").alias("_gone")), "chunks-gone")
-    gone = _few(gone.select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), "_gone"))
+    gone = _few(repeated_chunks(docs).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), "_gone"))
     columns = [c for c in docs.columns if c not in ("n_removed", "removed_chars")]
     joined = docs.select(*columns).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")) & F.contains("text", F.lit("\n")), "left")
     chunked = with_chunks(joined, F.col("_gone").isNotNull())

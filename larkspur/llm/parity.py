@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import discard, free_shuffles, rest_worker, written
 from larkspur.llm.graph import components
-from larkspur.llm.shingles import ascii_words, mix, shingle_set
+from larkspur.llm.shingles import ascii_words, forget_words, mix, shingle_set
 
 #: Ratio of the bounds of a size band.
 BAND_GROWTH = 1.5
@@ -46,8 +46,11 @@ BAND_GROWTH = 1.5
 #: 64-bit words of the folded sketch.
 FOLD = 8
 
-#: Most rows that are broadcast; pairs of bucket members per document, below which the pairs across components are looked at one by one.
-BROADCAST_ROWS, LISTED_PAIRS = 500_000, 64.0
+#: Most rows of one number that are broadcast, 16 MB of them.
+BROADCAST_KEYS = 1_000_000
+
+#: Most other rows that are broadcast; pairs of bucket members per document, below which the pairs across components are looked at one by one.
+BROADCAST_ROWS, LISTED_PAIRS = 150_000, 64.0
 
 #: Fewest and most rounds of leads, and the share of pairs that a round must leave at most for another to be worth it.
 LEAD_ROUNDS, ROUNDS, SHRUNK = 2, 10, 0.7
@@ -150,13 +153,16 @@ def _sketches(docs: DataFrame, join: Join) -> DataFrame:
                     ],
                     ["doc_id", "n", "k1", "k2", "fold", "keys"],
                 )
+        forget_words()
+        rest_worker()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, fold array<long>, keys array<long>")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
@@ -178,9 +184,10 @@ def _apart() -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) between doc_ids among pairs of nodes, by the exact sets of both texts."""
-    ids = _few(written(pairs.select(F.explode(F.array("a_doc_id", "b_doc_id")).alias("_id")).distinct(), "pair-ids"))
-    texts = written(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi").distinct(), "pair-texts")
+    """Links (a, b) between doc_ids among pairs of nodes, by the exact sets of both texts; written."""
+    pairs = written(pairs, "pairs")
+    ids = written(pairs.select(F.explode(F.array("a_doc_id", "b_doc_id")).alias("_id")).distinct(), "pair-ids")
+    texts = written(docs.select("doc_id", "text").join(_few(ids), F.col("doc_id") == F.col("_id"), "left_semi").distinct(), "pair-texts")
     side = lambda x: texts.select(F.col("doc_id").alias(f"_{x}"), F.col("text").alias(f"{x}_text"))
     both = pairs.join(side("b"), F.col("b_doc_id") == F.col("_b")).join(side("a"), F.col("a_doc_id") == F.col("_a"))
 
@@ -200,9 +207,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
                     links.append((a.as_py(), b.as_py()))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+        forget_words()
+        rest_worker()
 
     picked = both.select("a_doc_id", "b_doc_id", "a_k1", "a_k2", "b_k1", "b_k2", "a_text", "b_text")
-    return picked.mapInArrow(run, "a long, b long")
+    found = written(picked.mapInArrow(run, "a long, b long"), "links")
+    discard(pairs, ids, texts)
+    return found
 
 
 def _set_and_keys(text: str | None, join: Join) -> tuple[np.ndarray, int, int]:
@@ -211,17 +222,23 @@ def _set_and_keys(text: str | None, join: Join) -> tuple[np.ndarray, int, int]:
     return found, signed(mix(found).sum(dtype=np.uint64)), signed(np.bitwise_xor.reduce(found)) if len(found) else 0
 
 
-def _linked(nodes: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) between the doc_ids of classes that join the same classes as all links do."""
+def _linked(nodes: DataFrame, docs: DataFrame, join: Join, spent: DataFrame) -> DataFrame:
+    """Links (a, b) between the doc_ids of classes that join the same classes as all links do; ``spent`` is discarded once ``nodes`` has been read."""
     pieces = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = pieces.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x")).where("lo < hi")
-    # buckets with the same members are one bucket
-    buckets = written(buckets.groupBy("lo", "hi", "c", "x").agg(F.min("key").alias("key")), "buckets")
-    members = written(pieces.join(_few(buckets.select(F.col("key").alias("_key"))), F.col("key") == F.col("_key")).select("key", "node"), "members")
-    sketches = nodes.select(F.col("node").alias("_node"), "doc_id", "n", "fold")
-    rest = written(members.join(sketches, F.col("node") == F.col("_node")).drop("_node"), "rest")
+    # buckets with the same members (by first member, number and parity of the members' codes) are one bucket
+    counts = pieces.groupBy("key").agg(F.min("node").alias("lo"), F.count("*").alias("c"), F.bit_xor("node").alias("x")).where("c > 1")
+    repeated = written(counts, "repeated-keys")
+    free_shuffles(nodes.sparkSession)
+    chosen = written(repeated.groupBy("lo", "c", "x").agg(F.min("key").alias("_key")).select("_key"), "buckets")
+    found = written(pieces.join(_few(chosen, BROADCAST_KEYS), F.col("key") == F.col("_key")).select("key", "node").distinct(), "bucket-members")
+    alone = found.groupBy("key").agg(F.count("*").alias("c")).where("c = 1").select(F.col("key").alias("_key"))  # one document, repeated
+    members = written(found.join(_few(written(alone, "alone")), F.col("key") == F.col("_key"), "left_anti"), "members")
+    slim = written(nodes.select("node", "doc_id", "n", "k1", "k2", "fold"), "nodes")
+    rest = written(members.join(slim.select(F.col("node").alias("_node"), "doc_id", "n", "fold"), F.col("node") == F.col("_node")).drop("_node"), "rest")
+    discard(repeated, chosen, found, members, spent)
+    free_shuffles(nodes.sparkSession)
     links = nodes.sparkSession.createDataFrame([], "a long, b long")
-    total, before = nodes.count(), float("inf")
+    total, before = slim.count(), float("inf")
     for turn in range(1, ROUNDS + 1):
         if turn == 1:
             labelled = rest.withColumn("component", F.col("doc_id"))
@@ -229,7 +246,9 @@ def _linked(nodes: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
             labels = components(links).withColumnRenamed("node", "_doc")
             labelled = rest.join(labels, F.col("doc_id") == F.col("_doc"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("_doc")
         state = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("c")).where("c0 < c1").select(F.col("key").alias("_key"), "c")
-        rest = written(labelled.join(_few(written(state, "open-keys")), F.col("key") == F.col("_key")).drop("_key"), "open")
+        keys = written(state, "open-keys")
+        old, rest = rest, written(labelled.join(_few(keys), F.col("key") == F.col("_key")).drop("_key"), "open")
+        discard(old, keys)
         sizes = rest.groupBy("key", "component").agg(F.count("*").alias("m"), F.first("c").alias("c"))
         listed = sizes.agg(F.coalesce(F.sum(F.col("m").cast("double") * (F.col("c") - F.col("m"))) / 2, F.lit(0.0))).first()[0]
         if not listed:
@@ -238,15 +257,19 @@ def _linked(nodes: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
             left, right = (rest.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("key", "component", "n", "fold")]) for x in "ab")
             across = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
             pairs = left.join(right, across & _may_link(join)).select("a", "b").distinct()
-            return links.unionByName(_verified(_near(pairs, nodes, join), docs, join))
+            return links.unionByName(_verified(_near(pairs, slim, join), docs, join))
         # each member is held against the nearest, by folded sketch, of one drawn member of each of its buckets
         lead = F.min_by(F.struct("node", "component", "n", "fold"), F.xxhash64("node", F.lit(turn)))
         leads = written(rest.groupBy(F.col("key").alias("a_key")).agg(lead.alias("l")).select("a_key", F.col("l.node").alias("a"), *[F.col(f"l.{c}").alias(f"a_{c}") for c in ("component", "n", "fold")]), "leads")
         right = rest.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("key", "component", "n", "fold")])
         met = right.join(_few(leads), (F.col("a_key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component")) & _may_link(join))
         pairs = met.groupBy("b").agg(F.min_by("a", _apart()).alias("a")).select("a", "b")
-        links = written(links.unionByName(_verified(_near(pairs, nodes, join), docs, join)), "links")
-        rest, before = rest.drop("component", "c"), listed
+        links = links.unionByName(_verified(_near(pairs, slim, join), docs, join))
+        discard(leads)
+        before = listed
+        narrow = rest.drop("component", "c")
+        narrow.scratch_path = rest.scratch_path
+        rest = narrow
     return links
 
 
@@ -259,13 +282,16 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     document with several sets. Other columns are not read.
     """
     sketches = written(_sketches(docs, join), "sketches")
-    some = sketches.where("n > 0")
+    sizes = written(sketches.select("doc_id", "n", "k1", "k2"), "sizes")
+    some = sizes.where("n > 0")
     classes = written(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    own = some.select("doc_id", "n", "k1", "k2", "fold", "keys").where(F.size("keys") > 0)
+    own = sketches.where(F.size("keys") > 0)
     reps = classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "rep")
-    nodes = own.join(reps, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("doc_id") == F.col("rep")), "left_semi")
+    # rows that stand behind another row of their class; they are few, or else the join is by shuffle
+    behind = written(some.select("doc_id", "k1", "k2").join(reps, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).where("doc_id != rep").select(F.col("doc_id").alias("_doc"), "_k1", "_k2").distinct(), "behind")
+    nodes = own.join(_few(behind), (F.col("doc_id") == F.col("_doc")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left_anti")
     nodes = nodes.withColumn("node", F.xxhash64("doc_id", "k1", "k2"))
-    links = written(_linked(nodes, docs, join), "all-links")
+    links = written(_linked(nodes, docs, join, sketches), "all-links")
     rows = some.select("doc_id", "n", "k1", "k2").join(classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "rep"), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     several = rows.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # a doc_id with several sets ties their classes together; with one set it only follows its class
@@ -273,7 +299,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     ties = several.join(twice, F.col("a") == F.col("_twice"), "left_semi")
     labels = components(links.unionByName(ties)).withColumnRenamed("node", "_node")
     joined = rows.join(labels, F.col("rep") == F.col("_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    none = sketches.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    none = sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.unionByName(none).unionByName(_without_id(docs, join))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words whose hashes a worker keeps; the table starts anew beyond.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 150_000
 
 WORD = re.compile(r"\w+")
 _PLAIN = bytes(ord(c.lower()) if (c := chr(b)).isascii() and (c.isalnum() or c == "_") else 32 for b in range(256))
@@ -28,6 +28,11 @@ class WordCodes(dict):
 _codes = WordCodes()
 
 
+def forget_words() -> None:
+    """Empty the table of word hashes; at a task's end, since a word costs little to hash again."""
+    _codes.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on each other."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
