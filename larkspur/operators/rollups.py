@@ -48,10 +48,11 @@ def duplicates(df: DataFrame, key: Column) -> DataFrame:
 
 def topic_rollup(texts: DataFrame) -> DataFrame:
     """Per place and topic: texts, mean rating, positive share, and the mean's offset from the place's mean."""
-    means = texts.groupBy("restaurant_id").agg(F.avg("rating").alias("place_mean"))
+    means = texts.groupBy(F.col("restaurant_id").alias("_place")).agg(F.avg("rating").alias("place_mean"))
     tagged = texts.select("restaurant_id", "rating", F.explode(topics(F.col("text"))).alias("topic"))
     per = tagged.groupBy("restaurant_id", "topic").agg(F.count("*").alias("n"), F.avg("rating").alias("mean_rating"), F.avg((F.col("rating") >= 4).cast("double")).alias("positive_ratio"))
-    return per.join(means, F.col("restaurant_id").eqNullSafe(means["restaurant_id"]), "left").select(per["restaurant_id"], "topic", "n", "mean_rating", "positive_ratio", (F.col("mean_rating") - F.col("place_mean")).alias("sentiment"))
+    joined = per.join(means, F.col("restaurant_id").eqNullSafe(F.col("_place")), "left")
+    return joined.select("restaurant_id", "topic", "n", "mean_rating", "positive_ratio", (F.col("mean_rating") - F.col("place_mean")).alias("sentiment"))
 
 
 def top_keywords(texts: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
