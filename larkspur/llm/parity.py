@@ -130,14 +130,14 @@ def fold(found: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, join: Join) -> DataFrame:
-    """Of each row with a doc_id: doc_id, n, two keys of its set, folded sketch and segment codes."""
+    """Of each row with a doc_id: doc_id, row (a number of its own), n, two keys of its set, folded sketch and segment codes."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sizes, sums, xors, folds, keys = [], [], [], [], []
-                for text in part.column(1):
+                for text in part.column(2):
                     found = shingle_set(ascii_words(text.as_py() or ""), join.words)
                     sizes.append(len(found))
                     sums.append(int(mix(found).sum(dtype=np.uint64)) if len(found) else 0)
@@ -147,17 +147,18 @@ def _sketches(docs: DataFrame, join: Join) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(xors, np.uint64).view(np.int64)),
+                        part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(xors, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, FOLD * (len(keys) + 1), FOLD, dtype=np.int32)), pa.array(np.concatenate(folds))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
                     ],
-                    ["doc_id", "n", "k1", "k2", "fold", "keys"],
+                    ["doc_id", "row", "n", "k1", "k2", "fold", "keys"],
                 )
         forget_words()
         rest_worker()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, fold array<long>, keys array<long>")
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").where("doc_id IS NOT NULL")
+    return numbered.mapInArrow(run, f"doc_id {kind}, row long, n long, k1 long, k2 long, fold array<long>, keys array<long>")
 
 
 def _few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -282,14 +283,14 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     document with several sets. Other columns are not read.
     """
     sketches = written(_sketches(docs, join), "sketches")
-    sizes = written(sketches.select("doc_id", "n", "k1", "k2"), "sizes")
+    sizes = written(sketches.select("doc_id", "row", "n", "k1", "k2"), "sizes")
     some = sizes.where("n > 0")
-    classes = written(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(some.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "row")).alias("lead")).select("k1", "k2", "n", F.col("lead.doc_id").alias("rep"), F.col("lead.row").alias("lead")), "classes")
     own = sketches.where(F.size("keys") > 0)
-    reps = classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "rep")
-    # rows that stand behind another row of their class; they are few, or else the join is by shuffle
-    behind = written(some.select("doc_id", "k1", "k2").join(reps, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).where("doc_id != rep").select(F.col("doc_id").alias("_doc"), "_k1", "_k2").distinct(), "behind")
-    nodes = own.join(_few(behind), (F.col("doc_id") == F.col("_doc")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left_anti")
+    leads = classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "lead")
+    # every row but one of its class, repeats of the representative too, so that a node is one row; they are few, or else the join is by shuffle
+    behind = written(some.select("row", "k1", "k2").join(leads, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).where("row != lead").select(F.col("row").alias("_row")), "behind")
+    nodes = own.join(_few(behind), F.col("row") == F.col("_row"), "left_anti")
     nodes = nodes.withColumn("node", F.xxhash64("doc_id", "k1", "k2"))
     links = written(_linked(nodes, docs, join, sketches), "all-links")
     rows = some.select("doc_id", "n", "k1", "k2").join(classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "rep"), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))

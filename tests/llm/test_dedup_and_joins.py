@@ -205,6 +205,24 @@ def test_equal_ids_with_unlike_texts_are_one_document(spark):
     assert parity.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_hide_no_link(spark):
+    """Stars of a hub and two leaves that share a key with the hub each, but none all three; every row occurs twice."""
+    gen, join, stars = random.Random(5), parity.Join(), []
+    word = lambda: f"v{gen.randrange(10**6)}"
+    own = lambda t: set(join.keys(parity.shingle_set(ascii_words(" ".join(t)), join.words)).tolist())
+    while len(stars) < 12:
+        hub = [word() for _ in range(13)]
+        star = [hub, [word(), *hub[1:]], [*hub[:-1], word()]]  # 8 of 10 shingles are shared with the hub, 7 of 11 between leaves
+        a, b, c = map(own, star)
+        if a & b and a & c and not a & b & c:
+            stars.append(star)
+    rows = [(3 * i + k, " ".join(t)) for i, star in enumerate(stars) for k, t in enumerate(star)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3)
+    got = parity.near_duplicates(docs).collect()
+    assert len(got) == 2 * len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 3 * 3 for i, _ in rows}
+
+
 def test_pigeonhole_holds():
     """Linked sets share a key whatever their sizes."""
     gen = np.random.default_rng(1)
