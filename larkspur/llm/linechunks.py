@@ -67,6 +67,11 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     chunked = with_chunks(several).withColumn("_text", F.xxhash64("text"))
     each = chunked.select("doc_id", "_text", "_lines", F.posexplode("_chunks").alias("pos", "c")).where(F.col("c.last") - F.col("c.first") + 1 >= MIN_LINES)
     each = each.select("doc_id", "_text", "pos", _chunk_text(F.col("c")).alias("chunk")).where(F.length(F.trim(F.translate("chunk", "\n\r\t", ""))) > 0)
+    return _repeats(each)
+
+
+def _repeats(each: DataFrame) -> DataFrame:
+    """doc_id, _text and _gone: every pos of a document whose chunk, compared as bytes, occurs at an earlier place; written."""
     each = each.withColumn("key", F.xxhash64("chunk"))
     keys = written(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "chunk-keys")
     again = written(each.join(_few(keys), "key", "left_semi").select("key", "chunk", "doc_id", "_text", "pos"), "chunks")
@@ -101,6 +106,44 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     )
 
 
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, _text and _gone: the numbers of the lines that, with the line behind them, occur at an earlier place; written."""
+    several = docs.select("doc_id", "text").where(F.contains("text", F.lit("\n"))).withColumn("_text", F.xxhash64("text"))
+    lines = _held(several.select("doc_id", "_text", "text"), "_lines", F.split("text", "\n", -1)).drop("text")
+    pairs = F.zip_with(F.slice("_lines", F.lit(1), F.size("_lines") - 1), F.slice("_lines", F.lit(2), F.size("_lines") - 1), lambda a, b: F.concat(a, F.lit("\n"), b))
+    return _repeats(lines.select("doc_id", "_text", F.posexplode(pairs).alias("pos", "chunk")))
+
+
+def remove_repeated_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated multi-line passages of any place taken out of ``text``, and n_removed (passages) and removed_chars.
+
+    Two neighbouring lines repeat if they are neighbours, in this order, at an earlier place by
+    (doc_id, line number). Lines joined by such pairs are a passage; it goes whole unless it is
+    all blank. Whatever stands around it, every repeated passage of two lines or more is thus
+    covered, repeated chunks among them; the first place of each distinct line stays. Nulls,
+    texts of one line, repeated rows and columns are treated as by ``remove_repeated_chunks``.
+    """
+    gone = _few(repeated_pairs(docs).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), F.array_sort("_gone").alias("_gone")))
+    columns = [c for c in docs.columns if c not in ("n_removed", "removed_chars")]
+    joined = docs.select(*columns).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")) & F.contains("text", F.lit("\n")), "left")
+    g = F.col("_gone")
+    out = _held(joined, "_lines", F.when(g.isNotNull(), F.split("text", "\n", -1)))
+    first = F.filter(g, lambda x, k: F.coalesce(F.get(g, k - 1) != x - 1, F.lit(True)))
+    last = F.transform(F.filter(g, lambda x, k: F.coalesce(F.get(g, k + 1) != x + 1, F.lit(True))), lambda x: x + 1)
+    out = _held(out, "_runs", F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last"))))
+    out = _held(out, "_goes", F.filter("_runs", lambda c: F.length(F.trim(F.translate(_chunk_text(c), "\n\r\t", ""))) > 0))
+    r = F.col("_goes")
+    # what stands before each passage, and behind the last
+    between = F.transform(F.concat(r, F.array(F.struct(F.size("_lines").alias("first"), F.size("_lines").alias("last")))), lambda c, k: F.struct(F.coalesce(F.get(r, k - 1)["last"] + 1, F.lit(0)).alias("first"), (c["first"] - 1).alias("last")))
+    out = _held(out, "_stay", F.filter(between, lambda c: c["first"] <= c["last"]))
+    rest = _held(out, "_new", F.coalesce(F.array_join(F.transform("_stay", _chunk_text), "\n"), F.col("text")))
+    return rest.select(
+        *[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns],
+        F.when(r.isNull(), 0).otherwise(F.size(r)).alias("n_removed"),
+        F.coalesce(F.length("text") - F.length("_new"), F.lit(0)).alias("removed_chars"),
+    )
+
+
 #: The same in DuckDB, for rows of documents whose doc_id is unique.
 ORACLE = """
 WITH lines AS (

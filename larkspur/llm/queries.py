@@ -46,6 +46,12 @@ def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.linechunks import remove_repeated_passages
+
+    return remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.bpe import round_trip
 

@@ -129,6 +129,55 @@ def test_line_chunks_against_sql(spark):
     assert by.loc[28, "text"] == by.loc[29, "text"] == "\n\n\n\n" and by.loc[20, "text"] == "a\n\n\n\nb\n"
 
 
+def without_passages(data):
+    """By plain loops: lines that are in a pair that was seen before go, run by run, unless all of a run is blank."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(data):
+        lines = text.split("\n")
+        again = []
+        for pair in zip(lines, lines[1:], strict=False):
+            again.append(pair in seen)
+            seen.add(pair)
+        kept, i, n = [], 0, 0
+        while i < len(lines):
+            j = i
+            while j < len(again) and again[j]:
+                j += 1
+            if j > i and "".join(lines[i : j + 1]).strip():
+                n += 1
+            else:
+                kept += lines[i : j + 1]
+            i = j + 1
+        out[doc_id] = ("\n".join(kept), n)
+    return out
+
+
+def test_short_passages_in_the_middle_go(spark):
+    data, whole = [], {}
+    for n in range(2, 7):
+        for k in range(4):
+            passage = [prose(52 // n + 1) for _ in range(n)]
+            for copy in range(3):
+                data.append((len(data), "\n".join([*[prose(9) for _ in range(3 + copy)], *passage, *[prose(9) for _ in range(4)]])))
+                whole[data[-1][0]] = copy, passage
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in linechunks.remove_repeated_passages(docs).collect()}
+    for i, text in data:
+        copy, passage = whole[i]
+        left = [x for x in text.split("\n") if x not in passage] if copy else text.split("\n")
+        assert (got[i]["text"], got[i]["n_removed"]) == ("\n".join(left), int(copy > 0))
+        assert got[i]["removed_chars"] == len(text) - len(got[i]["text"])
+
+
+def test_passages_against_loops(spark):
+    data = [(i, t) for i, t in line_docs(spark) if t is not None]
+    data += [(40, "q r\ns t\nu"), (41, "p\nq r\ns t\nu\nv\nq r\ns t"), (42, "s t\nu\n\n\nw")]
+    docs = spark.createDataFrame([*data, (90, None)], "doc_id long, text string").repartition(4)
+    rows = {r["doc_id"]: r for r in linechunks.remove_repeated_passages(docs).collect()}
+    assert rows[90]["text"] is None and rows[90]["n_removed"] == 0
+    assert {i: (rows[i]["text"], rows[i]["n_removed"]) for i, _ in data} == without_passages(data)
+
+
 def test_line_chunks_edges(spark):
     text = "\n".join(prose(5) for _ in range(20))
     docs = spark.createDataFrame([(1, text, 5), (1, text, 6), (None, text, 7), (2, text, 8)], "doc_id long, text string, n_removed int")
