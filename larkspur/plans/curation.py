@@ -8,7 +8,7 @@ from larkspur.functions import interpret as I
 from larkspur.functions import text as T
 from larkspur.operators import evidence as E
 from larkspur.operators import rollups as A
-from larkspur.plans.registry import query
+from larkspur.plans.registry import SQL, query
 from larkspur.sources.tables import PLACES, REVIEWS, TEXTS, events, load, places, reviews, texts
 
 
@@ -114,11 +114,21 @@ def pii_scrub(spark, sf):
 @query(f"""WITH {PLACES} SELECT restaurant_id, round(CASE WHEN restaurant_id % 29 = 0 THEN -100.0 ELSE 0.5 + 0.5 + 1.0 + CASE WHEN restaurant_id % 3 = 0 THEN 1.5 ELSE 0 END + CASE WHEN rating IS NOT NULL THEN 0.5 ELSE 0 END
 + CASE WHEN rating_count > 0 THEN log10(1 + rating_count) * 1.5 ELSE 0 END END, 6) AS score FROM places ORDER BY score DESC, restaurant_id LIMIT 2000""")
 def knowledge_score(spark, sf):
+    return _scores(spark, sf).orderBy(F.col("score").desc(), "restaurant_id").limit(2000)
+
+
+def _scores(spark, sf):
     score = T.knowledge_score(
         description=F.col("restaurant_id") % 3 == 0, address=F.col("address") != "", location=F.col("lat").isNotNull(), cuisine=F.size("cuisines") > 0, rating=F.col("rating").isNotNull(),
         text_reviews=F.col("rating_count"), closed=F.col("restaurant_id") % 29 == 0,
     )
-    return places(spark, sf).select("restaurant_id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "restaurant_id").limit(2000)
+    return places(spark, sf).select("restaurant_id", F.round(score, 6).alias("score"))
+
+
+@query(SQL["knowledge_score"].removesuffix(" ORDER BY score DESC, restaurant_id LIMIT 2000"))
+def knowledge_score_all(spark, sf):
+    """The score of every place."""
+    return _scores(spark, sf)
 
 
 @query(f"""WITH {PLACES} SELECT restaurant_id, round(CASE WHEN rating > 0 THEN 4.0 + (rating - 4.0) * rating_count / (rating_count + 50.0) ELSE 0 END, 6) AS prior FROM places""")
