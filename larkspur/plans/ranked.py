@@ -10,7 +10,7 @@ from larkspur.operators import evidence as E
 from larkspur.operators import filters as P
 from larkspur.operators import ranking as R
 from larkspur.operators import rollups as A
-from larkspur.plans.registry import query
+from larkspur.plans.registry import SQL, query
 from larkspur.sources.tables import KDOCS, PLACES, TEXTS, events, kdocs, load, places, texts
 
 
@@ -87,6 +87,12 @@ _HITS = f"""{PLACES}, {KDOCS}, asked(q, area) AS (VALUES (0, 'asia'), (1, 'europ
   UNION ALL SELECT q, 'review', restaurant_id, round(((restaurant_id + q) % 23) / 23.0::DOUBLE, 6) FROM places, asked WHERE contains(name, '3')
   UNION ALL SELECT q, 'review', restaurant_id, 0.01::DOUBLE FROM places, asked WHERE contains(name, '33')),
  pool AS (SELECT q AS query_id, restaurant_id, CASE WHEN rating > 0 THEN 4.0 + (rating - 4.0) * rating_count / (rating_count + 50.0) ELSE 0.0 END AS prior FROM places, (VALUES (0), (1), (2)) v(q) WHERE is_active)"""
+_BOROUGHS = ("africa", "america", "asia", "europe", "middle east")
+#: The same with every twentieth document as a query.
+_HITS_ALL = (
+    _HITS.replace("asked(q, area) AS (VALUES (0, 'asia'), (1, 'europe'), (2, 'africa'))", f"asked AS (SELECT document_id AS q, list_extract({list(_BOROUGHS)}, CAST(document_id // 20 % {len(_BOROUGHS)} + 1 AS BIGINT)) AS area FROM kdocs WHERE document_id % 20 = 0)")
+    .replace("q.document_id < 3", "q.document_id % 20 = 0").replace("(VALUES (0), (1), (2)) v(q)", "asked")
+)
 _BEST = "best AS (SELECT h.query_id, h.channel, h.restaurant_id, max(score) AS raw FROM hits h SEMI JOIN pool p ON h.query_id = p.query_id AND h.restaurant_id = p.restaurant_id GROUP BY 1, 2, 3)"
 _WEIGHT = "CASE channel WHEN 'structured' THEN 1.0 WHEN 'keyword' THEN 0.5 WHEN 'vector' THEN 1.0 ELSE 0.8 END"
 _FUSED = """s AS (SELECT query_id, restaurant_id, sum(c) AS ch FROM parts GROUP BY 1, 2), k AS (SELECT s.*, prior FROM s JOIN pool USING (query_id, restaurant_id)),
@@ -94,21 +100,32 @@ _FUSED = """s AS (SELECT query_id, restaurant_id, sum(c) AS ch FROM parts GROUP
 SELECT query_id, restaurant_id, total, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, restaurant_id) AS rank FROM t) WHERE rank <= 10"""
 
 
-def _hits(spark, sf):
+def _three(spark, sf):
+    """(query_id, borough) of three queries."""
+    return F.broadcast(spark.createDataFrame([(0, "asia"), (1, "europe"), (2, "africa")], "query_id long, borough string"))
+
+
+def _every_twentieth(spark, sf):
+    """(query_id, borough) of every query; not marked for broadcast, as their number grows with the table."""
+    boroughs = F.array(*map(F.lit, _BOROUGHS))
+    return _queries(spark, sf).select("query_id", F.element_at(boroughs, (F.floor(F.col("query_id") / 20) % len(_BOROUGHS) + 1).cast("int")).alias("borough"))
+
+
+def _hits(spark, sf, queries=_three):
     from larkspur.functions.text import rating_prior
 
     all_places = places(spark, sf)
-    areas = spark.createDataFrame([(0, "asia"), (1, "europe"), (2, "africa")], "query_id long, borough string")
+    areas = queries(spark, sf)
     hit = lambda df, q, channel, score: df.select(q.cast("long").alias("query_id"), F.lit(channel).alias("channel"), "restaurant_id", score.cast("double").alias("score"))
     score = lambda n: F.round(((F.col("restaurant_id") + F.col("query_id")) % n) / float(n), 6)
-    each = all_places.join(F.broadcast(areas.select("query_id")))  # three queries
-    structured = hit(all_places.where("is_active AND rating >= 3.0").join(F.broadcast(areas), "borough"), F.col("query_id"), "structured", F.lit(1.0))
+    each = all_places.crossJoin(areas.select("query_id"))
+    structured = hit(all_places.where("is_active AND rating >= 3.0").join(areas, "borough"), F.col("query_id"), "structured", F.lit(1.0))
     keyword = hit(each.where(F.contains("name", F.lit("7"))), F.col("query_id"), "keyword", score(17))
     review = hit(each.where(F.contains("name", F.lit("3"))), F.col("query_id"), "review", score(23)).unionByName(hit(each.where(F.contains("name", F.lit("33"))), F.col("query_id"), "review", F.lit(0.01)))
-    asked = kdocs(spark, sf).where("document_id < 3").select(F.col("document_id").alias("query_id"), F.lit(1).alias("one"), "embedding")
+    asked = kdocs(spark, sf).join(areas.select(F.col("query_id").alias("document_id")), "document_id", "left_semi").select(F.col("document_id").alias("query_id"), F.lit(1).alias("one"), "embedding")
     near = R.vector_hits(kdocs(spark, sf).withColumn("one", F.lit(1)), asked, ["one"], 1 << 30)
     vector = near.select("query_id", F.lit("vector").alias("channel"), F.col("document_id").alias("restaurant_id"), F.round("score", 6).alias("score"))
-    pool = all_places.where("is_active").select("restaurant_id", rating_prior(F.col("rating"), F.col("rating_count")).alias("prior")).join(F.broadcast(areas.select("query_id")))
+    pool = all_places.where("is_active").select("restaurant_id", rating_prior(F.col("rating"), F.col("rating_count")).alias("prior")).crossJoin(areas.select("query_id"))
     return structured.unionByName(keyword).unionByName(review).unionByName(vector), pool
 
 
@@ -134,11 +151,34 @@ def unknown_hits(spark, sf):
 @query(f"""WITH {_HITS}, ex AS (SELECT query_id, 'review' AS channel, restaurant_id, round((restaurant_id % 11) / 11.0::DOUBLE, 6) AS score FROM pool WHERE prior > 3.5)
 SELECT query_id, channel, restaurant_id, score FROM hits WHERE channel <> 'review' UNION ALL SELECT query_id, channel, restaurant_id, score FROM ex WHERE score >= 0.3""")
 def rescore_overlay(spark, sf):
-    hits, pool = _hits(spark, sf)
+    return _rescored(*_hits(spark, sf))
+
+
+def _rescored(hits, pool):
     exact = pool.where("prior > 3.5").select("query_id", F.lit("review").alias("channel"), "restaurant_id", F.round((F.col("restaurant_id") % 11) / 11.0, 6).alias("score"))
     return R.rescored(hits, exact, {"review": 0.3})
 
 
+@query(SQL["fuse_weighted"].replace(_HITS, _HITS_ALL))
+def fuse_weighted_all(spark, sf):
+    return R.fuse(*_hits(spark, sf, _every_twentieth), "weighted", top=10)
+
+
+@query(SQL["fuse_rrf"].replace(_HITS, _HITS_ALL))
+def fuse_rrf_all(spark, sf):
+    return R.fuse(*_hits(spark, sf, _every_twentieth), "rrf", top=10)
+
+
+@query(SQL["unknown_hits"].replace(_HITS, _HITS_ALL))
+def unknown_hits_all(spark, sf):
+    return R.unknown_hits(*_hits(spark, sf, _every_twentieth))
+
+
+@query(SQL["rescore_overlay"].replace(_HITS, _HITS_ALL))
+def rescore_overlay_all(spark, sf):
+    return _rescored(*_hits(spark, sf, _every_twentieth))
+
+
 @query(f"""WITH {PLACES}, c AS (SELECT 0 AS query_id, 1 AS channel_order, restaurant_id, address, CASE WHEN restaurant_id % 2 = 0 THEN rating END AS prior FROM places UNION ALL SELECT 0, 2, restaurant_id, address || CASE WHEN restaurant_id % 3 = 0 THEN ' x' ELSE '' END, 1.5 FROM places WHERE restaurant_id % 4 <> 0)
 SELECT restaurant_id, arg_min(address, (-length(address), channel_order)) AS address, arg_min(prior, channel_order) FILTER (WHERE prior IS NOT NULL) AS prior FROM c GROUP BY 1""")
 def merge_pool(spark, sf):

@@ -8,3 +8,10 @@ SF = "/root/testdata/sf0.1"
 def test_every_place_has_a_score(spark):
     scores = catalogue.queries()["knowledge_score_all"](spark, SF)
     assert scores.count() == spark.read.parquet(f"{SF}/customer.parquet").count() > 2000
+
+
+def test_fusion_asks_with_every_twentieth_document(spark):
+    small = SF.replace("0.1", "0.001")
+    want = {r[0] for r in spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
+    for name in ("fuse_weighted_all", "fuse_rrf_all", "rescore_overlay_all"):
+        assert {r[0] for r in catalogue.queries()[name](spark, small).select("query_id").distinct().collect()} == want and len(want) > 3
