@@ -194,11 +194,13 @@ def merge_pool(spark, sf):
 _DOCS = """d AS (SELECT doc_id AS document_id, restaurant_id, CASE WHEN doc_id % 3 = 0 THEN 'profile' ELSE 'sample' END AS doc_type, sha256(text) AS content_hash, (doc_id % 101) / 101.0::DOUBLE AS score, left(text, CAST(100 + doc_id % 900 AS BIGINT)) AS content FROM texts)"""
 
 
-def _evidence(spark, sf):
+def _evidence(spark, sf, content=None):
     doc = F.col("doc_id")
+    if content is None:
+        content = F.left("text", (F.lit(100) + doc % 900).cast("int"))
     return texts(spark, sf).select(
         doc.alias("document_id"), "restaurant_id", F.when(doc % 3 == 0, "profile").otherwise("sample").alias("doc_type"), F.sha2("text", 256).alias("content_hash"), ((doc % 101) / 101.0).alias("score"),
-        F.left("text", (F.lit(100) + doc % 900).cast("int")).alias("content"),
+        content.alias("content"),
     )
 
 
@@ -224,6 +226,12 @@ def budget_greedy(spark, sf):
     return kept.join(greedy.select("restaurant_id"), "restaurant_id", "left_semi").join(plain.select("document_id"), "document_id", "left_semi").select("restaurant_id", "document_id", "cost")
 
 
+@query()
+def budget_whole_texts(spark, sf):
+    """Whole texts within the budget, every place, with the floor of two kinds; SQL does not express the floor."""
+    return E.assemble(_evidence(spark, sf, F.col("text")), 400)
+
+
 @query("""WITH c AS (SELECT conv_id, turn, length(regexp_replace(text, '[\\x00-\\xff]', '', 'g')) AS w, length(text) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations),
 k AS (SELECT *, CASE WHEN l = 0 THEN 0 ELSE greatest(1, w + (l - w) // 4) END AS cost FROM c WHERE rn <= 6)
 SELECT conv_id, turn, CAST(cost AS INTEGER) AS cost FROM (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS s FROM k) WHERE s <= 150""")
