@@ -71,6 +71,16 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}" in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

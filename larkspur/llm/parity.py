@@ -4,24 +4,26 @@ A document's set of word shingles is XOR-hashed: each shingle picks a segment of
 sketch by its hash and flips one bit there. Shingles that two sets share flip the same
 bits, so the sketches' Hamming distance is at most the size of the symmetric difference,
 and so is the number of segments that differ. Sets with |A & B| / |A | B| >= p/q differ in at
-most (q - p) (|A| + |B|) / (q + p) shingles. Sets are put in size bands; a band whose largest
-difference is d cuts sketches in k > d segments, so linked sets agree in at least k - d
-whole segments (pigeonhole). Segments have 2**64 positions, held as the XOR of a 64-bit code
-per odd position, so unlike segments hardly ever agree by chance; k is chosen so that k - d
-exceeds the number of empty segments of all but a few sets, and those few also emit their
-empty segments. A set enters the band of its size, and the next one if a linked larger set
-can lie there.
-
-Sets that are equal are one class before the join. Buckets of equal segments never emit all
-their pairs: every member is held against the nearest (by sketch) of its buckets' drawn
-leads, links are verified and components formed, and buckets that still hold several
-components are gone through again with other leads; pairs across components are looked at
-one by one only once few are left or leads no longer help. Two members of a component need
-no check, so no link between components is lost.
+most (q - p) (|A| + |B|) / (q + p) shingles. Sets are put in size bands; a band cuts
+sketches in k segments, k above its largest difference d, so linked sets agree in at least
+k - d whole segments (pigeonhole). Segments have 2**64 positions, held as the XOR of a
+64-bit code per odd position, so unlike segments hardly ever agree by chance. A set enters
+the band of its size and those in which a linked larger set can lie.
+
+Of the k codes a set emits only the first d' + 1 in one order of all codes, d' being the
+largest difference that a set of its size can have from a linked one of that band: sets of k
+codes that agree in k - d' of them agree in one of the first d' + 1 of either. Codes of empty
+segments come last in that order, so that sets of unlike texts do not meet in them.
+
+Sets that are equal are one class before the join. A bucket of equal segments first holds
+its members against two leads, the member of most buckets and a drawn one; links with the
+nearest leads (by sketch) are verified and components formed, twice. Pairs of a bucket that
+are in different components after that are then looked at one by one, and only those whose
+sketches allow a link leave the join. Two members of a component need no check, so no link
+between components is lost.
 
 Pairs pass a folded sketch of 512 bits first (its Hamming distance bounds the difference,
-too) and are then verified by the exact sizes of intersection and union of both texts'
-shingle sets.
+too) and are then verified by the exact sizes of intersection and union of both shingle sets.
 """
 
 from __future__ import annotations
@@ -33,37 +35,31 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import discard, free_shuffles, rest_worker, written
+from larkspur.llm.common import discard, free_shuffles, fresh_names, rest_worker, written
 from larkspur.llm.graph import components
 from larkspur.llm.shingles import ascii_words, forget_words, mix, shingle_set
 
-#: Ratio of the bounds of a size band.
-BAND_GROWTH = 1.5
+#: Ratio of the bounds of a size band, and segments of a band for each shingle that linked sets of it may differ in.
+BAND_GROWTH, SEGMENTS = 2.0, 1.25
 
 #: 64-bit words of the folded sketch.
 FOLD = 8
 
-#: Most rows of one number that are broadcast, 16 MB of them.
-BROADCAST_KEYS = 1_000_000
+#: Most ids of documents that are broadcast, 16 MB of them.
+BROADCAST_IDS = 1_000_000
 
-#: Most other rows that are broadcast; pairs of bucket members per document, below which the pairs across components are looked at one by one.
-BROADCAST_ROWS, LISTED_PAIRS = 150_000, 64.0
-
-#: Fewest and most rounds of leads, and the share of pairs that a round must leave at most for another to be worth it.
-LEAD_ROUNDS, ROUNDS, SHRUNK = 2, 10, 0.7
+#: Rounds of leads, and the nearest leads that a member is held against in each.
+LEAD_ROUNDS, NEAREST = 2, 2
 
 
 @dataclass(frozen=True)
 class Band:
-    """Sets of least to most shingles, cut in ``segments``, which differ in at most ``apart`` shingles when linked."""
+    """Sets of up to ``most`` shingles, cut in ``segments``."""
 
-    start: int
-    least: int
     most: int
-    apart: int
     segments: int
 
 
@@ -82,44 +78,42 @@ class Join:
             out.append(max(out[-1] + 1, math.floor(out[-1] * BAND_GROWTH)))
         return out
 
-    def band(self, i: int) -> Band:
-        start, most = self.starts[i], self.starts[i + 1] - 1
-        least = -(-self.p * start // self.q)
-        apart = (self.q - self.p) * 2 * most // (self.q + self.p)
-        segments = apart + 1
-        for _ in range(8):  # room for the segments that are empty by chance
-            empty = segments * math.exp(-least / segments)
-            segments = apart + 1 + math.ceil(empty + 4 * math.sqrt(empty)) if empty > 0.01 else max(segments, apart + 1)
-        return Band(start, least, most, apart, min(segments, 2 * apart + 2))
+    def apart(self, n: int, m: int) -> int:
+        """Most shingles in which linked sets of these sizes can differ."""
+        return (self.q - self.p) * (n + m) // (self.q + self.p)
 
     @cached_property
     def bands(self) -> list[Band]:
-        return [self.band(i) for i in range(len(self.starts) - 1)]
+        mosts = [start - 1 for start in self.starts[1:]]
+        return [Band(most, math.ceil(SEGMENTS * (self.apart(most, most) + 1))) for most in mosts]
 
-    def bands_of(self, size: int) -> list[int]:
-        """The band of a set's size, and the next if a linked larger set can be in it."""
-        i = int(np.searchsorted(self.starts, size, side="right")) - 1
-        return [i, i + 1] if self.bands[i + 1].least <= size else [i]
+    def bands_of(self, size: int) -> range:
+        """The band of a set's size, and those up to the one of the largest set that can be linked."""
+        own, last = (int(np.searchsorted(self.starts, x, side="right")) - 1 for x in (size, self.q * size // self.p))
+        return range(own, last + 1)
 
     def keys(self, found: np.ndarray) -> np.ndarray:
-        """Codes of the segments of a sorted set; none where linked sets are equal sets."""
-        out = [np.zeros(0, np.uint64)]
+        """Codes of the segments that a sorted set emits; none where linked sets are equal sets."""
+        out, n = [np.zeros(0, np.uint64)], len(found)
         codes = mix(found ^ np.uint64(0x5851F42D4C957F2D))
-        for i in self.bands_of(len(found)):
+        for i in self.bands_of(n) if n else ():
             band = self.bands[i]
-            if not band.apart:
+            apart = self.apart(n, min(band.most, self.q * n // self.p))
+            if not apart:
                 continue
             place = ((found >> np.uint64(32)) * np.uint64(band.segments)) >> np.uint64(32)  # ascending, as the set is
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            parity, own = np.bitwise_xor.reduceat(codes, first), place[first]
-            if band.segments - len(first) >= band.segments - band.apart:  # linked sets might agree in empty segments only
-                none = np.setdiff1d(np.arange(band.segments, dtype=np.uint64), own)
-                parity, own = np.concatenate([parity, np.zeros(len(none), np.uint64)]), np.concatenate([own, none])
-            out.append(mix(parity ^ mix(own + np.uint64(i << 40))))
+            name = lambda own, i=i: mix(own + np.uint64(i << 40))
+            own = place[first]
+            emitted = np.sort(mix(np.bitwise_xor.reduceat(codes, first) ^ name(own)))[: apart + 1]
+            if len(emitted) <= apart:
+                none = np.sort(mix(name(np.setdiff1d(np.arange(band.segments, dtype=np.uint64), own))))
+                emitted = np.concatenate([emitted, none[: apart + 1 - len(emitted)]])
+            out.append(emitted)
         return np.concatenate(out)
 
     def far(self, n: Column, m: Column) -> Column:
-        """Most shingles in which linked sets of these sizes can differ."""
+        """``apart`` of two columns."""
         return F.floor((n + m) * (self.q - self.p) / (self.q + self.p))
 
 
@@ -136,18 +130,18 @@ def _sketches(docs: DataFrame, join: Join) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, sums, xors, folds, keys = [], [], [], [], []
+                sizes, pairs, folds, keys = [], [], [], []
                 for text in part.column(2):
                     found = shingle_set(ascii_words(text.as_py() or ""), join.words)
                     sizes.append(len(found))
-                    sums.append(int(mix(found).sum(dtype=np.uint64)) if len(found) else 0)
-                    xors.append(int(np.bitwise_xor.reduce(found)) if len(found) else 0)
+                    pairs.append(_keys_of(found))
                     folds.append(fold(found))
-                    keys.append(join.keys(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
+                    keys.append(join.keys(found).view(np.int64))
+                two = np.array(pairs, np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(xors, np.uint64).view(np.int64)),
+                        part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, FOLD * (len(keys) + 1), FOLD, dtype=np.int32)), pa.array(np.concatenate(folds))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
                     ],
@@ -161,18 +155,6 @@ def _sketches(docs: DataFrame, join: Join) -> DataFrame:
     return numbered.mapInArrow(run, f"doc_id {kind}, row long, n long, k1 long, k2 long, fold array<long>, keys array<long>")
 
 
-def _few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def _near(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b) of nodes with the documents' ids and keys, without those whose sizes or folded sketches rule a link out."""
-    side = lambda x: nodes.select(*[F.col(c).alias(f"{x}_{c}") for c in ("node", "doc_id", "n", "k1", "k2", "fold")])
-    both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-    return both.where(_may_link(join)).select("a", "b", *[f"{x}_{c}" for x in "ab" for c in ("doc_id", "k1", "k2")])
-
-
 def _may_link(join: Join) -> Column:
     """Whether sizes and folded sketches of a row's two sides allow a link."""
     sizes = F.least("a_n", "b_n") * join.q >= F.greatest("a_n", "b_n") * join.p
@@ -184,94 +166,107 @@ def _apart() -> Column:
     return sum((F.bit_count(F.get("a_fold", F.lit(i)).bitwiseXOR(F.get("b_fold", F.lit(i)))) for i in range(FOLD)), F.lit(0))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) between doc_ids among pairs of nodes, by the exact sets of both texts; written."""
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.explode(F.array("a_doc_id", "b_doc_id")).alias("_id")).distinct(), "pair-ids")
-    texts = written(docs.select("doc_id", "text").join(_few(ids), F.col("doc_id") == F.col("_id"), "left_semi").distinct(), "pair-texts")
-    side = lambda x: texts.select(F.col("doc_id").alias(f"_{x}"), F.col("text").alias(f"{x}_text"))
-    both = pairs.join(side("b"), F.col("b_doc_id") == F.col("_b")).join(side("a"), F.col("a_doc_id") == F.col("_a"))
+def _sets(docs: DataFrame, join: Join) -> DataFrame:
+    """doc_id, two keys and the shingle set of each row."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        last_text, last = None, None
         for batch in batches:
-            links = []
-            for a, b, a1, a2, b1, b2, a_text, b_text in zip(*batch.columns, strict=True):
-                text = a_text.as_py()
-                if last is None or text != last_text:
-                    last_text, last = text, _set_and_keys(text, join)
-                other = _set_and_keys(b_text.as_py(), join)
-                if last[1:] != (a1.as_py(), a2.as_py()) or other[1:] != (b1.as_py(), b2.as_py()):
-                    continue  # another row with the same doc_id
-                shared = len(last[0]) + len(other[0]) - len(np.union1d(last[0], other[0]))
-                if join.q * shared >= join.p * (len(last[0]) + len(other[0]) - shared):
-                    links.append((a.as_py(), b.as_py()))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(ascii_words(text.as_py() or ""), join.words) for text in part.column(1)]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                keys = np.array([_keys_of(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
+                    ["doc_id", "k1", "k2", "set"],
+                )
         forget_words()
         rest_worker()
 
-    picked = both.select("a_doc_id", "b_doc_id", "a_k1", "a_k2", "b_k1", "b_k2", "a_text", "b_text")
-    found = written(picked.mapInArrow(run, "a long, b long"), "links")
-    discard(pairs, ids, texts)
-    return found
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, set array<long>")
+
 
+def _keys_of(found: np.ndarray) -> tuple[int, int]:
+    """Two keys of a set, 128 bits; sets that agree in them and in size are taken as equal."""
+    if not len(found):
+        return 0, 0
+    return int(np.array(mix(found).sum(dtype=np.uint64)).view(np.int64)), int(np.array(np.bitwise_xor.reduce(found)).view(np.int64))
 
-def _set_and_keys(text: str | None, join: Join) -> tuple[np.ndarray, int, int]:
-    found = shingle_set(ascii_words(text or ""), join.words)
-    signed = lambda x: int(np.array(x, np.uint64).view(np.int64)) if len(found) else 0
-    return found, signed(mix(found).sum(dtype=np.uint64)), signed(np.bitwise_xor.reduce(found)) if len(found) else 0
+
+def _verified(pairs: DataFrame, held: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) between doc_ids among pairs (a, b) of nodes, by the exact shingle sets; written."""
+    pairs = written(pairs, "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    asked = written(held.join(asked, F.col("node") == F.col("_node"), "left_semi").select("node", "doc_id", "k1", "k2"), "asked")
+    ids = asked.select(F.col("doc_id").alias("_id")).distinct()
+    ids = F.broadcast(ids) if asked.count() <= BROADCAST_IDS else ids
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    found = _sets(texts, join).select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "set")
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
+    sets = written(asked.join(found, same).select("node", "doc_id", "set").dropDuplicates(["node"]), "sets")
+    side = lambda x: sets.select(F.col("node").alias(f"_{x}"), F.col("doc_id").alias(f"{x}_doc"), F.col("set").alias(f"{x}_set"))
+    both = pairs.join(side("b"), F.col("b") == F.col("_b")).join(side("a"), F.col("a") == F.col("_a"))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    linked = shared * join.q >= (F.size("a_set") + F.size("b_set") - shared) * join.p
+    links = written(both.where(linked).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")), "links")
+    discard(pairs, asked, sets)
+    return links
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """key and node of every bucket of several nodes, buckets with the same nodes once; written."""
+    # codes are shuffled once: the counts and the join with the chosen keys read the same exchange
+    pieces = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
+    counts = pieces.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x")).where("c > 1")
+    chosen = counts.groupBy("lo", "hi", "c", "x").agg(F.min("key").alias("_key")).select("_key")
+    return written(pieces.join(chosen, F.col("key") == F.col("_key")).select("key", "node"), "members")
+
+
+def _open(rest: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``rest`` with component, without buckets all of whose members are in one component; written."""
+    if links is None:
+        labelled = rest.withColumn("component", F.col("doc_id"))
+    else:
+        labels = written(components(links).withColumnRenamed("node", "_doc"), "labels")
+        labelled = rest.join(labels, F.col("doc_id") == F.col("_doc"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("_doc")
+    several = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select(F.col("key").alias("_key"))
+    return written(labelled.join(several, F.col("key") == F.col("_key")).drop("_key"), "open")
 
 
 def _linked(nodes: DataFrame, docs: DataFrame, join: Join, spent: DataFrame) -> DataFrame:
     """Links (a, b) between the doc_ids of classes that join the same classes as all links do; ``spent`` is discarded once ``nodes`` has been read."""
-    pieces = nodes.select("node", F.explode("keys").alias("key"))
-    # buckets with the same members (by first member, number and parity of the members' codes) are one bucket
-    counts = pieces.groupBy("key").agg(F.min("node").alias("lo"), F.count("*").alias("c"), F.bit_xor("node").alias("x")).where("c > 1")
-    repeated = written(counts, "repeated-keys")
-    free_shuffles(nodes.sparkSession)
-    chosen = written(repeated.groupBy("lo", "c", "x").agg(F.min("key").alias("_key")).select("_key"), "buckets")
-    found = written(pieces.join(_few(chosen, BROADCAST_KEYS), F.col("key") == F.col("_key")).select("key", "node").distinct(), "bucket-members")
-    alone = found.groupBy("key").agg(F.count("*").alias("c")).where("c = 1").select(F.col("key").alias("_key"))  # one document, repeated
-    members = written(found.join(_few(written(alone, "alone")), F.col("key") == F.col("_key"), "left_anti"), "members")
-    slim = written(nodes.select("node", "doc_id", "n", "k1", "k2", "fold"), "nodes")
-    rest = written(members.join(slim.select(F.col("node").alias("_node"), "doc_id", "n", "fold"), F.col("node") == F.col("_node")).drop("_node"), "rest")
-    discard(repeated, chosen, found, members, spent)
+    members = _members(nodes)
+    degrees = members.groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("degree"))
+    held = written(nodes.select("node", "doc_id", "n", "k1", "k2", "fold").join(degrees, F.col("node") == F.col("_node")).drop("_node"), "nodes")
+    rest = written(members.join(held.select(F.col("node").alias("_node"), "doc_id", "n", "fold", "degree"), F.col("node") == F.col("_node")).drop("_node"), "rest")
+    discard(members, spent)
     free_shuffles(nodes.sparkSession)
-    links = nodes.sparkSession.createDataFrame([], "a long, b long")
-    total, before = slim.count(), float("inf")
-    for turn in range(1, ROUNDS + 1):
-        if turn == 1:
-            labelled = rest.withColumn("component", F.col("doc_id"))
-        else:
-            labels = components(links).withColumnRenamed("node", "_doc")
-            labelled = rest.join(labels, F.col("doc_id") == F.col("_doc"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("_doc")
-        state = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("c")).where("c0 < c1").select(F.col("key").alias("_key"), "c")
-        keys = written(state, "open-keys")
-        old, rest = rest, written(labelled.join(_few(keys), F.col("key") == F.col("_key")).drop("_key"), "open")
-        discard(old, keys)
-        sizes = rest.groupBy("key", "component").agg(F.count("*").alias("m"), F.first("c").alias("c"))
-        listed = sizes.agg(F.coalesce(F.sum(F.col("m").cast("double") * (F.col("c") - F.col("m"))) / 2, F.lit(0.0))).first()[0]
-        if not listed:
-            return links
-        if turn > LEAD_ROUNDS and (listed <= LISTED_PAIRS * total or listed > SHRUNK * before or turn == ROUNDS):
-            left, right = (rest.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("key", "component", "n", "fold")]) for x in "ab")
-            across = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
-            pairs = left.join(right, across & _may_link(join)).select("a", "b").distinct()
-            return links.unionByName(_verified(_near(pairs, slim, join), docs, join))
-        # each member is held against the nearest, by folded sketch, of one drawn member of each of its buckets
-        lead = F.min_by(F.struct("node", "component", "n", "fold"), F.xxhash64("node", F.lit(turn)))
-        leads = written(rest.groupBy(F.col("key").alias("a_key")).agg(lead.alias("l")).select("a_key", F.col("l.node").alias("a"), *[F.col(f"l.{c}").alias(f"a_{c}") for c in ("component", "n", "fold")]), "leads")
-        right = rest.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("key", "component", "n", "fold")])
-        met = right.join(_few(leads), (F.col("a_key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component")) & _may_link(join))
-        pairs = met.groupBy("b").agg(F.min_by("a", _apart()).alias("a")).select("a", "b")
-        links = links.unionByName(_verified(_near(pairs, slim, join), docs, join))
+    links = None
+    for turn in range(LEAD_ROUNDS):
+        rest, old = _open(rest, links), rest
+        discard(old)
+        draw = F.xxhash64("node", F.lit(turn))
+        busiest = F.shiftleft("degree", 40) + F.shiftrightunsigned(draw, 24)
+        leads = rest.groupBy("key").agg(F.max_by("node", busiest).alias("l1"), F.min_by("node", draw).alias("l2")).select(F.col("key").alias("a_key"), F.explode(F.array_distinct(F.array("l1", "l2"))).alias("a"))
+        leads = written(leads.join(rest.select(F.col("key").alias("_key"), F.col("node").alias("_node"), *[F.col(c).alias(f"a_{c}") for c in ("component", "n", "fold")]), (F.col("a") == F.col("_node")) & (F.col("a_key") == F.col("_key"))).drop("_key", "_node"), "leads")
+        side = rest.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("key", "component", "n", "fold")])
+        met = side.join(leads, (F.col("a_key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component")) & _may_link(join))
+        each = met.groupBy("a", "b").agg(F.min(_apart()).alias("d"))
+        near = each.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(F.col("r") <= NEAREST).select("a", "b")
+        more = _verified(near, held, docs, join)
+        links = more if links is None else links.unionByName(more)
+        rest, old = rest.drop("component"), rest
+        rest.scratch_path = old.scratch_path
         discard(leads)
-        before = listed
-        narrow = rest.drop("component", "c")
-        narrow.scratch_path = rest.scratch_path
-        rest = narrow
-    return links
+    rest, old = _open(rest, links), rest
+    discard(old)
+    left, right = (rest.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("key", "component", "n", "fold")]) for x in "ab")
+    across = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
+    pairs = left.join(right, across & _may_link(join)).select("a", "b").distinct()
+    last = _verified(pairs, held, docs, join)
+    discard(rest, held)
+    return last if links is None else links.unionByName(last)
 
 
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -290,8 +285,8 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     leads = classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "lead")
     # every row but one of its class, repeats of the representative too, so that a node is one row; they are few, or else the join is by shuffle
     behind = written(some.select("row", "k1", "k2").join(leads, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).where("row != lead").select(F.col("row").alias("_row")), "behind")
-    nodes = own.join(_few(behind), F.col("row") == F.col("_row"), "left_anti")
-    nodes = nodes.withColumn("node", F.xxhash64("doc_id", "k1", "k2"))
+    nodes = own.join(behind, F.col("row") == F.col("_row"), "left_anti")
+    nodes = nodes.withColumnRenamed("row", "node")
     links = written(_linked(nodes, docs, join, sketches), "all-links")
     rows = some.select("doc_id", "n", "k1", "k2").join(classes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "rep"), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     several = rows.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -315,6 +310,11 @@ def _without_id(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``docs`` with one document of each group of linked ones: that with the smallest doc_id; all columns stay."""
-    go = near_duplicates(docs.where("doc_id IS NOT NULL"), join).where("doc_id != component_id").select(F.col("doc_id").alias("_go"))
-    return docs.join(go, F.col("doc_id") == F.col("_go"), "left_anti")
+    """``docs`` with one document of each group of linked ones: that with the smallest doc_id; all columns stay.
+
+    Rows without a doc_id and rows whose text is null or has no words stay; rows with the same
+    doc_id stay or go together. Columns may have any names; an empty table gives an empty one.
+    """
+    (gone,) = fresh_names(docs, "gone")
+    go = near_duplicates(docs.where("doc_id IS NOT NULL"), join).where("doc_id != component_id").select(F.col("doc_id").alias(gone))
+    return docs.join(go, F.col("doc_id") == F.col(gone), "left_anti")

@@ -222,9 +222,9 @@ def near_docs():
 
 
 @pytest.mark.parametrize(("words", "p", "q"), [(4, 85, 100), (5, 4, 5)])
-@pytest.mark.parametrize("listed", [2.0, 0.0])
-def test_jaccard_join_against_brute_force(spark, monkeypatch, words, p, q, listed):
-    monkeypatch.setattr(parity, "LISTED_PAIRS", listed)  # 0: through rounds of new leads
+@pytest.mark.parametrize("rounds", [2, 0])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, words, p, q, rounds):
+    monkeypatch.setattr(parity, "LEAD_ROUNDS", rounds)  # 0: all pairs of a bucket are looked at
     data = near_docs()
     sets = {i: grams(ascii_words(t or ""), words) for i, t in data}
     union, ids = Union(), list(sets)
