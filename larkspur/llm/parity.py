@@ -17,13 +17,14 @@ segments come last in that order, so that sets of unlike texts do not meet in th
 
 Sets that are equal are one class before the join. A bucket of equal segments first holds
 its members against two leads, the member of most buckets and a drawn one; links with the
-nearest leads (by sketch) are verified and components formed, twice. Pairs of a bucket that
+nearest leads (by sketch) are verified and components formed. Pairs of a bucket that
 are in different components after that are then looked at one by one, and only those whose
 sketches allow a link leave the join. Two members of a component need no check, so no link
 between components is lost.
 
-Pairs pass a folded sketch of 512 bits first (its Hamming distance bounds the difference,
-too) and are then verified by the exact sizes of intersection and union of both shingle sets.
+Pairs pass a folded sketch of 512 bits first, in the join, and then, each pair once, a wide one of
+two to four bits a shingle: either's Hamming distance bounds the difference, too. What is
+left is verified by the exact sizes of intersection and union of both shingle sets.
 """
 
 from __future__ import annotations
@@ -51,8 +52,8 @@ FOLD = 8
 #: Most ids of documents that are broadcast, 16 MB of them.
 BROADCAST_IDS = 1_000_000
 
-#: Rounds of leads, and the nearest leads that a member is held against in each.
-LEAD_ROUNDS, NEAREST = 2, 2
+#: Rounds of leads (a second one was measured to link next to nothing more), and the nearest leads that a member is held against in each.
+LEAD_ROUNDS, NEAREST = 1, 2
 
 
 @dataclass(frozen=True)
@@ -123,36 +124,50 @@ def fold(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
+def wide(found: np.ndarray) -> np.ndarray:
+    """A parity sketch of two to four bits a shingle, 64 * FOLD at least; a power of two, so that a longer one can be folded to a shorter one."""
+    size = max(64 * FOLD, 1 << (2 * len(found) - 1).bit_length()) if len(found) else 64 * FOLD
+    bits = np.bincount((found % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> int:
+    """Distance of two wide sketches, the longer one folded to the length of the other."""
+    short = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, short), axis=0) for x in (a, b))
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+
 def _sketches(docs: DataFrame, join: Join) -> DataFrame:
-    """Of each row with a doc_id: doc_id, row (a number of its own), n, two keys of its set, folded sketch and segment codes."""
+    """Of each row with a doc_id: doc_id, row (a number of its own), n, two keys of its set, folded and wide sketch and segment codes."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, pairs, folds, keys = [], [], [], []
+                sizes, pairs, folds, wides, keys = [], [], [], [], []
                 for text in part.column(2):
                     found = shingle_set(ascii_words(text.as_py() or ""), join.words)
                     sizes.append(len(found))
                     pairs.append(_keys_of(found))
                     folds.append(fold(found))
+                    wides.append(wide(found))
                     keys.append(join.keys(found).view(np.int64))
                 two = np.array(pairs, np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                listed = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in parts])]).astype(np.int32)), pa.array(np.concatenate(parts)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, FOLD * (len(keys) + 1), FOLD, dtype=np.int32)), pa.array(np.concatenate(folds))),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
+                        *map(listed, (folds, wides, keys)),
                     ],
-                    ["doc_id", "row", "n", "k1", "k2", "fold", "keys"],
+                    ["doc_id", "row", "n", "k1", "k2", "fold", "wide", "keys"],
                 )
         forget_words()
         rest_worker()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").where("doc_id IS NOT NULL")
-    return numbered.mapInArrow(run, f"doc_id {kind}, row long, n long, k1 long, k2 long, fold array<long>, keys array<long>")
+    return numbered.mapInArrow(run, f"doc_id {kind}, row long, n long, k1 long, k2 long, fold array<long>, wide array<long>, keys array<long>")
 
 
 def _may_link(join: Join) -> Column:
@@ -166,6 +181,28 @@ def _apart() -> Column:
     return sum((F.bit_count(F.get("a_fold", F.lit(i)).bitwiseXOR(F.get("b_fold", F.lit(i)))) for i in range(FOLD)), F.lit(0))
 
 
+def _close(pairs: DataFrame, held: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) of nodes whose wide sketches allow a link, with their distance d."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            flat = [c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[4:]]
+            ends = [np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in batch.columns[4:]]
+            a, b, n, m = (c.to_numpy() for c in batch.columns[:4])
+            for i in range(batch.num_rows):
+                d = hamming(*(x[e[i] : e[i + 1]] for x, e in zip(flat, ends, strict=True)))
+                if d <= join.apart(int(n[i]), int(m[i])):
+                    kept.append((a[i], b[i], d))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], ["a", "b", "d"])
+        rest_worker()
+
+    side = lambda x: held.select(F.col("node").alias(f"_{x}"), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide"))
+    both = pairs.select("a", "b").distinct().join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    return both.select("a", "b", "a_n", "b_n", "a_wide", "b_wide").mapInArrow(run, "a long, b long, d long")
+
+
 def _sets(docs: DataFrame, join: Join) -> DataFrame:
     """doc_id, two keys and the shingle set of each row."""
 
@@ -238,7 +275,7 @@ def _linked(nodes: DataFrame, docs: DataFrame, join: Join, spent: DataFrame) ->
     """Links (a, b) between the doc_ids of classes that join the same classes as all links do; ``spent`` is discarded once ``nodes`` has been read."""
     members = _members(nodes)
     degrees = members.groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("degree"))
-    held = written(nodes.select("node", "doc_id", "n", "k1", "k2", "fold").join(degrees, F.col("node") == F.col("_node")).drop("_node"), "nodes")
+    held = written(nodes.select("node", "doc_id", "n", "k1", "k2", "fold", "wide").join(degrees, F.col("node") == F.col("_node")).drop("_node"), "nodes")
     rest = written(members.join(held.select(F.col("node").alias("_node"), "doc_id", "n", "fold", "degree"), F.col("node") == F.col("_node")).drop("_node"), "rest")
     discard(members, spent)
     free_shuffles(nodes.sparkSession)
@@ -252,8 +289,7 @@ def _linked(nodes: DataFrame, docs: DataFrame, join: Join, spent: DataFrame) ->
         leads = written(leads.join(rest.select(F.col("key").alias("_key"), F.col("node").alias("_node"), *[F.col(c).alias(f"a_{c}") for c in ("component", "n", "fold")]), (F.col("a") == F.col("_node")) & (F.col("a_key") == F.col("_key"))).drop("_key", "_node"), "leads")
         side = rest.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("key", "component", "n", "fold")])
         met = side.join(leads, (F.col("a_key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component")) & _may_link(join))
-        each = met.groupBy("a", "b").agg(F.min(_apart()).alias("d"))
-        near = each.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(F.col("r") <= NEAREST).select("a", "b")
+        near = _close(met, held, join).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(F.col("r") <= NEAREST).select("a", "b")
         more = _verified(near, held, docs, join)
         links = more if links is None else links.unionByName(more)
         rest, old = rest.drop("component"), rest
@@ -263,8 +299,7 @@ def _linked(nodes: DataFrame, docs: DataFrame, join: Join, spent: DataFrame) ->
     discard(old)
     left, right = (rest.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("key", "component", "n", "fold")]) for x in "ab")
     across = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
-    pairs = left.join(right, across & _may_link(join)).select("a", "b").distinct()
-    last = _verified(pairs, held, docs, join)
+    last = _verified(_close(left.join(right, across & _may_link(join)), held, join).select("a", "b"), held, docs, join)
     discard(rest, held)
     return last if links is None else links.unionByName(last)
 
