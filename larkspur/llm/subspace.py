@@ -4,20 +4,20 @@ Unit vectors of cosine >= t have a squared distance of at most 2 - 2t. Vectors a
 principal axes of a bounded sample, and the axes dealt round-robin to blocks, so that
 each block has one of the leading axes. A block's budget is its share of the sample's
 variance times 2 - 2t; since the budgets add up to the whole, every linked pair is within
-budget in at least one block. Each block is range-joined: rows are dealt into strips
-along the block's leading axis, twice as wide as the block's radius; a vector is at home
-in one strip and visits those that its radius reaches. Candidates within budget are
-verified by the exact cosine of the original numbers. A pair is counted in the first block
-in which it is within budget, so the union of the blocks needs no shuffle of pairs.
-
-Strips are cut into tiles of at most about TILE home rows by TILE visitors, whatever one
-label's share is. A tile sends back a number of links per vector and one local root per
-linked vector, never pairs. Equal vectors are one class with a multiplicity.
+budget in at least one block. Each block is range-joined on all of its axes; pairs within
+budget in some block are verified by the exact cosine of the original numbers.
+
+A label is cut into tiles of bounded size by a hash; a task range-joins all blocks of two
+tiles, so a pair is looked at once however many blocks it is near in, and a label of any
+share spreads over tasks. (Dealing vectors into strips or cells along a block's axes was
+measured to be worse: a radius is about as large as the spread of an axis, so that cells of a block's
+radius and their neighbours hold most of a label, once for each block.) A task sends back a
+number of links per vector and one local root per linked vector, never pairs. Equal vectors
+are one class with a multiplicity.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import rest_worker, written
 from larkspur.llm.graph import components
 
-#: Axes of a block, rows of the sample that the rotation is fitted on, and rows on either side of a tile.
-BLOCK_AXES, SAMPLE_ROWS, TILE = 8, 4_000, 2_048
+#: Axes of a block, rows of the sample that the rotation is fitted on, and numbers in a tile (8,192 vectors of 64).
+BLOCK_AXES, SAMPLE_ROWS, TILE_NUMBERS = 8, 4_000, 1 << 19
 
-#: Most rows of strip counts that are broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows of a tile whose distances are held at once, and candidates whose vectors are.
+STEP, CHECKED = 256, 1 << 15
 
-SLACK = 1e-9
+#: Room for the rounding of block distances (single precision) and of budgets.
+ROUNDING, SLACK = 1e-5, 1e-9
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,10 @@ class Rotation:
 
     @classmethod
     def fit(cls, sample: np.ndarray, threshold: float) -> Rotation:
-        """From a sample of unit vectors (rows); equal shares where it shows no variance."""
+        """From a sample of unit vectors (rows), which may be empty; equal shares where it shows no variance."""
         size = sample.shape[1]
+        if not len(sample):
+            sample = np.eye(size)
         values, vectors = np.linalg.eigh(sample.T @ sample / max(1, len(sample)) - np.outer(sample.mean(0), sample.mean(0)))
         order = np.argsort(-values, kind="stable")
         count = max(1, -(-size // BLOCK_AXES))
@@ -69,113 +72,88 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 
 def rotations(classes: DataFrame, threshold: float) -> dict[int, Rotation]:
-    """A rotation for each vector length, from at most about SAMPLE_ROWS rows each, chosen by a hash of the vector."""
-    counts = {r["size"]: r["n"] for r in classes.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for size, n in counts.items():
-        share = F.when(F.col("size") == size, F.lit(min(1.0, SAMPLE_ROWS / n))).otherwise(share)
+    """Rotations by vector length, from about SAMPLE_ROWS rows of all lengths, chosen by a hash of the vector; a length may have none."""
+    share = min(1.0, SAMPLE_ROWS / max(1, classes.count()))
     drawn = F.shiftrightunsigned(F.xxhash64("embedding", F.lit(5)), 11).cast("double") / float(1 << 53)
-    held: dict[int, list] = {size: [] for size in counts}
-    for row in classes.where(drawn < share).select("size", "embedding").orderBy("size", "rep").collect():
-        held[row["size"]].append(row["embedding"])
-    return {size: Rotation.fit(_units(np.array(rows, np.float64)), threshold) if rows else Rotation.fit(np.eye(size), threshold) for size, rows in held.items()}
-
-
-def _tile(home: pa.Table, visit: pa.Table, block: int, rotation: Rotation, threshold: float) -> list[tuple[int, int, int]]:
-    """(vector, links found here, local root) of the vectors of a tile that have links."""
-    ids = [np.array(t.column("rep").to_numpy()) for t in (home, visit)]
-    if not len(ids[0]) or not len(ids[1]):
-        return []
-    raw = [_matrix(t.column("embedding").combine_chunks()) for t in (home, visit)]
-    norms = [np.linalg.norm(x, axis=1) for x in raw]
-    turned = [_units(x) @ rotation.axes for x in raw]
-    weights = visit.column("m").to_numpy()
-    own, budget = rotation.blocks[block], rotation.budgets[block]
-    x, y = turned[0][:, own], turned[1][:, own]
-    squares = (y * y).sum(1)
-    left, right = [], []
-    for at in range(0, len(x), 256):
-        some = x[at : at + 256]
-        near = (some * some).sum(1)[:, None] + squares - 2 * (some @ y.T) <= budget + SLACK
-        i, j = np.nonzero(near)
-        i += at
-        other = ids[0][i] != ids[1][j]
-        i, j = i[other], j[other]
-        for b in range(block + 1):  # the first block within budget counts the pair
-            gap = ((turned[0][i, rotation.blocks[b]] - turned[1][j, rotation.blocks[b]]) ** 2).sum(1)
-            fits = gap <= rotation.budgets[b]
-            fits = fits if b == block else ~fits
-            i, j = i[fits], j[fits]
-        cosine = (raw[0][i] * raw[1][j]).sum(1) / (norms[0][i] * norms[1][j])
-        linked = cosine >= threshold
-        left.append(i[linked])
-        right.append(j[linked])
-    i, j = np.concatenate(left), np.concatenate(right)
-    if not len(i):
-        return []
-    names, code = np.unique(np.concatenate([ids[0][i], ids[1][j]]), return_inverse=True)
-    a, b = code[: len(i)], code[len(i) :]
-    root = np.arange(len(names))
-    while True:  # smallest label along links, with jumps
+    held: dict[int, list] = {}
+    for row in classes.where(drawn < share).select("size", "embedding").orderBy("size", "rep").toLocalIterator():
+        held.setdefault(row["size"], []).append(row["embedding"])
+    return {size: Rotation.fit(_units(np.array(rows, np.float64)), threshold) for size, rows in held.items()}
+
+
+def _candidates(x: np.ndarray, y: np.ndarray, squares: list[np.ndarray], rotation: Rotation) -> np.ndarray:
+    """Which pairs of rows of x and y are within budget in some block."""
+    out = np.zeros((len(x), len(y)), bool)
+    for block, budget, square in zip(rotation.blocks, rotation.budgets, squares, strict=True):
+        a = x[:, block]
+        out |= (a @ y[:, block].T) * np.float32(2) >= (a * a).sum(1)[:, None] + (square - np.float32(budget + ROUNDING))
+    return out
+
+
+def _roots(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """The smallest of 0 to size - 1 that each of them reaches by the edges (a, b)."""
+    root = np.arange(size)
+    while True:
         least = root.copy()
         np.minimum.at(least, a, root[b])
         np.minimum.at(least, b, root[a])
         least = least[least]
         if (least == root).all():
-            break
+            return root
         root = least
-    links = np.zeros(len(names), np.int64)
-    np.add.at(links, a, weights[j])
-    return list(zip(names.tolist(), links.tolist(), names[root].tolist(), strict=True))
+
+
+def _tile_links(tiles: list[pa.Table], rotation: Rotation, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, links found here, local root) of the vectors with links within one tile, or between two."""
+    ids = [t.column("rep").to_numpy() for t in tiles]
+    weights = [t.column("m").to_numpy() for t in tiles]
+    raw = [_matrix(t.column("embedding").combine_chunks()) if t.num_rows else np.zeros((0, len(rotation.axes))) for t in tiles]
+    norms = [np.linalg.norm(x, axis=1) for x in raw]
+    turned = [((x / n[:, None]) @ rotation.axes).astype(np.float32) for x, n in zip(raw, norms, strict=True)]
+    last, shift = len(tiles) - 1, len(ids[0]) if len(tiles) > 1 else 0
+    names = np.concatenate(ids)
+    links, edges = np.zeros(len(names), np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    squares = [(turned[last][:, b] ** 2).sum(1) for b in rotation.blocks]
+    for at in range(0, len(ids[0]), STEP):
+        i, j = np.nonzero(_candidates(turned[0][at : at + STEP], turned[last], squares, rotation))
+        i += at
+        if not last:  # within one tile each pair once
+            i, j = i[i < j], j[i < j]
+        found = []
+        for k in range(0, len(i), CHECKED):
+            s, t = i[k : k + CHECKED], j[k : k + CHECKED]
+            linked = (raw[0][s] * raw[last][t]).sum(1) / (norms[0][s] * norms[last][t]) >= threshold
+            linked &= ids[0][s] != ids[last][t]  # several vectors of one id are no link
+            found.append((s[linked], t[linked] + shift))
+        if found:
+            a, b = map(np.concatenate, zip(*found, strict=True))
+            np.add.at(links, a, weights[last][b - shift])
+            np.add.at(links, b, weights[0][a])
+            root = _roots(np.concatenate([edges[0], a]), np.concatenate([edges[1], b]), len(names))
+            edges = np.flatnonzero(root != np.arange(len(root))), root[root != np.arange(len(root))]
+    root = _roots(*edges, len(names))
+    some = np.flatnonzero(links)
+    return names[some], links[some], names[root[some]]
 
 
 def link_counts(classes: DataFrame, threshold: float) -> DataFrame:
-    """rep, links and root rows of all tiles; ``classes`` has rep, m, label, size, embedding."""
+    """rep, links and root rows of all pairs of tiles; ``classes`` has rep, m, label, size, embedding."""
     spark = classes.sparkSession
     fitted = spark.sparkContext.broadcast(rotations(classes, threshold))
-    kind = classes.schema["embedding"].dataType.simpleString()
-    label = classes.schema["label"].dataType.simpleString()
-
-    def deal(batches):
-        for batch in batches:
-            sizes = batch.column("size").to_numpy()
-            for size in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == size))
-                rotation = fitted.value[int(size)]
-                turned = _units(_matrix(part.column("embedding"))) @ rotation.axes
-                for b, block in enumerate(rotation.blocks):
-                    radius = math.sqrt(rotation.budgets[b]) * (1 + SLACK) + SLACK
-                    lead = turned[:, block.start]
-                    home = np.floor(lead / (2 * radius)).astype(np.int64)
-                    low, high = (np.floor((lead + s * radius) / (2 * radius)).astype(np.int64) for s in (-1, 1))
-                    rows, strips, at_home = [], [], []
-                    for strip, flag in ((home, True), (low, False), (high, False)):
-                        chosen = np.flatnonzero(high > low) if strip is high else np.arange(len(lead))
-                        rows.append(chosen)
-                        strips.append(strip[chosen])
-                        at_home.append(np.full(len(chosen), flag))
-                    taken = part.take(pa.array(np.concatenate(rows)))
-                    columns = [taken.column(c) for c in ("label", "size", "rep", "m", "embedding")]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(taken.num_rows, b, np.int32)), pa.array(np.concatenate(strips)), pa.array(np.concatenate(at_home))], ["label", "size", "rep", "m", "embedding", "block", "strip", "home"])
-
-    schema = f"label {label}, size int, rep long, m long, embedding {kind}, block int, strip long, home boolean"
-    dealt = written(classes.select("label", "size", "rep", "m", "embedding").mapInArrow(deal, schema), "strips")
-    key = ["label", "size", "block", "strip"]
-    counts = dealt.groupBy(*key).agg(F.count_if("home").alias("nh"), F.count_if(~F.col("home")).alias("nv")).where("nh > 0 AND nv > 1")
-    tiles = counts.select(*key, F.ceil(F.col("nh") / TILE).cast("int").alias("ih"), F.ceil(F.col("nv") / TILE).cast("int").alias("iv"))
-    few = F.broadcast(tiles) if tiles.count() <= BROADCAST_ROWS else tiles
-    placed = dealt.join(few, key)
-    draw = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), F.col(n)).cast("int")
-    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    homes = placed.where("home").withColumn("i", draw("ih")).withColumn("j", F.explode(span("iv")))
-    visits = placed.where("NOT home").withColumn("j", draw("iv")).withColumn("i", F.explode(span("ih")))
-    rows = homes.select(*key, "i", "j", "rep", "m", "embedding", "home").unionByName(visits.select(*key, "i", "j", "rep", "m", "embedding", "home"))
+    key = ["label", "size"]
+    counts = classes.groupBy(*key).agg(F.count("*").alias("n")).select(F.col("label").alias("_label"), F.col("size").alias("_size"), F.ceil(F.col("n") * F.col("size") / TILE_NUMBERS).cast("int").alias("tiles"))
+    counts = written(counts, "tile-counts")
+    placed = classes.join(counts, (F.col("label") == F.col("_label")) & (F.col("size") == F.col("_size"))).withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("tiles")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = met.select(*key, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "m", "embedding")
 
     def join(group: pa.Table) -> pa.Table:
-        block, size = group.column("block")[0].as_py(), group.column("size")[0].as_py()
-        at_home = group.column("home").combine_chunks()
-        found = _tile(group.filter(at_home), group.filter(pa.compute.invert(at_home)), block, fitted.value[size], threshold)
-        names, links, roots = zip(*found, strict=True) if found else ((), (), ())
+        i, j, size = (group.column(c)[0].as_py() for c in ("i", "j", "size"))
+        tiles = [group.filter(pa.compute.equal(group.column("tile"), t)) for t in ([i] if i == j else [i, j])]
+        rotation = fitted.value.get(size) or Rotation.fit(np.zeros((0, size)), threshold)
+        names, links, roots = _tile_links(tiles, rotation, threshold)
+        del group, tiles
+        rest_worker()
         return pa.table({"rep": pa.array(names, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(roots, pa.int64())})
 
     return rows.groupBy(*key, "i", "j").applyInArrow(join, "rep long, links long, root long")
