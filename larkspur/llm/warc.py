@@ -19,12 +19,14 @@ digest and its length. Equality is that of SHA-256 digests and lengths.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,9 @@ MIN_REVISIT, DICTIONARY_BYTES, TRAIN_BYTES = 100, 64 << 10, 4 << 20
 #: Part of a record that is used for training; compressed bytes of a written row, and rows of a file.
 TRAIN_RECORD, ROW_BYTES, FILE_ROWS = 64 << 10, 1 << 20, 64
 
+#: Bytes of an archive that are handed to the decompressor first for each record.
+FIRST_SLICE = 1 << 10
+
 LEVEL = 3
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -56,17 +61,21 @@ def _unheader(value: str) -> str:
     return value
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool) -> bytes:
-    """A WARC/1.1 record; a revisit has no block but keeps the digest and the length of its payload."""
+def record_bytes(name: str, date: str, page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """A WARC/1.1 record of the given id and date; a revisit (of the page ``refers_to``) has no block but keeps the digest and the length of its payload."""
+    revisit = refers_to is not None
     block = b"" if revisit else payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{name}>",
+        f"WARC-Date: {date}",
         *([] if url is None else [f"WARC-Target-URI: {_header(url)}"]),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {size}",
-        *([f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"] if revisit else []),
+        *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
+        *([f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to}"] if revisit else []),
+        *([] if refers_url is None else [f"WARC-Refers-To-Target-URI: {_header(refers_url)}"]),
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(block)}",
     ]
@@ -115,14 +124,26 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             continue
         if reader is None:
             raise ValueError("records stand before the dictionary")
-        machine = reader.decompressobj()
-        data = machine.decompress(memoryview(content)[at:])
-        at = len(content) - len(machine.unused_data)
+        data, at = _frame(reader, content, at)
         yield parse_record(data)
 
 
+def _frame(reader: zstandard.ZstdDecompressor, content: bytes, at: int) -> tuple[bytes, int]:
+    """The content of the frame at ``at``, and where it ends. Frames don't say how long they are, so the reader gets slices that
+    double: what is handed to it beyond the frame's end is less than the frame and ``FIRST_SLICE`` together, whatever follows."""
+    machine, parts, step = reader.decompressobj(), [], FIRST_SLICE
+    while not machine.eof:
+        part = content[at : at + step]
+        if not part:
+            raise ValueError("an archive ends inside a record")
+        parts.append(machine.decompress(part))
+        at += len(part)
+        step *= 2
+    return b"".join(parts), at - len(machine.unused_data)
+
+
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, size, digest, refers_to: which rows are revisits, and of what.
+    """page_id, url, html, size, digest, refers_to, refers_url: which rows are revisits, and of what.
 
     Digests are grouped with partial sums before the shuffle; only rows of a digest that
     occurs more than once join its smallest page_id, on narrow rows that Spark may split
@@ -131,16 +152,22 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", utf8_size("html").alias("size"), F.sha2(payload, 256).alias("digest"))
-    narrow = rows.where(F.col("size") >= MIN_REVISIT).where("page_id IS NOT NULL").select("page_id", "size", "digest")
-    firsts = narrow.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "size", "first")
-    revisits = narrow.join(firsts, ["digest", "size"]).where("page_id > first").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to")).distinct()
+    narrow = rows.where(F.col("size") >= MIN_REVISIT).where("page_id IS NOT NULL").select("page_id", "url", "size", "digest")
+    firsts = narrow.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.min_by("url", "page_id").alias("refers_url")).where("first < last")
+    revisits = narrow.drop("url").join(firsts, ["digest", "size"]).where("page_id > first").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to"), "refers_url").distinct()
     return rows.join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").drop("_page", "_digest")
 
 
-def write_archives(pages: DataFrame, folder: str) -> None:
-    """Write a record for each row of page_id, url and html (null: empty payload)."""
+def write_archives(pages: DataFrame, folder: str, date: str | None = None) -> None:
+    """Write a record for each row of page_id, url and html (null: empty payload).
+
+    ``date`` is the time of all records, as WARC-Date has it; by default that of this call.
+    Record ids are unique over the archives, also where a page_id repeats or is null.
+    """
+    date, job = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), uuid.uuid4()
 
     def run(batches):
+        part, number = TaskContext.get().partitionId(), 0
         waiting: list[bytes] = []  # records of a new file, until there are enough for its dictionary
         held, writer, row, size, filed = 0, None, [], 0, 0
 
@@ -161,9 +188,9 @@ def write_archives(pages: DataFrame, folder: str) -> None:
             return out
 
         for batch in batches:
-            for page_id, url, html, length, digest, refers_to in zip(*batch.columns, strict=True):
-                refers = refers_to.as_py()
-                record = record_bytes(page_id.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"), digest.as_py(), length.as_py(), refers, refers is not None)
+            for page_id, url, html, *rest in zip(*batch.columns, strict=True):
+                name, number = uuid.uuid5(job, f"{part}/{number}").urn, number + 1
+                record = record_bytes(name, date, page_id.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"), *(x.as_py() for x in rest))
                 if writer is None:
                     waiting.append(record)
                     held += len(record)
@@ -179,7 +206,7 @@ def write_archives(pages: DataFrame, folder: str) -> None:
         if row:
             yield flush()
 
-    rows = plan_records(pages).select("page_id", "url", "html", "size", "digest", "refers_to")
+    rows = plan_records(pages).select("page_id", "url", "html", "digest", "size", "refers_to", "refers_url")
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", FILE_ROWS).text(folder)
 
 
@@ -198,8 +225,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     digest, size = fields["WARC-Payload-Digest"].partition(":")[2], int(fields["X-Payload-Length"])
                     if not revisit and (len(block) != size or hashlib.sha256(block).hexdigest() != digest):
                         raise ValueError("a payload doesn't match its digest")
-                    name, of = fields["WARC-Record-ID"][10:-1], fields.get("WARC-Refers-To")
-                    rows.append((None if name == "null" else int(name), _unheader(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None, size, digest, fields["WARC-Type"], int(of[10:-1]) if of else None, None if revisit else block))
+                    name, of = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
+                    rows.append((None if name is None else int(name), _unheader(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None, size, digest, fields["WARC-Type"], None if of is None else int(of), None if revisit else block))
                     if len(rows) == 256:
                         yield _batch(rows)
                         rows = []
