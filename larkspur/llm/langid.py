@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import rest_worker
@@ -31,12 +31,18 @@ UND = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """n-gram lengths, profile length, and rows per language that profiles are fitted on."""
+    """n-gram lengths, profile length, and rows per language that profiles are fitted on.
+
+    A text is of no learned language if its closeness is below ``reject`` times the one that all but
+    ``outliers`` of the sampled rows of the language reach.
+    """
 
     longest: int = 5
     profile: int = 300
     sample_rows: int = 400
     bits: int = 12
+    reject: float = 0.6
+    outliers: float = 0.01
 
 
 @lru_cache(1)
@@ -124,13 +130,10 @@ class Profiles:
 
 
 def _sampled(labelled: DataFrame, settings: Settings) -> DataFrame:
-    """Per language about ``sample_rows`` rows with the lowest hashes of id and text (all rows of a small language)."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for language, n in counts.items():
-        share = F.when(F.col("lang") == F.lit(language), F.lit(min(1.0, settings.sample_rows / n))).otherwise(share)
+    """Per language about ``sample_rows`` rows, chosen by a hash of the id (all rows of a small language)."""
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11).cast("double") / float(1 << 53)
-    return labelled.where(drawn < share)
+    return labelled.join(F.broadcast(counts), "lang").where(drawn * F.col("n") < settings.sample_rows).select("text", "lang")
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Profiles:
@@ -151,18 +154,30 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Profiles:
             grams, counts = counted(np.concatenate(parts))
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = _sampled(rows, settings).select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-    try:
-        by_language = {}
-        for (language,) in counts.select("lang").distinct().collect():
-            # the code's order as an unsigned number breaks ties
-            top = counts.where(F.col("lang") == language).orderBy(F.col("n").desc(), (F.col("gram") < 0), "gram").limit(settings.profile)
-            by_language[language] = [r["gram"] & (1 << 64) - 1 for r in top.orderBy(F.col("n").desc(), (F.col("gram") < 0), "gram").collect()]
-        return Profiles(by_language, settings)
-    finally:
-        counts.unpersist()
+    counts = _sampled(_learnable(labelled), settings).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # the code's order as an unsigned number breaks ties
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("gram") < 0, "gram"))
+    by_language: dict[str, list[int]] = {}
+    for row in counts.withColumn("rank", rank).where(F.col("rank") <= settings.profile).orderBy("lang", "rank").collect():
+        by_language.setdefault(row["lang"], []).append(row["gram"] & (1 << 64) - 1)
+    return Profiles(by_language, settings)
+
+
+def _learnable(labelled: DataFrame) -> DataFrame:
+    return labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+
+
+def fit_bounds(labelled: DataFrame, profiles: Profiles) -> dict[str, float]:
+    """The least closeness of each learned language, from the rows that its profile was fitted on."""
+    settings = profiles.settings
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            found = [profiles.predict(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
+
+    scores = _sampled(_learnable(labelled), settings).mapInArrow(run, "lang string, score double").where(F.col("lang") != UND)
+    return {r["lang"]: settings.reject * r["low"] for r in scores.groupBy("lang").agg(F.percentile("score", F.lit(settings.outliers)).alias("low")).collect()}
 
 
 def predict(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFrame:
@@ -180,19 +195,22 @@ def predict(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, settings: Settings = Settings(), least: float = 0.1) -> DataFrame:
-    """``docs`` without rows of no learned language: no letter, or a closeness below ``least``; all columns stay.
+def keep_identified(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``docs`` without rows of no learned language: no letter, or a closeness below the language's bound; all columns stay.
 
-    Profiles are fitted on the rows that are not held out. Where no row has a language
-    there is nothing to judge by, and every row with a letter stays.
+    Profiles and bounds are fitted on rows that are not held out. Null and empty texts have no
+    letter. Where no row has a language there is nothing to judge by, and every row with a
+    letter stays. Repeated rows are judged alike; other columns may have any names.
     """
-    profiles = fit(docs.where(~held_out(F.col("doc_id"))), settings)
+    learned = docs.where(~held_out(F.col("doc_id")))
+    profiles = fit(learned, settings)
+    bounds = fit_bounds(learned, profiles) if profiles.languages else {}
 
     def clean(text: str | None) -> bool:
         if not profiles.languages:
             return bool(text) and len(letters_of(text)) > 0
         language, score = profiles.predict(text)
-        return language != UND and score >= least
+        return language != UND and score >= bounds.get(language, 0.0)
 
     def run(batches):
         for batch in batches:
