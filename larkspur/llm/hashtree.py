@@ -46,8 +46,12 @@ def _draw(key: Column, node: str, weight: float) -> Column:
     """-ln(u)/weight; a child of weight 0 or less is never taken while another has weight."""
     if weight <= 0:
         return F.lit(float("inf"))
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(node)), 11).cast("double")
-    return -F.log((bits + 0.5) / float(1 << 53)) / F.lit(float(weight))
+    return -F.log((_hashed(node, key, 13).cast("double") + 0.5) / float(1 << 52)) / F.lit(float(weight))
+
+
+def _hashed(node: str, key: Column, digits: int) -> Column:
+    """A number of so many hexadecimal digits out of the MD5 of node and key: any engine can draw the same."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{node}:"), key)), 1, digits), 16, 10).cast("long")
 
 
 def _winner(key: Column, path: str, weights: Sequence[float]) -> Column:
@@ -94,11 +98,13 @@ def assign(df: DataFrame, key: Column, topology: Topology, prefix: str = "shard"
 def number_slots(df: DataFrame, shard: str, order: Sequence[str], rows: int, slot: str = "slot") -> DataFrame:
     """Gapless numbers from 0 within each shard, in the order (bucket, order columns).
 
-    ``rows`` is the row count; it only sets the number of buckets. Equal rows are
-    interchangeable: they get different numbers.
+    ``rows`` is the row count; it only sets the number of buckets. The first of the order columns
+    decides the bucket, so it should be a key of the rows. Equal rows are interchangeable: they
+    get different numbers.
     """
     buckets = max(1, math.ceil(rows / BUCKET_ROWS))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), *order), F.lit(buckets)).cast("int"))
+    first_key = F.coalesce(F.col(order[0]).cast("string"), F.lit("\u0000null"))
+    dealt = df.withColumn("_bucket", F.pmod(_hashed("slot", first_key, 8), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(F.col(shard).alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
