@@ -33,6 +33,21 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns but doc_id and text named by their numbers, so that no column's name can clash with one added here."""
+    return docs.toDF(*[c.lower() if c.lower() in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)])
+
+
+def _named(plain: DataFrame, columns: list[str], counts: tuple[str, str], removed: Column) -> DataFrame:
+    """The columns as they were called, with the new text ``_new``, and two counts."""
+    known = {"text": "_new", "doc_id": "doc_id"}
+    return plain.select(
+        *[F.col(known.get(c.lower(), f"c{k}")).alias(c) for k, c in enumerate(columns) if c.lower() not in counts],
+        removed.alias(counts[0]),
+        F.coalesce(F.length("text") - F.length("_new"), F.lit(0)).alias(counts[1]),
+    )
+
+
 def with_chunks(docs: DataFrame, only: Column | None = None) -> DataFrame:
     """Add ``_lines`` and ``_chunks``: an array of (first, last) line numbers from 0; null for a null text and where ``only`` doesn't hold."""
     lines = F.split("text", "\n", -1)
@@ -85,25 +100,20 @@ def _repeats(each: DataFrame) -> DataFrame:
     return out
 
 
-def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and n_removed (chunks) and removed_chars.
+def remove_repeated_chunks(docs: DataFrame, counts: tuple[str, str] = ("n_removed", "removed_chars")) -> DataFrame:
+    """``docs`` with repeated chunks taken out of ``text``, and two counts: chunks and characters removed.
 
     Null and empty texts and texts of one line stay as they are. Rows that agree in doc_id
     and text are one document: they keep and lose the same chunks. Of a text all of whose
-    chunks go, the empty string is left. Columns named n_removed or removed_chars are
-    replaced; an empty table gives an empty result.
+    chunks go, the empty string is left. Columns named like the counts are replaced; others
+    may have any names. An empty table gives an empty result.
     """
     gone = _few(repeated_chunks(docs).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), "_gone"))
-    columns = [c for c in docs.columns if c not in ("n_removed", "removed_chars")]
-    joined = docs.select(*columns).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")) & F.contains("text", F.lit("\n")), "left")
+    joined = _plain(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")) & F.contains("text", F.lit("\n")), "left")
     chunked = with_chunks(joined, F.col("_gone").isNotNull())
     stay = F.filter("_chunks", lambda c, i: ~F.array_contains(F.col("_gone"), i))
     rest = _held(chunked, "_new", F.coalesce(F.array_join(F.transform(stay, _chunk_text), "\n"), F.col("text")))
-    return rest.select(
-        *[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns],
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed"),
-        F.coalesce(F.length("text") - F.length("_new"), F.lit(0)).alias("removed_chars"),
-    )
+    return _named(rest, docs.columns, counts, F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")))
 
 
 def repeated_pairs(docs: DataFrame) -> DataFrame:
@@ -114,8 +124,8 @@ def repeated_pairs(docs: DataFrame) -> DataFrame:
     return _repeats(lines.select("doc_id", "_text", F.posexplode(pairs).alias("pos", "chunk")))
 
 
-def remove_repeated_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated multi-line passages of any place taken out of ``text``, and n_removed (passages) and removed_chars.
+def remove_repeated_passages(docs: DataFrame, counts: tuple[str, str] = ("n_removed", "removed_chars")) -> DataFrame:
+    """``docs`` with repeated multi-line passages of any place taken out of ``text``, and two counts: passages and characters removed.
 
     Two neighbouring lines repeat if they are neighbours, in this order, at an earlier place by
     (doc_id, line number). Lines joined by such pairs are a passage; it goes whole unless it is
@@ -124,8 +134,7 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     texts of one line, repeated rows and columns are treated as by ``remove_repeated_chunks``.
     """
     gone = _few(repeated_pairs(docs).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), F.array_sort("_gone").alias("_gone")))
-    columns = [c for c in docs.columns if c not in ("n_removed", "removed_chars")]
-    joined = docs.select(*columns).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")) & F.contains("text", F.lit("\n")), "left")
+    joined = _plain(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")) & F.contains("text", F.lit("\n")), "left")
     g = F.col("_gone")
     out = _held(joined, "_lines", F.when(g.isNotNull(), F.split("text", "\n", -1)))
     first = F.filter(g, lambda x, k: F.coalesce(F.get(g, k - 1) != x - 1, F.lit(True)))
@@ -137,11 +146,7 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     between = F.transform(F.concat(r, F.array(F.struct(F.size("_lines").alias("first"), F.size("_lines").alias("last")))), lambda c, k: F.struct(F.coalesce(F.get(r, k - 1)["last"] + 1, F.lit(0)).alias("first"), (c["first"] - 1).alias("last")))
     out = _held(out, "_stay", F.filter(between, lambda c: c["first"] <= c["last"]))
     rest = _held(out, "_new", F.coalesce(F.array_join(F.transform("_stay", _chunk_text), "\n"), F.col("text")))
-    return rest.select(
-        *[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns],
-        F.when(r.isNull(), 0).otherwise(F.size(r)).alias("n_removed"),
-        F.coalesce(F.length("text") - F.length("_new"), F.lit(0)).alias("removed_chars"),
-    )
+    return _named(rest, docs.columns, counts, F.when(r.isNull(), 0).otherwise(F.size(r)))
 
 
 #: The same in DuckDB, for rows of documents whose doc_id is unique.

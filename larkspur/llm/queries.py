@@ -87,6 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from larkspur.llm import linechunks
+    from larkspur.llm import oracles
 
-    return {"op5_line_chunks": linechunks.ORACLE}
+    return dict(oracles.SQL)
