@@ -23,10 +23,10 @@ def stable_id(*keys: str) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 2)
 
 
-def import_places(spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(places, audit): one row per natural key, the last line of a key wins."""
+def import_places(spark: SparkSession, path: str, limit: int | None = None, areas: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """(places, audit): one row per natural key, the last line of a key wins; boroughs by the boundaries ``areas``, if any."""
     scanned = raw.scan_lines(spark, path, raw.PLACE, limit)
-    curated = raw.curate_places(raw.accepted(scanned))
+    curated = raw.curate_places(raw.accepted(scanned), areas)
     kept = curated.where("outcome = 'accept'").drop("outcome", "reason")
     places = latest(kept, ["gmap_id"], [F.col("line_no").desc()]).drop("line_no")
     bad = raw.rejected(scanned).select(F.lit("reject").alias("outcome"), "reason")
@@ -35,13 +35,13 @@ def import_places(spark: SparkSession, path: str, limit: int | None = None) -> t
 
 
 def import_reviews(spark: SparkSession, path: str, places: DataFrame, least_chars: int = 1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reviews, audit): reviews of known places, one per (place, text hash, rating, time)."""
+    """(reviews, audit): reviews of known places, one per (place, text hash, rating, time); the last line of a key wins."""
     scanned = raw.scan_lines(spark, path, raw.REVIEW, limit)
     curated = raw.curate_reviews(raw.accepted(scanned), least_chars)
     joined = curated.join(places.select("gmap_id", "restaurant_id"), "gmap_id", "left")
     judged = joined.withColumn("outcome", F.when((F.col("outcome") == "accept") & F.col("restaurant_id").isNull(), "unmatched").otherwise(F.col("outcome")))
     key = ["restaurant_id", "text_hash", "rating", "reviewed_at"]
-    reviews = judged.where("outcome = 'accept'").dropDuplicates(key).withColumn("id", stable_id(*key)).select("id", *key, "text", "topic_tags", "dedup_key")
+    reviews = latest(judged.where("outcome = 'accept'"), key, [F.col("line_no").desc()]).withColumn("id", stable_id(*key)).select("id", *key, "text", "topic_tags", "dedup_key")
     bad = raw.rejected(scanned).select(F.lit("reject").alias("outcome"), "reason")
     audit = outcome_counts(judged.select("outcome", "reason").unionByName(bad)).withColumn("stage", F.lit("reviews"))
     return reviews, audit
@@ -58,8 +58,8 @@ def scored(places: DataFrame) -> DataFrame:
     return places.withColumn(
         "knowledge_score",
         knowledge_score(
-            address=F.col("address") != "", location=F.col("lat").isNotNull(), cuisine=F.size("cuisine_tags") > 0, attributes=F.exists(F.map_values("tri_states"), lambda x: x == "true"),
-            atmosphere=F.size("atmosphere_tags") > 0, service_options=F.size("service_option_tags") > 0, rating=F.col("source_avg").isNotNull(), text_reviews=F.col("text_count"),
+            description=F.col("description") != "", address=F.col("address") != "", location=F.col("lat").isNotNull(), cuisine=F.size("cuisine_tags") > 0, attributes=F.exists(F.map_values("tri_states"), lambda x: x == "true"),
+            atmosphere=F.size("atmosphere_tags") + F.size("popular_for_tags") > 0, service_options=F.size("service_option_tags") > 0, rating=F.col("source_avg").isNotNull(), text_reviews=F.col("text_count"),
             closed=F.col("snapshot_status") == "permanently_closed",
         ),
     )
@@ -76,9 +76,10 @@ def selected(places: DataFrame, target: int = 0) -> DataFrame:
     return places.join(F.broadcast(top), "gmap_id", "left").withColumn("is_active", F.coalesce("_on", F.lit(False))).drop("_on")  # at most MOST rows
 
 
-def import_all(spark: SparkSession, place_path: str, review_path: str, folder: str, target: int = 0) -> None:
+def import_all(spark: SparkSession, place_path: str, review_path: str, folder: str, target: int = 0, boundary_path: str | None = None) -> None:
     """All stages in order; tables ``places``, ``reviews`` and ``audit`` are written under the folder."""
-    places, place_audit = import_places(spark, place_path)
+    areas = raw.load_boundaries(spark, boundary_path) if boundary_path else None
+    places, place_audit = import_places(spark, place_path, areas=areas)
     places.write.mode("overwrite").parquet(f"{folder}/places_curated")
     places = spark.read.parquet(f"{folder}/places_curated")
     reviews, review_audit = import_reviews(spark, review_path, places)

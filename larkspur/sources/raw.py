@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from larkspur.functions import geo
 from larkspur.functions import text as X
+from larkspur.functions.interpret import hours
 
 def _schema(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
@@ -62,8 +63,13 @@ def labels_of(misc: Column) -> Column:
     return F.coalesce(F.transform_values(top, lambda k, v: F.coalesce(listed(v), F.array().cast("array<string>"))), F.create_map().cast("map<string,array<string>>"))
 
 
-def curate_places(raw: DataFrame) -> DataFrame:
-    """Raw places with ``outcome`` (accept, filter or reject) and ``reason``, by the first rule that applies, and the curated fields."""
+def curate_places(raw: DataFrame, areas: list[tuple[str, list]] | None = None) -> DataFrame:
+    """Raw places with ``outcome`` (accept, filter or reject) and ``reason``, by the first rule that applies, and the curated fields.
+
+    ``areas`` are boundaries as ``load_boundaries`` gives them; a point in none of them is in no
+    borough. Only without boundaries do the boxes decide.
+    """
+    borough = geo.area_by_box if areas is None else lambda lat, lon: geo.area_by_polygon(lat, lon, areas)
     lat, lon = F.col("latitude"), F.col("longitude")
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     food, valid, served = X.is_food_place(F.col("category")), geo.valid_point(lat, lon), geo.in_box(lat, lon, *geo.SERVICE_AREA)
@@ -72,10 +78,11 @@ def curate_places(raw: DataFrame) -> DataFrame:
     return raw.select(
         *[c for c in ("line_no",) if c in raw.columns],
         F.when(reason.isNull(), "accept").when(reason.isin("not_food", "outside_area"), "filter").otherwise("reject").alias("outcome"), reason.alias("reason"), "gmap_id", F.trim("name").alias("name"),
-        F.trim(F.coalesce("address", F.lit(""))).alias("address"), X.cuisine_tags(F.col("category")).alias("cuisine_tags"), X.price_level(F.col("price")).alias("price_level"),
-        F.col("avg_rating").alias("source_avg"), X.snapshot_status(F.col("state")).alias("snapshot_status"), geo.area_by_box(lat, lon).alias("borough"), lat.alias("lat"), lon.alias("lon"),
+        F.trim(F.coalesce("address", F.lit(""))).alias("address"), F.trim(F.coalesce("description", F.lit(""))).alias("description"), hours(F.col("hours")).alias("hours"), X.cuisine_tags(F.col("category")).alias("cuisine_tags"), X.price_level(F.col("price")).alias("price_level"),
+        F.col("avg_rating").alias("source_avg"), X.snapshot_status(F.col("state")).alias("snapshot_status"), borough(lat, lon).alias("borough"), lat.alias("lat"), lon.alias("lon"),
         F.col("num_of_reviews").alias("source_review_count"), F.coalesce(F.col("num_of_reviews") >= X.REVIEW_COUNT_CAP, F.lit(False)).alias("source_review_count_capped"),
         X.tri_states(misc).alias("tri_states"), X.tags_of(misc, "atmosphere").alias("atmosphere_tags"), X.tags_of(misc, "service_options").alias("service_option_tags"),
+        X.tags_of(misc, "popular_for").alias("popular_for_tags"), X.tags_of(misc, "accessibility").alias("accessibility_tags"),
     )
 
 
@@ -86,6 +93,7 @@ def curate_reviews(raw: DataFrame, least_chars: int = 1) -> DataFrame:
     reason = F.when(F.trim(F.coalesce("gmap_id", F.lit(""))) == "", "missing_id").when(~F.coalesce(F.col("rating").between(1, 5), F.lit(False)), "rating").when(F.coalesce("time", F.lit(0)) <= 0, "time").when(at.isNull(), "time_range")
     hashed = X.text_hash(text)
     return raw.select(
+        *[c for c in ("line_no",) if c in raw.columns],
         F.when(reason.isNull(), "accept").otherwise("reject").alias("outcome"), reason.alias("reason"), "gmap_id", "rating", at.alias("reviewed_at"), text.alias("text"), hashed.alias("text_hash"),
         X.topics(text).alias("topic_tags"), X.joined_hash(F.col("gmap_id"), F.col("user_id"), F.col("time"), hashed).alias("dedup_key"),
     )
