@@ -63,6 +63,20 @@ def top_keywords(texts: DataFrame, keys: Sequence[str], limit: int) -> DataFrame
     return ranked.where(F.col("rank") <= limit)
 
 
+def topic_keywords(texts: DataFrame, limit: int) -> DataFrame:
+    """restaurant_id, topic and keywords: the most frequent significant words of the texts of each place and topic, an array of at most ``limit``."""
+    tagged = texts.select("restaurant_id", "text", F.explode(topics(F.col("text"))).alias("topic"))
+    best = top_keywords(tagged, ["restaurant_id", "topic"], limit)
+    return best.groupBy("restaurant_id", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
+
+
+def coverage(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """How many known keys have rows, how many are known, and the one's share of the other (0 where none is known)."""
+    covered = rows.select(key).distinct().join(known.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("covered"))
+    total = known.select(key).distinct().agg(F.count("*").alias("known"))
+    return covered.join(total).withColumn("kept_fraction", F.when(F.col("known") > 0, F.col("covered") / F.col("known")).otherwise(0.0))  # one row each
+
+
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """Per key the values at sorted index int(p * (n - 1)), by counting distinct values, not collecting rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
