@@ -47,28 +47,31 @@ def check_budget(budget: int) -> int:
     return budget
 
 
-def _total(rows: list[dict]) -> int:
-    return sum(r["cost"] for r in rows)
+def greedy(costs: list[int], budget: int) -> list[int]:
+    """Places of the rows that fit when each is taken in turn unless it would exceed the budget."""
+    taken = []
+    for at, cost in enumerate(costs):
+        if cost <= budget:
+            taken.append(at)
+            budget -= cost
+    return taken
 
 
 def assemble_rows(rows: list[dict], budget: int) -> list[dict]:
-    """Greedy by score, skipping what doesn't fit, then the floor of two kinds; rows come by falling score and rising id."""
-    kept, spent = [], 0
-    for row in rows:
-        if spent + row["cost"] <= budget:
-            kept.append(row)
-            spent += row["cost"]
-    if len(kept) < 2 or len({r["doc_type"] for r in kept}) >= 2:
-        return kept
-    other = next((r for r in rows if r["doc_type"] != kept[0]["doc_type"]), None)
-    if other is None:
-        return kept
-    work = list(kept)
-    while len(work) > 1 and budget - _total(work) < other["cost"]:
-        work.remove(min(work, key=lambda r: (r["score"], -r["document_id"])))
-    if budget - _total(work) < other["cost"]:
+    """Rows within the budget; they come, and are returned, by falling score and rising id.
+
+    Where all rows that fit are of one kind, the best row of another kind takes the place of as
+    few of the last ones as make room for it, if the first can stay.
+    """
+    kept = [rows[at] for at in greedy([r["cost"] for r in rows], budget)]
+    kinds = {r["doc_type"] for r in kept}
+    newcomer = next((r for r in rows if r["doc_type"] not in kinds), None)
+    if len(kept) < 2 or len(kinds) > 1 or newcomer is None:
         return kept
-    return sorted([*work, other], key=lambda r: (-r["score"], r["document_id"]))
+    for stay in range(len(kept), 0, -1):
+        if sum(r["cost"] for r in kept[:stay]) + newcomer["cost"] <= budget:
+            return [r for r in rows if r in kept[:stay] or r is newcomer]
+    return kept
 
 
 def assemble(docs: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
@@ -90,8 +93,18 @@ def assemble(docs: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
     return priced.select("restaurant_id", "document_id", "doc_type", "score", "cost").groupBy("restaurant_id").applyInPandas(fold, "restaurant_id long, document_id long, cost long, position long, status string")
 
 
-def adequacy(kinds: Column, docs: Column) -> Column:
-    return F.when(docs == 0, "facts_only").when(kinds >= 2, "evidence").otherwise("review_gap")
+#: Kinds of documents that an answer without a caveat needs.
+ANSWERABLE_KINDS = 2
+
+
+def adequacy(docs: Column, kinds: Column, candidates: Column, soft: Column) -> Column:
+    """Struct of mode and sufficient, from the numbers of documents, their kinds, candidates and soft conditions.
+
+    Any document makes it evidence; without one, candidates are facts, and soft conditions that
+    no review speaks to are a gap. Without candidates either there is no mode.
+    """
+    mode = F.when(docs > 0, "evidence").when(candidates == 0, None).when(soft > 0, "review_gap").otherwise("facts_only")
+    return F.struct(mode.alias("mode"), F.coalesce(F.when(mode == "evidence", kinds >= ANSWERABLE_KINDS).otherwise(mode == "facts_only"), F.lit(False)).alias("sufficient"))
 
 
 def trim_history(messages: DataFrame, key: str, order: str, last: int, budget: int) -> DataFrame:
@@ -150,20 +163,38 @@ def representative(reviews: DataFrame) -> DataFrame:
 
 
 def topic_summary(label: Column, n: Column, mean: Column, positive: Column, keywords: Column) -> Column:
-    """One line of text from a topic's figures."""
-    words = F.when(F.size(keywords) > 0, F.concat(F.lit("; often: "), F.array_join(keywords, ", "))).otherwise("")
-    share = F.replace(F.format_number(positive * 100, 0), F.lit(","), F.lit(""))
-    return F.concat(label, F.lit(": "), n.cast("string"), F.lit(" reviews, average "), one_decimal(mean), F.lit(" stars, positive "), share, F.lit("%"), words)
+    """The stored line of a topic's figures."""
+    words = F.when(F.size(keywords) > 0, F.concat(F.lit("高频词："), F.array_join(keywords, "、"), F.lit("。"))).otherwise("暂无明显关键词。")
+    return F.concat(label, F.lit("："), n.cast("string"), F.lit(" 条评论，平均 "), one_decimal(mean), F.lit(" 星，正面占比 "), _percent(positive), F.lit("%。"), words)
+
+
+def _percent(share: Column) -> Column:
+    return F.replace(F.format_number(share * 100, 0), F.lit(","), F.lit(""))
 
 
 def summary_average(text: Column) -> Column:
-    """The average read back out of a rendered summary."""
-    return F.regexp_extract(text, r"average (\d+\.\d)", 1).try_cast("double")
+    """The average read back out of a stored line; null where there is none."""
+    return F.nullif(F.regexp_extract(text, r"平均 (?:评分)?\s*(?:平均)?\s*([^ 星]+)[ 星]", 1), F.lit("")).try_cast("double")
+
+
+def sentiment_phrase(offset: Column) -> Column:
+    """A topic's mean against the place's, in words; none within 0.15."""
+    return F.when(offset > 0.15, "更受好评").when(offset < -0.15, "评价偏低").otherwise("")
+
+
+def summary_document(name: Column, label: Column, line: Column, n: Column, positive: Column, offset: Column) -> Column:
+    """The citable document of a topic; its average is that of the stored line."""
+    average = summary_average(line)
+    said = F.when(average.isNull(), "评分未知").otherwise(F.concat(one_decimal(average), F.lit(" 星")))
+    phrase = sentiment_phrase(offset)
+    head = F.concat(name, F.lit("的"), label, F.lit("评论\n在 "), n.cast("string"), F.lit(" 条提到"), label, F.lit("的评论中，平均评分 "), said, F.lit("，正面（4–5 星）占比 "), _percent(positive), F.lit("%。"))
+    return F.concat(head, F.when(phrase != "", F.concat(F.lit("该主题相对本店整体"), phrase, F.lit("。"))).otherwise(""))
 
 
 def clock_label(minute: Column) -> Column:
+    """A minute of the day as 9:05 or 17:00; the days before and after count on."""
     m = F.pmod(minute, F.lit(1440))
-    return F.format_string("%02d:%02d", F.floor(m / 60), F.pmod(m, F.lit(60)))
+    return F.format_string("%d:%02d", F.floor(m / 60), F.pmod(m, F.lit(60)))
 
 
 def sample_document(name: Column, selected: Column, available: Column, most: int = 400) -> Column:
@@ -173,14 +204,24 @@ def sample_document(name: Column, selected: Column, available: Column, most: int
     return F.array_join(F.concat(F.array(head), lines), "\n")
 
 
+# ---- Fixed values: the gate's lengths and patterns.
+
+GATE_LENGTHS = (150, 800)
+GATE_URL = r"(?i)(https?://|www\.)\S+"
+GATE_EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+GATE_PHONE = r"(\+?\d{1,3}[-.\s]\d{3}[-.\s]\d{4})|(1[3-9]\d{9})"
+GATE_OVERRIDE = (
+    r"(?i)(忽略[^\n]{0,6}指令|无视[^\n]{0,6}指令|不要(再)?(遵守|听取)[^\n]{0,6}(指令|规则)"
+    r"|ignore\s+(all\s+)?(the\s+)?(previous|prior|above|preceding|earlier)\s+(instruction|prompt|rule)s?"
+    r"|disregard\s+(all\s+)?(the\s+)?(previous|prior|above|preceding)\s+(instruction|prompt|rule)s?"
+    r"|forget\s+(all\s+)?(the\s+)?(previous|prior|above)\s+(instruction|prompt|rule)s?)"
+)
+
+
 def text_problems(text: Column) -> Column:
-    """Names of the gate's rules that a generated text breaks."""
-    from larkspur.functions.text import EMAIL, PHONE
-
-    return F.array_compact(
-        F.array(
-            F.when(F.length(text) < 150, "too_short"), F.when(F.length(text) > 800, "too_long"), F.when(text.rlike(r"(?i)https?://|www\."), "url"),
-            F.when(text.rlike(EMAIL), "email"), F.when(text.rlike(PHONE), "phone"), F.when(text.rlike(r"(?i)ignore\s+(all\s+)?(the\s+)?(previous|prior|above)\s+(instruction|prompt|rule)s?"), "override"),
-        )
-    )
+    """Names of the gate's rules that a generated text, without white space at its ends, breaks."""
+    body = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    rules = {"url": GATE_URL, "email": GATE_EMAIL, "phone": GATE_PHONE, "instruction": GATE_OVERRIDE}
+    size = F.when(F.length(body) < GATE_LENGTHS[0], "too_short").when(F.length(body) > GATE_LENGTHS[1], "too_long")
+    return F.array_compact(F.array(size, *[F.when(body.rlike(pattern), name) for name, pattern in rules.items()]))
 

@@ -137,8 +137,21 @@ def uncached(bundles: DataFrame, cache: DataFrame, keys: Sequence[str]) -> DataF
 CONFIDENCE = {"constraint": 1.0, "preference": 0.9, "fact": 0.8}
 
 
+def numbered_rows(df: DataFrame, name: str) -> DataFrame:
+    """df with the numbers 1 to n: rows are numbered within buckets of a hash, and each bucket starts behind those before it.
+
+    One bucket's rows are sorted by one task, and only bucket counts meet in one; which row gets which number
+    follows from its columns, so that a task that runs again gives the same numbers.
+    """
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*df.columns), F.lit(4096)))
+    counts = df.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    before = counts.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[c for c in df.columns if c != "_bucket"]))
+    return df.withColumn(name, inside).join(F.broadcast(before), F.col("_bucket") == F.col("_b")).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_bucket", "_b", "_before")
+
+
 def save_memories(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """An equal (user, type, content) refreshes its row and undoes its deletion; others are new rows with ids behind the last."""
+    """An equal (user, type, content) refreshes its row and undoes its deletion; others are new rows, numbered on behind the last id."""
     keys = ["user_id", "type", "content"]
     newest = latest(incoming, keys, [F.col("at").desc()])
     touched = current.join(newest.select(*keys, F.col("at").alias("_at")), keys, "left")
@@ -146,9 +159,8 @@ def save_memories(current: DataFrame, incoming: DataFrame) -> DataFrame:
     fresh = newest.join(current.select(*keys).distinct(), keys, "left_anti")
     top = current.agg(F.coalesce(F.max("memory_id"), F.lit(0)).alias("_top"))
     weights = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
-    # new rows get ids from a hash of their key: no global numbering is needed
-    numbered = fresh.crossJoin(F.broadcast(top)).select(  # one row
-        (F.col("_top") + 1 + F.pmod(F.xxhash64(*keys), F.lit(1 << 40))).alias("memory_id"), *keys, F.coalesce(F.element_at(weights, F.col("type")), F.lit(0.8)).alias("confidence"),
+    numbered = numbered_rows(fresh, "_n").crossJoin(F.broadcast(top)).select(  # one row
+        (F.col("_top") + F.col("_n")).alias("memory_id"), *keys, F.coalesce(F.element_at(weights, F.col("type")), F.lit(0.8)).alias("confidence"),
         F.col("at").alias("created_at"), F.col("at").alias("updated_at"), F.lit(None).cast("timestamp").alias("deleted_at"),
     )
     return kept.unionByName(numbered.select(*current.columns))

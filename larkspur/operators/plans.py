@@ -111,16 +111,41 @@ def embed(df: DataFrame, text: str, size: int, provider: Callable[[list[str]], l
 
 
 def compact_label(seconds: Column) -> Column:
-    """'12s', '3m 4s', '2h 5m'."""
+    """'12s', '3m04s', '2h05m'; '?' for what is negative or no number."""
     s = F.floor(seconds)
-    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+    hours, minutes = F.floor(s / 3600), F.floor(s % 3600 / 60)
+    known = F.when(hours > 0, F.format_string("%dh%02dm", hours, minutes)).when(minutes > 0, F.format_string("%dm%02ds", minutes, s % 60)).otherwise(F.concat(s.cast("string"), F.lit("s")))
+    return F.when((seconds < 0) | F.isnan(seconds.cast("double")), "?").otherwise(known)
 
 
 def size_label(n: Column) -> Column:
-    """Bytes in B, KB, MB or GB with one decimal."""
+    """Bytes as 512B, or with one decimal in KiB, MiB, GiB or TiB."""
     from larkspur.functions.text import one_decimal
 
-    out = F.concat(n.cast("string"), F.lit(" B"))
-    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
-        out = F.when(n >= 1024**power, F.concat(one_decimal(n / float(1024**power)), F.lit(f" {unit}"))).otherwise(out)
+    out = F.concat(n.cast("string"), F.lit("B"))
+    for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), start=1):
+        out = F.when(n >= 1024**power, F.concat(one_decimal(n / float(1024**power)), F.lit(unit))).otherwise(out)
     return out
+
+
+def count_label(n: Column) -> Column:
+    """A count with a comma between thousands."""
+    return F.format_number(n, 0)
+
+
+def hash_label(text: Column, length: int = 12) -> Column:
+    """The first characters of a hash and an ellipsis; a shorter text as it is."""
+    return F.when(F.length(text) <= length, text).otherwise(F.concat(F.left(text, F.lit(length)), F.lit("…")))
+
+
+def time_label(at: Column) -> Column:
+    """A UTC time as 2024-01-05 18:00:00Z; '-' where there is none."""
+    return F.coalesce(F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("Z")), F.lit("-"))
+
+
+def elapsed_label(ms: Column) -> Column:
+    """'250ms', '1.5s', '2m 5s'."""
+    from larkspur.functions.text import one_decimal
+
+    minutes = F.format_string("%dm %ds", F.floor(ms / 60000), F.floor(ms % 60000 / 1000 + 0.5).cast("long"))
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(one_decimal(ms / 1000), F.lit("s"))).otherwise(minutes)

@@ -23,7 +23,7 @@ QUERY_ROWS = 10_000
 
 
 def _queries(queries: DataFrame) -> DataFrame:
-    """Broadcast if counted to be few; the join with the documents is on their scope either way."""
+    """Broadcast if counted to be few; the joins stand on a key either way."""
     return F.broadcast(queries) if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else queries
 
 
@@ -52,10 +52,27 @@ def pool_scores(docs: DataFrame, queries: DataFrame, pool: DataFrame, on: Sequen
     return scored.groupBy("query_id", "restaurant_id").agg(best.alias("b")).select("query_id", "restaurant_id", "b.score", "b.document_id")
 
 
+def _runs(text: F.Column, size: F.Column) -> F.Column:
+    """All runs of so many characters in a text."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, size))
+
+
 def text_hits(items: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Items whose name or address holds the query text, by trigram similarity; ``items`` has id, name, address."""
-    q = _queries(queries.select("query_id", F.lower("text").alias("_t")))
-    held = items.join(q, F.contains(F.lower("name"), F.col("_t")) | F.coalesce(F.contains(F.lower("address"), F.col("_t")), F.lit(False)))
+    """Items whose name or address holds the query text, by trigram similarity; ``items`` has id, name, address.
+
+    Every item is met under the runs of three characters in it; a query looks under one of its
+    own runs, the one that fewest items have (texts of one or two characters are a run themselves), and the
+    whole text is looked for in what it meets. A blank query finds nothing.
+    """
+    texts = queries.select("query_id", F.lower("text").alias("_t")).where(F.trim("_t") != "")
+    asked = texts.select("query_id", "_t", F.explode(_runs(F.col("_t"), F.least(F.length("_t"), F.lit(3)))).alias("_run"))
+    whole = F.concat_ws("\u0000", F.lower("name"), F.lower("address"))
+    runs = F.array_distinct(F.flatten(F.array(*[_runs(whole, F.lit(n)) for n in (1, 2, 3)])))
+    pieces = items.select("id", "name", "address", F.explode(runs).alias("_run"))
+    wanted = _queries(asked.select("_run").distinct())
+    counts = pieces.select("_run").join(wanted, "_run", "left_semi").groupBy("_run").agg(F.count("*").alias("_n"))
+    rarest = asked.join(counts, "_run").groupBy("query_id", "_t").agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"))
+    held = pieces.join(_queries(rarest), "_run").where(F.contains(F.lower("name"), F.col("_t")) | F.coalesce(F.contains(F.lower("address"), F.col("_t")), F.lit(False)))
     scored = held.withColumn("score", F.greatest(trigram_similarity(F.col("name"), F.col("_t")), F.coalesce(trigram_similarity(F.col("address"), F.col("_t")), F.lit(0.0))))
     ranked = scored.select("query_id", "id", "name", "score").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")))
     return ranked.where(F.col("rank") <= limit)
@@ -72,11 +89,19 @@ def resolve_names(matches: DataFrame, least: float = MIN_SIMILARITY, gap: float
 
 
 def merge_pool(candidates: DataFrame) -> DataFrame:
-    """One row per query and place: the longest address wins, then the channel order; the prior is the first that is known."""
-    w = Window.partitionBy("query_id", "restaurant_id")
-    rank = F.row_number().over(w.orderBy(F.length("address").desc(), "channel_order"))
-    first = F.first("prior", ignorenulls=True).over(w.orderBy("channel_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return candidates.withColumn("prior", first).withColumn("_rn", rank).where("_rn = 1").drop("_rn")
+    """One row per query and place out of the channels in their order.
+
+    A later channel's row takes the place of an earlier one only if its address is longer, in
+    bytes; it then keeps the earlier rating, if there was one. The prior is that of the last
+    channel that knows one.
+    """
+    seen = Window.partitionBy("query_id", "restaurant_id").orderBy("channel_order")
+    whole = seen.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size = F.coalesce(F.octet_length("address"), F.lit(0))
+    longer = F.coalesce(size > F.max(size).over(seen.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    taken = candidates.withColumn("_takes", longer)
+    out = taken.withColumn("prior", F.last("prior", ignorenulls=True).over(whole)).withColumn("rating", F.first(F.when(F.col("_takes"), F.col("rating")), ignorenulls=True).over(whole))
+    return out.withColumn("_last", F.max(F.when(F.col("_takes"), F.col("channel_order"))).over(whole)).where("_takes AND channel_order = _last").drop("_takes", "_last")
 
 
 def unknown_hits(hits: DataFrame, pool: DataFrame) -> DataFrame:

@@ -16,18 +16,25 @@ def hold_capacity(requests: DataFrame, capacity: int) -> DataFrame:
 
     ``requests``: slot_id, request_id, at, size (negative: a release, which floors at 0).
     A hold that doesn't fit is refused whole; later smaller ones may fit, so the fold is sequential
-    per slot. A slot's requests stream through one group; state is one number.
+    per slot. Sorted partitions are streamed through it: what is held is one slot and one number, however
+    many requests a slot has.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        booked, rows = 0, []
-        for r in group.sort_values(["at", "request_id"]).itertuples(index=False):
-            granted = r.size <= 0 or booked + r.size <= capacity
-            booked = max(0, booked + int(r.size)) if granted else booked
-            rows.append((r.slot_id, r.request_id, granted, booked))
-        return pd.DataFrame(rows, columns=["slot_id", "request_id", "granted", "booked"])
+    def run(batches):
+        slot, booked = None, 0
+        for batch in batches:
+            granted, after = [], []
+            for now, size in zip(batch["slot_id"], batch["size"], strict=True):
+                if slot is None or now != slot:
+                    slot, booked = now, 0
+                fits = size <= 0 or booked + size <= capacity
+                booked = max(0, booked + int(size)) if fits else booked
+                granted.append(fits)
+                after.append(booked)
+            yield pd.DataFrame({"slot_id": batch["slot_id"], "request_id": batch["request_id"], "granted": granted, "booked": after})
 
-    return requests.select("slot_id", "request_id", "at", "size").groupBy("slot_id").applyInPandas(fold, "slot_id long, request_id long, granted boolean, booked long")
+    ordered = requests.select("slot_id", "request_id", "at", "size").repartition("slot_id").sortWithinPartitions("slot_id", "at", "request_id")
+    return ordered.select("slot_id", "request_id", "size").mapInPandas(run, "slot_id long, request_id long, granted boolean, booked long")
 
 
 def expired_holds(holds: DataFrame, now: Column, minutes: int = HOLD_MINUTES) -> DataFrame:
@@ -49,19 +56,21 @@ def confirm_once(requests: DataFrame, key: str, order: str) -> DataFrame:
 def availability(places: DataFrame, dates: DataFrame, booked: DataFrame, capacity: int, party: int) -> DataFrame:
     """Fixed slots of each place and date with room for the party; the slot's id is made of its parts."""
     times = F.explode(F.array(*map(F.lit, SLOT_TIMES))).alias("slot_time")
-    # dates is the short list of days that are offered
-    slots = places.select("restaurant_id").join(F.broadcast(dates.limit(366).select("slot_date"))).select("restaurant_id", "slot_date", times)
+    # every place has a slot on every day: the result is that product, so it is made directly
+    slots = places.select("restaurant_id").crossJoin(dates.select("slot_date")).select("restaurant_id", "slot_date", times)
     named = slots.withColumn("slot_id", slot_id(F.col("restaurant_id"), F.col("slot_date"), F.col("slot_time")))
     left = named.join(booked.select("slot_id", "booked"), "slot_id", "left").withColumn("remaining", F.lit(capacity) - F.coalesce("booked", F.lit(0)))
     return left.where(F.col("remaining") >= party).select("restaurant_id", "slot_date", "slot_time", "slot_id", "remaining")
 
 
 def slot_id(place: Column, date: Column, time: Column) -> Column:
-    return F.concat(F.lit("slot-"), place.cast("string"), F.lit("-"), F.date_format(date, "yyyyMMdd"), F.lit("-"), F.replace(time, F.lit(":"), F.lit("")))
+    return F.concat(F.lit("r"), place.cast("string"), F.lit("-"), F.date_format(date, "yyyy-MM-dd"), F.lit("-"), F.replace(time, F.lit(":"), F.lit("")))
 
 
-def idempotency_key(*parts: Column) -> Column:
-    return F.concat(F.lit("rsv-"), F.left(F.sha2(F.concat_ws("\u0000", *[p.cast("string") for p in parts]), 256), F.lit(32)))
+def idempotency_key(thread: Column, action: Column, request: Column, arguments: Column) -> Column:
+    """The key a confirmation is remembered by, made of its thread, action, request id and the digest of its arguments."""
+    parts = [*[F.coalesce(p.cast("string"), F.lit("")) for p in (thread, action, request)], F.sha2(F.coalesce(arguments, F.lit("")), 256)]
+    return F.concat(F.lit("res-"), F.left(F.sha2(F.concat_ws("\n", *parts), 256), F.lit(32)))
 
 
 def confirmation_states(events: DataFrame) -> DataFrame:

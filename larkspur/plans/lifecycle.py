@@ -155,12 +155,17 @@ def hold_expiry(spark, sf):
 
 @query("""SELECT event_id, first_value(event_id) OVER w AS first_id, row_number() OVER w > 1 AS replay FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)""")
 def idempotent_confirm(spark, sf):
-    keyed = events(spark, sf).select("event_id", S.idempotency_key(F.col("user_id"), F.col("event_type")).alias("key"))
+    keyed = events(spark, sf).select("event_id", S.idempotency_key(F.col("user_id"), F.col("event_type"), F.lit("confirm"), F.lit("{}")).alias("key"))
     return S.confirm_once(keyed, "key", "event_id").select("event_id", "first_id", "replay")
 
 
-@query("""WITH b AS (SELECT 'slot-' || (c_custkey) || '-20240105-1800' AS slot_id, c_custkey % 9 AS booked FROM customer), s AS (SELECT c_custkey AS restaurant_id, d AS slot_date, t AS slot_time,
-'slot-' || c_custkey || '-' || strftime(d, '%Y%m%d') || '-' || replace(t, ':', '') AS slot_id FROM customer, (VALUES (DATE '2024-01-05'), (DATE '2024-01-06')) v(d), (VALUES ('17:00'), ('18:00'), ('19:00'), ('20:00'), ('21:00')) w(t))
+@query("""SELECT event_id, 'res-' || left(sha256(user_id || chr(10) || event_type || chr(10) || event_id || chr(10) || sha256(coalesce(props, ''))), 32) AS key FROM events""")
+def idempotency_keys(spark, sf):
+    return events(spark, sf).select("event_id", S.idempotency_key(F.col("user_id"), F.col("event_type"), F.col("event_id"), F.col("props")).alias("key"))
+
+
+@query("""WITH b AS (SELECT 'r' || c_custkey || '-2024-01-05-1800' AS slot_id, c_custkey % 9 AS booked FROM customer), s AS (SELECT c_custkey AS restaurant_id, d AS slot_date, t AS slot_time,
+'r' || c_custkey || '-' || strftime(d, '%Y-%m-%d') || '-' || replace(t, ':', '') AS slot_id FROM customer, (VALUES (DATE '2024-01-05'), (DATE '2024-01-06')) v(d), (VALUES ('17:00'), ('18:00'), ('19:00'), ('20:00'), ('21:00')) w(t))
 SELECT restaurant_id, slot_id, CAST(8 - coalesce(booked, 0) AS BIGINT) AS remaining FROM s LEFT JOIN b USING (slot_id) WHERE 8 - coalesce(booked, 0) >= 3""")
 def slot_availability(spark, sf):
     places = load(spark, sf, "customer").select(F.col("c_custkey").alias("restaurant_id"))

@@ -36,7 +36,7 @@ def similarity_floor(spark, sf):
 @query(f"""WITH {KDOCS} SELECT query_id, restaurant_id, document_id, round(score, 6) AS score FROM (SELECT q.document_id AS query_id, d.restaurant_id, d.document_id, {_SIM} AS score,
 row_number() OVER (PARTITION BY q.document_id, d.restaurant_id ORDER BY {_SIM} DESC, d.document_id) AS rn FROM kdocs d JOIN kdocs q ON d.scope = q.scope WHERE q.document_id % 20 = 0) WHERE rn = 1""")
 def pool_rescore_best(spark, sf):
-    pool = _queries(spark, sf).select("query_id").join(F.broadcast(kdocs(spark, sf).select("restaurant_id").distinct().limit(40)))  # 40 places by construction
+    pool = kdocs(spark, sf).select("scope", "restaurant_id").distinct().join(_queries(spark, sf).select("query_id", "scope"), "scope").select("query_id", "restaurant_id")
     return R.pool_scores(kdocs(spark, sf), _queries(spark, sf), pool, ["scope"]).select("query_id", "restaurant_id", "document_id", F.round("score", 6).alias("score"))
 
 
@@ -66,7 +66,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 SELECT q.query_id, CASE WHEN g.id IS NULL THEN 'not_found' WHEN g.score - second < 0.1 THEN 'ambiguous' ELSE 'resolved' END AS status, coalesce(g.id, -1) AS id, round(g.score, 6) AS score FROM q LEFT JOIN g ON g.query_id = q.query_id AND rn = 1""")
 def resolve_name(spark, sf):
     items = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("address"))
-    hits = R.text_hits(items, _asked(spark), 1 << 30)
+    hits = R.text_hits(items, _asked(spark), 2)
     matches = _asked(spark).select("query_id").join(hits.select("query_id", "id", "score"), "query_id", "left")
     return R.resolve_names(matches).select("query_id", "status", F.coalesce("id", F.lit(-1).cast("long")).alias("id"), F.round("score", 6).alias("score"))
 
@@ -179,28 +179,31 @@ def rescore_overlay_all(spark, sf):
     return _rescored(*_hits(spark, sf, _every_twentieth))
 
 
-@query(f"""WITH {PLACES}, c AS (SELECT 0 AS query_id, 1 AS channel_order, restaurant_id, address, CASE WHEN restaurant_id % 2 = 0 THEN rating END AS prior FROM places UNION ALL SELECT 0, 2, restaurant_id, address || CASE WHEN restaurant_id % 3 = 0 THEN ' x' ELSE '' END, 1.5 FROM places WHERE restaurant_id % 4 <> 0)
-SELECT restaurant_id, arg_min(address, (-length(address), channel_order)) AS address, arg_min(prior, channel_order) FILTER (WHERE prior IS NOT NULL) AS prior FROM c GROUP BY 1""")
+@query(f"""WITH {PLACES}, c AS (SELECT 1 AS o, restaurant_id, CASE WHEN restaurant_id % 5 <> 0 THEN address END AS address, CASE WHEN restaurant_id % 3 <> 1 THEN rating END AS rating, CASE WHEN restaurant_id % 2 = 0 THEN rating END AS prior FROM places
+ UNION ALL SELECT 2, restaurant_id, address || CASE WHEN restaurant_id % 3 = 0 THEN ' x' ELSE '' END, rating + 1, 1.5 FROM places WHERE restaurant_id % 4 <> 0
+ UNION ALL SELECT 3, restaurant_id, name || ' é ' || address, rating + 2, CASE WHEN restaurant_id % 6 = 0 THEN 2.5 END FROM places WHERE restaurant_id % 7 <> 0),
+s AS (SELECT *, coalesce(octet_length(encode(address)), 0) AS size FROM c), t AS (SELECT *, coalesce(size > max(size) OVER (PARTITION BY restaurant_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS takes FROM s)
+SELECT restaurant_id, max_by(struct_pack(a := address), o) FILTER (WHERE takes).a AS address, min_by(rating, o) FILTER (WHERE takes AND rating IS NOT NULL) AS rating, max_by(prior, o) FILTER (WHERE prior IS NOT NULL) AS prior FROM t GROUP BY 1""")
 def merge_pool(spark, sf):
-    rows = places(spark, sf).select(F.lit(0).alias("query_id"), "restaurant_id", "address", "rating")
-    one = rows.select("query_id", F.lit(1).alias("channel_order"), "restaurant_id", "address", F.when(F.col("restaurant_id") % 2 == 0, F.col("rating")).alias("prior"))
-    two = rows.where("restaurant_id % 4 <> 0").select("query_id", F.lit(2).alias("channel_order"), "restaurant_id", F.concat("address", F.when(F.col("restaurant_id") % 3 == 0, " x").otherwise("")).alias("address"), F.lit(1.5).alias("prior"))
-    return R.merge_pool(one.unionByName(two)).select("restaurant_id", "address", "prior")
+    rows, place = places(spark, sf).select(F.lit(0).alias("query_id"), "restaurant_id", "name", "address", "rating"), F.col("restaurant_id")
+    rated = lambda more: (F.col("rating") + more).alias("rating")
+    one = rows.select("query_id", F.lit(1).alias("channel_order"), "restaurant_id", F.when(place % 5 != 0, F.col("address")).alias("address"), F.when(place % 3 != 1, F.col("rating")).alias("rating"), F.when(place % 2 == 0, F.col("rating")).alias("prior"))
+    two = rows.where("restaurant_id % 4 <> 0").select("query_id", F.lit(2).alias("channel_order"), "restaurant_id", F.concat("address", F.when(place % 3 == 0, " x").otherwise("")).alias("address"), rated(1), F.lit(1.5).alias("prior"))
+    three = rows.where("restaurant_id % 7 <> 0").select("query_id", F.lit(3).alias("channel_order"), "restaurant_id", F.concat("name", F.lit(" é "), "address").alias("address"), rated(2), F.when(place % 6 == 0, 2.5).alias("prior"))
+    return R.merge_pool(one.unionByName(two).unionByName(three)).select("restaurant_id", "address", "rating", "prior")
 
 
 # ---- evidence
 
 
-_DOCS = """d AS (SELECT doc_id AS document_id, restaurant_id, CASE WHEN doc_id % 3 = 0 THEN 'profile' ELSE 'sample' END AS doc_type, sha256(text) AS content_hash, (doc_id % 101) / 101.0::DOUBLE AS score, left(text, CAST(100 + doc_id % 900 AS BIGINT)) AS content FROM texts)"""
+_DOCS = """d AS (SELECT doc_id AS document_id, restaurant_id, CASE WHEN doc_id % 3 = 0 THEN 'profile' ELSE 'sample' END AS doc_type, sha256(text) AS content_hash, (doc_id % 101) / 101.0::DOUBLE AS score, text AS content FROM texts)"""
 
 
-def _evidence(spark, sf, content=None):
+def _evidence(spark, sf):
     doc = F.col("doc_id")
-    if content is None:
-        content = F.left("text", (F.lit(100) + doc % 900).cast("int"))
     return texts(spark, sf).select(
         doc.alias("document_id"), "restaurant_id", F.when(doc % 3 == 0, "profile").otherwise("sample").alias("doc_type"), F.sha2("text", 256).alias("content_hash"), ((doc % 101) / 101.0).alias("score"),
-        content.alias("content"),
+        F.col("text").alias("content"),
     )
 
 
@@ -210,26 +213,32 @@ def evidence_dedupe_cap(spark, sf):
     return E.cap_per_kind(E.dedupe(_evidence(spark, sf))).select("restaurant_id", "doc_type", "document_id")
 
 
-@query(f"""WITH RECURSIVE {TEXTS}, {_DOCS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY restaurant_id, doc_type, content_hash ORDER BY score DESC, document_id) AS rn FROM d) WHERE rn = 1),
+def _assembled(budget: int) -> str:
+    """Greedy by score over whole texts, then the floor of two kinds: ``pre`` is what the kept rows cost up to each."""
+    return f"""WITH RECURSIVE {TEXTS}, {_DOCS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY restaurant_id, doc_type, content_hash ORDER BY score DESC, document_id) AS rn FROM d) WHERE rn = 1),
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY restaurant_id, doc_type ORDER BY score DESC, document_id) AS n3 FROM u) WHERE n3 <= 3),
-p AS (SELECT restaurant_id, document_id, greatest(1, length(regexp_replace(content, '[\\x00-\\xff]', '', 'g')) + (length(content) - length(regexp_replace(content, '[\\x00-\\xff]', '', 'g'))) // 4) AS cost,
+p AS (SELECT restaurant_id, document_id, doc_type, greatest(1, length(regexp_replace(content, '[\\x00-\\xff]', '', 'g')) + (length(content) - length(regexp_replace(content, '[\\x00-\\xff]', '', 'g'))) // 4) AS cost,
   row_number() OVER (PARTITION BY restaurant_id ORDER BY score DESC, document_id) AS n FROM c),
-f AS (SELECT restaurant_id, document_id, cost, n, cost <= 400 AS keep, CASE WHEN cost <= 400 THEN cost ELSE 0 END AS spent FROM p WHERE n = 1
- UNION ALL SELECT p.restaurant_id, p.document_id, p.cost, p.n, f.spent + p.cost <= 400, f.spent + CASE WHEN f.spent + p.cost <= 400 THEN p.cost ELSE 0 END FROM f JOIN p ON p.restaurant_id = f.restaurant_id AND p.n = f.n + 1)
-SELECT restaurant_id, document_id, CAST(cost AS BIGINT) AS cost FROM f WHERE keep AND restaurant_id IN (SELECT f2.restaurant_id FROM f f2 JOIN c ON c.document_id = f2.document_id WHERE keep GROUP BY 1 HAVING count(DISTINCT c.doc_type) > 1 OR count(*) < 2)""")
+f AS (SELECT restaurant_id, n, cost <= {budget} AS keep, CASE WHEN cost <= {budget} THEN cost ELSE 0 END AS spent FROM p WHERE n = 1
+ UNION ALL SELECT p.restaurant_id, p.n, f.spent + p.cost <= {budget}, f.spent + CASE WHEN f.spent + p.cost <= {budget} THEN p.cost ELSE 0 END FROM f JOIN p ON p.restaurant_id = f.restaurant_id AND p.n = f.n + 1),
+k AS (SELECT p.*, sum(cost) OVER (PARTITION BY p.restaurant_id ORDER BY p.n) AS pre, count(*) OVER (PARTITION BY p.restaurant_id) AS size, min(doc_type) OVER (PARTITION BY p.restaurant_id) AS kind, max(doc_type) OVER (PARTITION BY p.restaurant_id) AS kind2
+ FROM p JOIN f USING (restaurant_id, n) WHERE keep),
+x AS (SELECT p.restaurant_id, min(p.n) AS n FROM p JOIN (SELECT DISTINCT restaurant_id, kind FROM k WHERE size > 1 AND kind = kind2) s ON s.restaurant_id = p.restaurant_id AND p.doc_type <> s.kind GROUP BY 1),
+e AS (SELECT x.restaurant_id, x.n, p.document_id, p.cost FROM x JOIN p USING (restaurant_id, n) WHERE p.cost + (SELECT min(pre) FROM k WHERE k.restaurant_id = x.restaurant_id) <= {budget}),
+r AS (SELECT k.restaurant_id, k.n, k.document_id, k.cost FROM k LEFT JOIN e USING (restaurant_id) WHERE e.cost IS NULL OR pre + e.cost <= {budget} UNION ALL SELECT restaurant_id, n, document_id, cost FROM e)
+SELECT restaurant_id, document_id, CAST(cost AS BIGINT) AS cost, row_number() OVER (PARTITION BY restaurant_id ORDER BY n) AS position, 'kept' AS status FROM r
+UNION ALL SELECT DISTINCT restaurant_id, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, 'budget_exceeded' FROM p WHERE restaurant_id NOT IN (SELECT restaurant_id FROM k)"""
+
+
+@query(_assembled(E.DEFAULT_BUDGET))
 def budget_greedy(spark, sf):
-    kept = E.assemble(_evidence(spark, sf), 400).where("status = 'kept'").select("restaurant_id", "document_id", "cost")
-    # the floor of two kinds is a fold of its own (tested apart); here places that need no swap are compared
-    kinds = _evidence(spark, sf).select("document_id", "doc_type")
-    plain = E.cap_per_kind(E.dedupe(_evidence(spark, sf)))
-    greedy = kept.join(kinds, "document_id").groupBy("restaurant_id").agg(F.count_distinct("doc_type").alias("k"), F.count("*").alias("n")).where("k > 1 OR n < 2")
-    return kept.join(greedy.select("restaurant_id"), "restaurant_id", "left_semi").join(plain.select("document_id"), "document_id", "left_semi").select("restaurant_id", "document_id", "cost")
+    return E.assemble(_evidence(spark, sf))
 
 
-@query()
+@query(_assembled(400))
 def budget_whole_texts(spark, sf):
-    """Whole texts within the budget, every place, with the floor of two kinds; SQL does not express the floor."""
-    return E.assemble(_evidence(spark, sf, F.col("text")), 400)
+    """A budget that few whole texts fit."""
+    return E.assemble(_evidence(spark, sf), 400)
 
 
 @query("""WITH c AS (SELECT conv_id, turn, length(regexp_replace(text, '[\\x00-\\xff]', '', 'g')) AS w, length(text) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations),
@@ -267,7 +276,7 @@ SELECT n.query_id, relevant, count(t.id) AS hits, round(count(t.id) / least(rele
 def recall_at_k(spark, sf):
     asked = _queries(spark, sf).withColumn("one", F.lit(1)).select("query_id", "one", "embedding")
     found = R.vector_hits(kdocs(spark, sf).withColumn("one", F.lit(1)), asked, ["one"], 50).select("query_id", F.col("document_id").alias("id"), "rank")
-    truth = kdocs(spark, sf).select(F.col("document_id").alias("id"), "scope").join(F.broadcast(_queries(spark, sf).select("query_id", "scope")), "scope").select("query_id", "id")
+    truth = kdocs(spark, sf).select(F.col("document_id").alias("id"), "scope").join(R._queries(_queries(spark, sf).select("query_id", "scope")), "scope").select("query_id", "id")
     return A.recall_at_k(found, truth, 50).select("query_id", "relevant", "hits", F.round("recall", 6).alias("recall"))
 
 
