@@ -38,6 +38,9 @@ BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 _SEEDS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TABLE_BITS = 20
 
+#: Tells the permutations apart where values of all of them stand in one sorted array.
+_NAMES = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
 
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per permutation the smallest permuted hash, and the shingle that has it."""
@@ -53,11 +56,19 @@ def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Partition:
-    """Items of about the same size: windows in shingles, the shingles that MinHash values name, and the items by (permutation, value)."""
+    """Items of about the same size: windows in shingles, the shingles that MinHash values name, and the sorted codes of (permutation, value) with the item of each."""
 
     window: int
     named: np.ndarray
-    by_value: dict[tuple[int, int], list[int]]
+    codes: np.ndarray
+    items: np.ndarray
+
+    def holders(self, values: np.ndarray) -> np.ndarray:
+        """Items that have one of a window's MinHash values under the same permutation."""
+        asked = values ^ _NAMES
+        first, last = (np.searchsorted(self.codes, asked, side=side) for side in ("left", "right"))
+        some = np.flatnonzero(last > first)
+        return np.concatenate([np.zeros(0, np.int32), *(self.items[first[k] : last[k]] for k in some)])
 
 
 class ItemIndex:
@@ -74,15 +85,15 @@ class ItemIndex:
                 self.sets.append(found)
         self.partitions = []
         for size in sorted(sized):
-            by_value: dict[tuple[int, int], list[int]] = defaultdict(list)
-            named = []
+            codes, named = [], []
             for k in sized[size]:
                 values, holders = signature(self.sets[k])
                 named.append(holders)
-                for j, value in enumerate(values.tolist()):
-                    by_value[j, value].append(k)
+                codes.append(values ^ _NAMES)
+            codes, items = np.concatenate(codes), np.repeat(np.array(sized[size], np.int32), PERMUTATIONS)
+            order = np.argsort(codes, kind="stable")
             largest = max(len(self.sets[k]) for k in sized[size])
-            self.partitions.append(Partition(2 * largest, np.unique(np.concatenate(named)), dict(by_value)))
+            self.partitions.append(Partition(2 * largest, np.unique(np.concatenate(named)), codes[order], items[order]))
         self.named = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p.named for p in self.partitions)]))
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.named >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
@@ -105,8 +116,7 @@ class ItemIndex:
             starts = np.unique(np.concatenate([own, np.maximum(own - 1, 0)])) * step
             for start in starts.tolist():
                 values, _ = signature(hashes[start : start + part.window])
-                for j, value in enumerate(values.tolist()):
-                    candidates.update(part.by_value.get((j, value), ()))
+                candidates.update(part.holders(values).tolist())
         if not candidates:
             return []
         own = np.unique(hashes)
@@ -157,7 +167,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thresh
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; all columns stay."""
+    """``docs`` without the rows that hold a benchmark item; all columns stay, whatever their names.
+
+    Null and empty texts and items hold nothing; repeated rows are judged alike; without items all rows stay.
+    """
     spark = docs.sparkSession
     for index in item_blocks(benchmark, words, threshold):
         shared = spark.sparkContext.broadcast(index)
