@@ -44,8 +44,8 @@ BLOCK, PERCENTILE = 256, 0.90
 #: Ids after which a segment ends at the next document; segments per file.
 SEGMENT_IDS, FILE_SEGMENTS = 1 << 19, 32
 
-#: Characters that are encoded together; distinct pieces kept per worker.
-BATCH_CHARS, CACHED_PIECES = 1 << 20, 400_000
+#: Characters that are encoded together; distinct pieces, and their characters, kept per worker; the longest piece that outlasts a trimming.
+BATCH_CHARS, CACHED_PIECES, CACHED_CHARS, LONGEST_KEPT = 1 << 20, 400_000, 8 << 20, 48
 
 
 def _widths(values: np.ndarray, percentile: float) -> np.ndarray:
@@ -196,11 +196,12 @@ class LibraryEncoder:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length, self.seen = (np.zeros(1 << 14, np.int32) for _ in range(3))
 
     def _trim(self) -> None:
-        """Keep the pieces that were met most, half of the table at most and none that was met once only."""
+        """Keep the short pieces that were met most, half of the table at most and none that was met once only."""
         known = len(self.number)
         seen = self.seen[:known]
         kept = np.flatnonzero(seen >= max(2, np.partition(seen, known // 2)[known // 2] + 1))
@@ -208,8 +209,9 @@ class LibraryEncoder:
         ends = np.cumsum(sizes, dtype=np.int64)
         ids = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         names = [names[i] for i in kept.tolist()]
+        short = np.array([len(x) <= LONGEST_KEPT for x in names], bool)
         self.clear()
-        self._store(names, ids, sizes.astype(np.int64))
+        self._store([x for x, s in zip(names, short.tolist(), strict=True) if s], ids[np.repeat(short, sizes)], sizes[short].astype(np.int64))
 
     def _learn(self, new: list[str]) -> None:
         letters, tokenize = self.letters, self.model.tokenize
@@ -229,13 +231,14 @@ class LibraryEncoder:
         self.start[known : known + len(names)] = self.used + np.cumsum(sizes) - sizes
         self.length[known : known + len(names)] = sizes
         self.used += len(ids)
+        self.chars += sum(map(len, names))
         self.number.update(zip(names, range(known, known + len(names)), strict=True))
 
     def _run(self, run: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of pieces, and the number of ids up to each piece's end."""
         if not run:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.number) > CACHED_PIECES:
+        if len(self.number) > CACHED_PIECES or self.chars > CACHED_CHARS:
             self._trim()
         number = self.number
         codes = list(map(number.get, run))
