@@ -42,7 +42,7 @@ def test_rejects_go_and_columns_stay(spark):
     docs = labelled(spark)
     kept = langid.keep_identified(docs)
     assert kept.schema == docs.schema
-    assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in kept.collect()} == {900, 901, 902}
+    assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in kept.collect()} == {900, 901, 902, 903}  # a lone letter is close to no language
 
 
 def test_out_of_place_distance_by_hand():
@@ -142,3 +142,93 @@ def test_conversations(spark):
         assert (row["loss_chars"], row["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
         assert row["formatted_chars"] > sum(len(r) + len(t) for r, t in turns)
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ noise, long texts, reading in slices
+
+
+def test_profiles_by_hand(spark):
+    """Fitted profiles are the most frequent n-grams of all rows that may teach, by falling count, then by code."""
+    docs = labelled(spark)
+    settings = langid.Settings(profile=40, sample_rows=10**6)
+    got = langid.fit(docs, settings)
+    assert got.languages == ["de", "en", "fr"]
+    want = {}
+    for lang in got.languages:
+        grams = [langid.grams_of(langid.letters_of(r["text"]), settings.longest, settings.bits) for r in docs.collect() if r["lang"] == lang and len(langid.letters_of(r["text"] or ""))]
+        counts = {}
+        for g in (int(x) for part in grams for x in part):
+            counts[g] = counts.get(g, 0) + 1
+        want[lang] = sorted(counts, key=lambda g: (-counts[g], g))[:40]
+    expected = langid.Profiles(want, settings)
+    assert (got.grams == expected.grams).all() and (got.ranks == expected.ranks).all() and (got.absent == expected.absent).all()
+
+
+def test_noise_and_unlearned_languages_go(spark):
+    import base64
+    import random
+
+    gen = random.Random(4)
+    said = {lang: text.split() for lang, text in SAMPLES.items()}
+    data = [(i, " ".join(gen.choice(said[lang]) for _ in range(gen.randrange(5, 60))), lang) for i, lang in enumerate(list(said) * 100)]
+    letters = [" ".join("".join(gen.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(gen.randrange(2, 10))) for _ in range(40)) for _ in range(5)]
+    polish = "wszystkie ludzkie istoty rodzą się wolne i równe pod względem swej godności i swych praw są one obdarzone rozumem i sumieniem"
+    noise = [*letters, *[base64.b64encode(gen.randbytes(300)).decode() for _ in range(5)], polish, polish * 3]
+    docs = spark.createDataFrame(data + [(1000 + i, t, None) for i, t in enumerate(noise)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.keep_identified(docs).collect()} == {i for i, _, _ in data}
+
+
+def test_very_long_texts(spark):
+    long = " ".join([SAMPLES["en"]] * 8000)
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(SAMPLES.items())] + [(50, long, "en")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}[50] == "en"
+    page = spark.createDataFrame([(1, "u", long), (2, "v", long)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.archive_pages(page).collect()}
+    assert got[1]["payload_bytes"] == len(long) and got[2]["record_type"] == "revisit" and got[2]["refers_to"] == 1
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    row = chat.format_conversations(turns).first()
+    assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
+def test_reading_hands_over_little_more_than_the_archive(monkeypatch):
+    """Whatever follows a record, the decompressor gets at most about twice its frame."""
+    import random
+
+    gen = random.Random(3)
+    records = [warc.record_bytes(f"urn:x:{i}", "2024-01-01T00:00:00Z", i, "u", gen.randbytes(1500), "0" * 64, 1500, None) for i in range(2000)]
+    dictionary = warc.build_dictionary(records[:100])
+    writer = zstandard.ZstdCompressor(dict_data=dictionary)
+    content = warc.dictionary_frame(dictionary) + b"".join(map(writer.compress, records))
+    handed = 0
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def decompressobj(self):
+            outer, machine = self, self.inner.decompressobj()
+
+            class Machine:
+                eof = property(lambda _: machine.eof)
+                unused_data = property(lambda _: machine.unused_data)
+
+                def decompress(self, data):
+                    nonlocal handed
+                    handed += len(data)
+                    return machine.decompress(data)
+
+            return Machine()
+
+    real = zstandard.ZstdDecompressor
+    monkeypatch.setattr(warc.zstandard, "ZstdDecompressor", lambda **kw: Counting(real(**kw)))
+    found = list(warc.read_archive(content))
+    assert [f["X-Page-ID"] for f, _ in found] == [str(i) for i in range(2000)] and handed <= 2.5 * len(content)
+
+
+def test_headers_are_whole_and_ids_unique(spark):
+    folder = warc.scratch(spark, "headers")
+    warc.write_archives(pages(spark), folder, date="2024-05-06T07:08:09Z")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).collect()
+    heads = [f for x in files for f, _ in warc.read_archive(bytes(x["content"]))]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(heads) == 11 and {h["WARC-Date"] for h in heads} == {"2024-05-06T07:08:09Z"}
+    assert all({"WARC-Profile", "WARC-Refers-To-Date"} <= set(h) for h in heads if h["WARC-Type"] == "revisit")
