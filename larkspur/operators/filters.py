@@ -102,15 +102,23 @@ def channel_depth(channel: str, page: int) -> int:
     return min(clamp_limit(page) * times, most)
 
 
-def hard_filter(places: DataFrame, wanted: PlaceFilter) -> DataFrame:
-    """Active places that satisfy every condition; an empty filter is refused."""
+def hard_filter(places: DataFrame, wanted: PlaceFilter, areas: Sequence[str] = AREAS) -> DataFrame:
+    """Active places that satisfy every condition; an empty filter and one with impossible values are refused."""
     if wanted.is_empty():
         raise EmptyFilter("a search needs at least one condition")
+    wanted.validate(areas)
     return places.where(reduce(lambda a, b: a & b, wanted.predicates(), F.col("is_active")))
 
 
-def top_places(places: DataFrame, wanted: PlaceFilter, limit: int = 0) -> DataFrame:
-    return hard_filter(places, wanted).orderBy(F.col("score").desc(), F.col("restaurant_id")).limit(clamp_limit(limit))
+def post_filter(pool: DataFrame, wanted: PlaceFilter) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed): the places of a fused pool that still satisfy what a pool can be checked for, and per query how many do not."""
+    good = F.coalesce(reduce(lambda a, b: a & b, wanted.predicates(post=True), F.lit(True)), F.lit(False))
+    judged = pool.withColumn("_good", good)
+    return judged.where("_good").drop("_good"), judged.groupBy("query_id").agg(F.count_if(~F.col("_good")).alias("removed"))
+
+
+def top_places(places: DataFrame, wanted: PlaceFilter, limit: int = 0, areas: Sequence[str] = AREAS) -> DataFrame:
+    return hard_filter(places, wanted, areas).orderBy(F.col("score").desc(), F.col("restaurant_id")).limit(clamp_limit(limit))
 
 
 def text_pattern(text: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 CONSTRAINT = "constraint"
 
 #: Most memories that a turn gets besides constraints, and the shortest term that is searched for.
-INJECTED, SHORTEST_TERM = 10, 2
+INJECTED, SHORTEST_TERM = 10, 3
 
 
 def listed(memories: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def listed(memories: DataFrame) -> DataFrame:
 
 
 def terms(question: Column) -> Column:
-    """The words of a question that are searched for: two characters or more, each once, in lower case."""
+    """The words of a question that are searched for: three characters or more, each once, in lower case."""
     words = F.split(F.lower(question), r"\s+")
     return F.array_distinct(F.filter(words, lambda w: F.length(w) >= SHORTEST_TERM))
 

@@ -133,13 +133,13 @@ def memory_list(spark, sf):
     return M.listed(memories(spark, sf)).select("user_id", "memory_id", "place")
 
 
-@query(f"""WITH {_LIVE}, q AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN ['zzzz'] WHEN 1 THEN ['the', 'tion'] ELSE ['ing', 're'] END AS terms FROM (SELECT DISTINCT user_id FROM m)),
+@query(f"""WITH {_LIVE}, q AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN ['zzzz'] WHEN 1 THEN ['the', 'tion'] ELSE ['ing', 'rea'] END AS terms FROM (SELECT DISTINCT user_id FROM m)),
 x AS (SELECT l.*, len(list_filter(terms, lambda t: contains(lower(content), t))) AS matched FROM l JOIN q USING (user_id)), h AS (SELECT user_id, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY matched DESC, place) AS rn FROM x WHERE matched > 0) WHERE rn <= 10),
 t AS (SELECT x.*, row_number() OVER (PARTITION BY user_id, type = 'constraint' ORDER BY trust DESC, place) AS rn, count(*) FILTER (WHERE type <> 'constraint') OVER (PARTITION BY user_id) AS others, user_id IN (SELECT user_id FROM h) AS found, memory_id IN (SELECT memory_id FROM h) AS hit FROM x)
 SELECT user_id, memory_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY place) AS INTEGER) AS position, found OR others = 0 AS by_relevance FROM t WHERE type = 'constraint' OR CASE WHEN found THEN hit ELSE rn <= 10 END""")
 def memory_selection(spark, sf):
     user = F.col("user_id")
-    turns = memories(spark, sf).select("user_id").distinct().withColumn("question", F.when(user % 3 == 0, "zzzz a").when(user % 3 == 1, "the  TION the").otherwise("ing re"))
+    turns = memories(spark, sf).select("user_id").distinct().withColumn("question", F.when(user % 3 == 0, "zzzz a").when(user % 3 == 1, "the  TION the").otherwise("ing rea a"))
     return M.selected(memories(spark, sf), turns)
 
 

@@ -9,13 +9,15 @@ from larkspur.operators import filters as P
 from larkspur.plans.registry import query
 from larkspur.sources.tables import KDOCS, PLACES, REVIEWS, events, kdocs, load, places, reviews
 
+#: What stands for boroughs in these tables.
+REGIONS = ("africa", "america", "asia", "europe", "middle east")
 WANTED = P.PlaceFilter(borough=" Asia ", cuisines=("building", "machinery"), price_levels=(1, 2, 3), min_rating=2.0)
 
 
 @query(f"""WITH {PLACES} SELECT restaurant_id, name, score FROM places WHERE is_active AND borough = 'asia' AND list_has_any(cuisines, ['building', 'machinery'])
 AND price_level IN (1, 2, 3) AND rating >= 2.0 ORDER BY score DESC, restaurant_id LIMIT 10""")
 def hard_filter_topk(spark, sf):
-    return P.top_places(places(spark, sf), WANTED).select("restaurant_id", "name", "score")
+    return P.top_places(places(spark, sf), WANTED, areas=REGIONS).select("restaurant_id", "name", "score")
 
 
 @query(f"""WITH {PLACES} SELECT restaurant_id, address, score FROM places WHERE is_active AND contains(lower(address), 'n_7 street 1') ORDER BY score DESC, restaurant_id LIMIT 100""")
@@ -177,3 +179,11 @@ def review_listing(spark, sf):
 def pending_queue(spark, sf):
     docs = kdocs(spark, sf).withColumn("embedding", F.when(F.col("document_id") % 3 != 0, F.col("embedding")))
     return docs.where(F.isnull("embedding")).orderBy("document_id").limit(25).select("document_id", "scope")
+
+
+@query(f"""WITH {PLACES}, q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0), pool AS (SELECT query_id, p.* FROM q JOIN places p ON p.restaurant_id % 40 = query_id % 40)
+SELECT query_id, count(*) FILTER (WHERE NOT coalesce(borough = 'asia' AND list_has_any(cuisines, ['building', 'machinery']) AND price_level IN (1, 2, 3) AND rating >= 2.0, false)) AS removed FROM pool GROUP BY 1""")
+def pool_post_filter(spark, sf):
+    asked = kdocs(spark, sf).where("document_id % 20 = 0").select(F.col("document_id").alias("query_id"), (F.col("document_id") % 40).alias("_g"))
+    pool = places(spark, sf).withColumn("_g", F.col("restaurant_id") % 40).join(asked, "_g").drop("_g")
+    return P.post_filter(pool, WANTED)[1]

@@ -85,7 +85,7 @@ def test_soft_texts(spark):
 
 
 def test_terms(spark):
-    assert spark.range(1).select(memory.terms(F.lit("The the  a THE bc"))).first()[0] == ["the", "bc"]
+    assert spark.range(1).select(memory.terms(F.lit("The the  a THE bc bcd"))).first()[0] == ["the", "bcd"]
 
 
 def test_places_by_boundaries_and_whole_scores(spark):
