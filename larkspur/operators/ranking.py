@@ -67,12 +67,18 @@ def text_hits(items: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     texts = queries.select("query_id", F.lower("text").alias("_t")).where(F.trim("_t") != "")
     asked = texts.select("query_id", "_t", F.explode(_runs(F.col("_t"), F.least(F.length("_t"), F.lit(3)))).alias("_run"))
     whole = F.concat_ws("\u0000", F.lower("name"), F.lower("address"))
-    runs = F.array_distinct(F.flatten(F.array(*[_runs(whole, F.lit(n)) for n in (1, 2, 3)])))
+    lengths = sorted(r["n"] for r in asked.select(F.length("_run").alias("n")).distinct().collect())  # some of 1, 2 and 3
+    if not lengths:
+        lengths = [3]
+    runs = F.array_distinct(F.flatten(F.array(*[_runs(whole, F.lit(n)) for n in lengths])))
     pieces = items.select("id", "name", "address", F.explode(runs).alias("_run"))
     wanted = _queries(asked.select("_run").distinct())
     counts = pieces.select("_run").join(wanted, "_run", "left_semi").groupBy("_run").agg(F.count("*").alias("_n"))
     rarest = asked.join(counts, "_run").groupBy("query_id", "_t").agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"))
-    held = pieces.join(_queries(rarest), "_run").where(F.contains(F.lower("name"), F.col("_t")) | F.coalesce(F.contains(F.lower("address"), F.col("_t")), F.lit(False)))
+    known = rarest.limit(QUERY_ROWS + 1).collect()  # few rows, one for each query, or else the join is by shuffle
+    if len(known) <= QUERY_ROWS:
+        rarest = F.broadcast(items.sparkSession.createDataFrame(known, rarest.schema))
+    held = pieces.join(rarest, "_run").where(F.contains(F.lower("name"), F.col("_t")) | F.coalesce(F.contains(F.lower("address"), F.col("_t")), F.lit(False)))
     scored = held.withColumn("score", F.greatest(trigram_similarity(F.col("name"), F.col("_t")), F.coalesce(trigram_similarity(F.col("address"), F.col("_t")), F.lit(0.0))))
     ranked = scored.select("query_id", "id", "name", "score").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")))
     return ranked.where(F.col("rank") <= limit)
