@@ -253,8 +253,8 @@ def _verified(pairs: DataFrame, held: DataFrame, docs: DataFrame, join: Join) ->
 
 def _members(nodes: DataFrame) -> DataFrame:
     """key and node of every bucket of several nodes, buckets with the same nodes once; written."""
-    # codes are shuffled once: the counts and the join with the chosen keys read the same exchange
-    pieces = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
+    # codes are shuffled once: the counts and the join with the chosen keys read the same exchange, if both see the same rows
+    pieces = nodes.select("node", F.explode("keys").alias("key")).where("key IS NOT NULL").repartition("key")
     counts = pieces.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x")).where("c > 1")
     chosen = counts.groupBy("lo", "hi", "c", "x").agg(F.min("key").alias("_key")).select("_key")
     return written(pieces.join(chosen, F.col("key") == F.col("_key")).select("key", "node"), "members")
