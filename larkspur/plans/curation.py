@@ -143,15 +143,6 @@ def token_estimate(spark, sf):
 
 
 #: Category lists that every part's number stands for.
-CATEGORIES = (("Pizza Restaurant", "Bar"), ("Barber shop",), ("Tex-Mex restaurant", "Coffee shop"), ("Fancy & Odd Restaurant",), ("Public library", "Restaurant"), ("Ice cream shop", "BBQ joint"))
-_TAGS = ("pizza|italian|bar", "", "mexican|tex_mex|coffee|cafe", "fancy_odd", "", "ice_cream")
-_FOOD = (True, False, True, True, True, True)
-
-
-@query("SELECT p_partkey, CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_TAGS)) + " END AS tags, CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN {str(f).lower()}" for k, f in enumerate(_FOOD)) + " END AS food FROM part")
-def cuisine_tags(spark, sf):
-    categories = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in CATEGORIES]), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return load(spark, sf, "part").select("p_partkey", F.array_join(T.cuisine_tags(categories), "|").alias("tags"), T.is_food_place(categories).alias("food"))
 
 
 @query("""SELECT p_partkey, CAST(CASE WHEN regexp_full_match(trim(raw), '\\${1,4}') THEN length(trim(raw)) ELSE 0 END AS INTEGER) AS level FROM (SELECT p_partkey, repeat('$', CAST(p_size % 7 AS INTEGER)) || CASE WHEN p_partkey % 5 = 0 THEN ' ' WHEN p_partkey % 5 = 1 THEN 'x' ELSE '' END AS raw FROM part)""")
@@ -171,27 +162,6 @@ def review_validation(spark, sf):
     return texts(spark, sf).select("doc_id", reason.alias("reason"), at.cast("timestamp_ntz").alias("reviewed_at"), F.left(T.short_to_blank(F.col("text"), 400), F.lit(10)).alias("head"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'unknown' END AS takeout, CASE p_partkey % 3 WHEN 2 THEN 'true' ELSE 'unknown' END AS delivery,
-CASE p_partkey % 3 WHEN 0 THEN 'take_out|cosy' WHEN 1 THEN 'no_takeout' ELSE 'no_contact_delivery' END AS tags FROM part""")
-def tri_state_fold(spark, sf):
-    entry = lambda k, *v: F.create_map(F.lit(k), F.array(*map(F.lit, v)))
-    misc = F.when(F.col("p_partkey") % 3 == 0, entry("Service options", "Take-Out", "Cosy")).when(F.col("p_partkey") % 3 == 1, F.map_concat(entry("Atmosphere", "Takeout"), entry("service options", "No takeout"))).otherwise(entry("Offerings", "No-contact delivery", ""))
-    states = T.tri_states(misc)
-    return load(spark, sf, "part").select("p_partkey", states["takeout"].alias("takeout"), states["delivery"].alias("delivery"), F.array_join(T.tags_of(misc, "service_options"), "|").alias("tags"))
-
-
-WEEKS = ("9AM–5PM", "6PM to 2AM", "Closed", "Open 24 hours", "Noon-10:30PM", "25AM-2PM")
-_HOURS = ("540-1020", "1080-1560", "closed", "0-1440", "720-1350", "")
-
-
-@query("SELECT event_id, CASE event_id % 6 " + " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(_HOURS)) + " END AS hours FROM events")
-def hours_parse(spark, sf):
-    spec = F.element_at(F.array(*map(F.lit, WEEKS)), (F.col("event_id") % 6 + 1).cast("int"))
-    parsed = I.hours(F.array(F.array(F.lit("Tues"), spec), F.array(F.lit("Someday"), F.lit("1PM-2PM"))))
-    shown = F.transform("h", lambda x: F.when(x["closed"], "closed").otherwise(F.concat(x["open"].cast("string"), F.lit("-"), x["close"].cast("string"))))
-    return events(spark, sf).select("event_id", parsed.alias("h")).select("event_id", F.array_join(shown, ",").alias("hours"))
-
-
 _BANDS = "CASE WHEN rating >= 4 THEN 2 WHEN rating = 3 THEN 1 ELSE 0 END"
 
 

@@ -224,13 +224,6 @@ def tool_counters(spark, sf):
     return S.tool_counters(events(spark, sf).select(F.col("user_id").alias("run_id"), F.col("event_type").alias("tool")), ("view", "click"))
 
 
-@query("""SELECT event_id, array_to_string(list_filter(['borough', 'cuisine', 'party'], lambda x: NOT list_contains(CASE event_id % 3 WHEN 0 THEN ['party'] WHEN 1 THEN ['borough', 'party'] ELSE [] END, x)), ',') AS missing FROM events""")
-def slot_carry_over(spark, sf):
-    names = F.array(*map(F.lit, ("borough", "cuisine", "party")))
-    filled = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("party"))).when(F.col("event_id") % 3 == 1, F.array(F.lit("borough"), F.lit("party"))).otherwise(F.array().cast("array<string>"))
-    return events(spark, sf).select("event_id", F.array_join(S.missing_slots(names, filled), ",").alias("missing"))
-
-
 _ACC = "CASE event_type WHEN 'error' THEN 'warning' WHEN 'view' THEN 'candidate' WHEN 'purchase' THEN 'select' ELSE 'x' END"
 
 
@@ -251,12 +244,6 @@ def stream_frames(spark, sf):
     return S.frames(pieces, "conv_id", "n")
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'abc' WHEN 1 THEN 'abc ' WHEN 2 THEN 'abc' ELSE 'abc [f' || 'x' END AS stable FROM documents""")
-def trailer_hold_back(spark, sf):
-    body = F.element_at(F.array(*map(F.lit, ("abc[fo", "abc [", "abc[follow]rest", "abc [fx"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return load(spark, sf, "documents").select("doc_id", S.stable_text(body, "[follow]").alias("stable"))
-
-
 @query("""SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text || chr(10) || chr(10) || '- a' || chr(10) || '- b', '\\n\\n+'), lambda b: trim(b, ' ')), lambda b: b <> '')) AS blocks, 1 AS lists FROM documents""")
 def answer_segments(spark, sf):
     found = S.segments(F.concat(F.col("text"), F.lit("\n\n- a\n- b")))

@@ -280,18 +280,6 @@ def recall_at_k(spark, sf):
     return A.recall_at_k(found, truth, 50).select("query_id", "relevant", "hits", F.round("recall", 6).alias("recall"))
 
 
-@query("""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'Blue Bar|Joes' WHEN 1 THEN '' ELSE 'Jin' END AS names FROM conversations""")
-def quoted_names(spark, sf):
-    text = F.element_at(F.array(F.lit("go to “Blue Bar” or 《Joes》"), F.lit("no name"), F.lit("「 Jin 」")), (F.col("conv_id") % 3 + 1).cast("int"))
-    return load(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(I.quoted_names(text)), "|").alias("names"))
-
-
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 3 ELSE 0 END AS position FROM events""")
-def reference_positions(spark, sf):
-    text = F.element_at(F.array(*map(F.lit, ("the second one", "the last", "第三家", "number 9"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return events(spark, sf).select("event_id", F.coalesce(I.referred_position(text, F.lit(5)), F.lit(0)).alias("position"))
-
-
 @query("""SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS kept FROM events""")
 def redacted_arguments(spark, sf):
     return events(spark, sf).select("event_id", F.to_json(I.redact(F.concat(F.left("props", F.length("props") - 1), F.lit(', "secret": "x"}')), ("k",))).alias("kept"))
