@@ -125,6 +125,16 @@ def invalid_citations(text: Column, allowed: Column) -> Column:
     return F.array_except(F.array_distinct(cited_ids(text)), allowed)
 
 
+def sorted_citations(ids: Column) -> Column:
+    """Ids in rising order, each once."""
+    return F.array_sort(F.array_distinct(ids))
+
+
+def citation_verdict(text: Column, allowed: Column, tries: Column) -> Column:
+    """What becomes of an answer: accepted, regenerated once if it cites what it may not, failed if it does so again."""
+    return F.when(F.size(invalid_citations(text, allowed)) == 0, "accept").when(tries < 1, "regenerate").otherwise("fail")
+
+
 def is_permutation(a: Column, b: Column) -> Column:
     return F.array_sort(a) == F.array_sort(b)
 

@@ -38,6 +38,13 @@ def upsert_first_wins(current: DataFrame, incoming: DataFrame, keys: Sequence[st
     return current.unionByName(latest(fresh, keys, [F.col(order)]).select(*current.columns))
 
 
+def upsert_counts(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many rows a first-wins upsert inserts, and how many it passes over because their key is there or came before."""
+    fresh = incoming.join(current.select(*keys).distinct(), list(keys), "left_anti").select(*keys).distinct().agg(F.count("*").alias("inserted"))
+    total = incoming.agg(F.count("*").alias("_total"))
+    return fresh.crossJoin(total).select("inserted", (F.col("_total") - F.col("inserted")).alias("skipped"))  # one row each
+
+
 def guard_versions(current: DataFrame, incoming: DataFrame, key: str, version: str) -> tuple[DataFrame, DataFrame]:
     """(next state, conflicts): a row is taken only with a version above the stored one."""
     stored = current.select(F.col(key).alias("_k"), F.col(version).alias("_v"))
@@ -97,7 +104,7 @@ def assign_versions(history: DataFrame, batch: DataFrame, group: Sequence[str],
 def backfill_sequence(calls: DataFrame, run: str, created: str, call: str, latency_ms: str) -> DataFrame:
     """Calls numbered per run by creation time and id, with the start reckoned back from the latency."""
     w = Window.partitionBy(run).orderBy(created, call)
-    started = F.timestamp_micros(F.unix_micros(F.col(created)) - (F.col(latency_ms) * 1000).cast("long"))
+    started = F.timestamp_micros(F.unix_micros(F.col(created).cast("timestamp")) - F.round(F.col(latency_ms) * 1000).cast("long"))
     return calls.withColumn("seq", F.row_number().over(w)).withColumn("started_at", started)
 
 

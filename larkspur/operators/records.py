@@ -110,3 +110,14 @@ def progress(rows: DataFrame) -> DataFrame:
     moved, took = F.col("read") - F.lag("read").over(w), F.col("at_s") - F.lag("at_s").over(w)
     rate = F.when((moved > 0) & (took > 0), moved / took)
     return rows.withColumn("rate", rate).withColumn("eta_s", F.when(F.col("rate").isNotNull(), (F.col("total") - F.col("read")) / F.col("rate")))
+
+
+def inventory(slots: DataFrame, reservations: DataFrame) -> DataFrame:
+    """Every slot with its reservations beside it, by time, then id; reservations newest first, then by id; a slot without any has one row.
+
+    ``slots``: restaurant_id, slot_date, slot_time, slot_id, capacity; ``reservations``: slot_id, reservation_id, created_at, party.
+    """
+    joined = slots.join(reservations, "slot_id", "left")
+    of_slot = Window.partitionBy("slot_id")
+    place = Window.partitionBy("restaurant_id", "slot_date").orderBy("slot_time", "slot_id", F.col("created_at").desc_nulls_last(), "reservation_id")
+    return joined.withColumn("booked", F.coalesce(F.sum("party").over(of_slot), F.lit(0))).withColumn("row", F.row_number().over(place))

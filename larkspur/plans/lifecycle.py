@@ -90,12 +90,7 @@ def assign_versions(spark, sf):
 @query("""SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS seq, ts - to_microseconds(CAST(floor(value * 1000) AS BIGINT)) AS started_at FROM events""")
 def backfill_tool_seq(spark, sf):
     calls = events(spark, sf).withColumn("ms", F.floor(F.col("value") * 1000) / 1000.0)
-    rows = calls.select("event_id", "user_id", "ts", F.floor(F.col("value") * 1000).alias("us"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ts = F.col("ts").cast("timestamp_ntz")
-    return rows.select("event_id", F.row_number().over(w).alias("seq"), (ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("us") / 1000000).cast("decimal(18,6)"))).alias("started_at"))
+    return K.backfill_sequence(calls, "user_id", "ts", "event_id", "ms").select("event_id", "seq", F.col("started_at").cast("timestamp_ntz").alias("started_at"))
 
 
 @query("""WITH live AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 2 = 0), listed AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 7 = 0)

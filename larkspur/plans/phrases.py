@@ -154,3 +154,24 @@ def hours_parse(spark, sf):
     parsed = I.hours(F.array(F.array(F.lit("Tues"), spec), F.array(F.lit("Someday"), F.lit("1PM-2PM")), F.array(F.lit("fri"), F.concat(F.lit("noon-"), short), F.lit("25AM-2PM"))))
     shown = F.transform("h", lambda x: F.when(x["closed"], "closed").otherwise(F.concat(x["open"].cast("string"), F.lit("-"), x["close"].cast("string"))))
     return events(spark, sf).select("event_id", parsed.alias("h")).select("event_id", F.array_join(shown, ",").alias("hours"))
+
+
+@query("""WITH t AS (SELECT doc_id, doc_id % 4 AS k, regexp_replace(left(text, CAST(doc_id % 400 AS BIGINT)), '[^A-Za-z ]', '', 'g') AS said FROM documents), c AS (SELECT *, '"' || CASE WHEN length(said) > 200 THEN left(said, 200) || '…' ELSE said END || '"' AS cut FROM t)
+SELECT doc_id, CASE k WHEN 0 THEN '{"min_rating":4.5,"open_now":' || CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'null' END || ',"query":' || cut || '}' WHEN 1 THEN '{"query":' || cut || ',"restaurant_ids":[' || doc_id || ',7],"top_k":' || doc_id % 50 || '}' ELSE '{}' END AS kept FROM c""")
+def redacted_arguments(spark, sf):
+    doc, k = F.col("doc_id"), F.col("doc_id") % 4
+    said = F.regexp_replace(F.left("text", (doc % 400).cast("int")), "[^A-Za-z ]", "")
+    tool = F.when(k == 0, "search_restaurants").when(k == 2, "send_mail").otherwise("get_restaurant_evidence")
+    search = F.concat(F.lit('{"query": "'), said, F.lit('", "phone": "212", "min_rating": 4.5, "open_now": '), F.when(doc % 3 == 0, "true").otherwise("null"), F.lit("}"))
+    recall = F.concat(F.lit('{"top_k": '), (doc % 50).cast("string"), F.lit(', "restaurant_ids": ['), doc.cast("string"), F.lit(', 7], "user": {"a": 1}, "query": "'), said, F.lit('"}'))
+    arguments = F.when(k == 0, search).when(k == 3, F.lit("[1]")).otherwise(recall)
+    return load(spark, sf, "documents").select("doc_id", I.redact_call(tool, arguments).alias("kept"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, [turn % 4, conv_id % 7, turn % 4, 3] AS ids FROM conversations) SELECT conv_id, turn, array_to_string(list_sort(list_distinct(ids)), ',') AS sorted,
+CASE WHEN conv_id % 7 < 4 THEN 'accept' WHEN turn % 2 = 0 THEN 'regenerate' ELSE 'fail' END AS verdict FROM c""")
+def citation_verdicts(spark, sf):
+    ids = F.array(F.col("turn") % 4, F.col("conv_id") % 7, F.col("turn") % 4, F.lit(3).cast("long")).cast("array<bigint>")
+    text = F.concat(F.lit("so[^"), F.array_join(ids.cast("array<string>"), "] and [^"), F.lit("]."))
+    allowed = F.array(*[F.lit(x).cast("long") for x in range(4)])
+    return load(spark, sf, "conversations").select("conv_id", "turn", F.array_join(E.sorted_citations(E.cited_ids(text)), ",").alias("sorted"), E.citation_verdict(text, allowed, F.col("turn") % 2).alias("verdict"))

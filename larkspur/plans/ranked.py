@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.functions import interpret as I
 from larkspur.functions import vector as V
 from larkspur.operators import evidence as E
 from larkspur.operators import filters as P
 from larkspur.operators import ranking as R
 from larkspur.operators import rollups as A
 from larkspur.plans.registry import SQL, query
-from larkspur.sources.tables import KDOCS, PLACES, TEXTS, events, kdocs, load, places, texts
+from larkspur.sources.tables import KDOCS, PLACES, TEXTS, kdocs, load, places, texts
 
 
 def _queries(spark, sf):
@@ -280,6 +279,3 @@ def recall_at_k(spark, sf):
     return A.recall_at_k(found, truth, 50).select("query_id", "relevant", "hits", F.round("recall", 6).alias("recall"))
 
 
-@query("""SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS kept FROM events""")
-def redacted_arguments(spark, sf):
-    return events(spark, sf).select("event_id", F.to_json(I.redact(F.concat(F.left("props", F.length("props") - 1), F.lit(', "secret": "x"}')), ("k",))).alias("kept"))

@@ -93,3 +93,25 @@ def progress_rates(spark, sf):
 
     rows = events(spark, sf).select(F.col("event_type").alias("stage"), F.col("event_id").alias("at_s"), F.sum(F.col("event_id") % 7).over(Window.partitionBy("event_type").orderBy("event_id")).alias("read"), F.lit(100000).alias("total"))
     return R.progress(rows).select("stage", "at_s", F.round("rate", 6).alias("rate"), F.round("eta_s", 3).alias("eta_s"))
+
+
+@query("""WITH s AS (SELECT c AS restaurant_id, d AS slot_date, t AS slot_time, 'r' || c || '-' || d || '-' || t AS slot_id FROM (SELECT DISTINCT c_nationkey AS c FROM customer), (VALUES ('2024-01-05'), ('2024-01-06')) v(d), (VALUES ('1700'), ('1800')) w(t)),
+b AS (SELECT 'r' || c_nationkey || '-2024-01-0' || (5 + c_custkey % 3) || '-1' || (7 + c_custkey % 2) || '00' AS slot_id, c_custkey AS reservation_id, c_custkey % 11 AS created, c_custkey % 4 + 1 AS party FROM customer WHERE c_custkey % 6 = 0)
+SELECT restaurant_id, slot_id, reservation_id, CAST(coalesce(sum(party) OVER (PARTITION BY slot_id), 0) AS BIGINT) AS booked, CAST(row_number() OVER (PARTITION BY restaurant_id, slot_date ORDER BY slot_time, slot_id, created DESC NULLS LAST, reservation_id) AS INTEGER) AS row FROM s LEFT JOIN b USING (slot_id)""")
+def slot_inventory(spark, sf):
+    c = F.col("c_custkey")
+    slots = load(spark, sf, "customer").select(F.col("c_nationkey").alias("restaurant_id")).distinct()
+    slots = slots.select("restaurant_id", F.explode(F.array(F.lit("2024-01-05"), F.lit("2024-01-06"))).alias("slot_date")).select("restaurant_id", "slot_date", F.explode(F.array(F.lit("1700"), F.lit("1800"))).alias("slot_time"))
+    named = lambda place, date, time: F.concat(F.lit("r"), place.cast("string"), F.lit("-"), date, F.lit("-"), time).alias("slot_id")
+    slots = slots.select("restaurant_id", "slot_date", "slot_time", named(F.col("restaurant_id"), F.col("slot_date"), F.col("slot_time")), F.lit(8).alias("capacity"))
+    taken = load(spark, sf, "customer").where("c_custkey % 6 = 0").select(named(F.col("c_nationkey"), F.concat(F.lit("2024-01-0"), (c % 3 + 5).cast("string")), F.concat(F.lit("1"), (c % 2 + 7).cast("string"), F.lit("00"))), c.alias("reservation_id"), F.timestamp_seconds(c % 11).alias("created_at"), (c % 4 + 1).alias("party"))
+    return R.inventory(slots, taken).select("restaurant_id", "slot_id", "reservation_id", "booked", "row")
+
+
+@query("""WITH i AS (SELECT o_custkey % 500 AS k, o_orderkey FROM orders), old AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0), f AS (SELECT count(DISTINCT k) AS n FROM i WHERE k NOT IN (SELECT k FROM old))
+SELECT n AS inserted, (SELECT count(*) FROM orders) - n AS skipped FROM f""")
+def upsert_counts(spark, sf):
+    from larkspur.operators import lifecycle as K
+
+    old = load(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"))
+    return K.upsert_counts(old, load(spark, sf, "orders").select((F.col("o_custkey") % 500).alias("k"), "o_orderkey"), ["k"])
