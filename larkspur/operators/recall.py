@@ -152,3 +152,14 @@ def parsed_vector(text: Column) -> Column:
     inner = F.regexp_extract(text, r"^\s*\[(.*)\]\s*$", 1)
     numbers = F.transform(F.split(inner, ","), lambda x: F.trim(x).try_cast("float"))
     return F.when((inner != "") & F.forall(numbers, lambda x: x.isNotNull()), numbers)
+
+
+def semantic_status(text: Column, enabled: Column, error: Column, vector: Column, size: int) -> Column:
+    """What becomes of a search's semantic channels, which share one embedded text.
+
+    Without anything to embed, or with the channels off, they are skipped. A passing error leaves
+    the search without them; an empty vector or one of another size is a fault that fails it.
+    """
+    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    wrong = F.coalesce(F.size(vector), F.lit(0)) != size
+    return F.when(blank | ~enabled, "skipped").when(error.isNotNull(), "degraded").when(wrong, "failed").otherwise("ready")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import curation, extra, lifecycle, phrases, ranked, recall, records, search  # noqa: F401  registering is what the import is for
+from larkspur.plans import curation, documents, extra, lifecycle, phrases, ranked, recall, records, search  # noqa: F401  registering is what the import is for
 from larkspur.plans.registry import QUERIES, SQL
 
 

@@ -171,3 +171,11 @@ def live_models(spark, sf):
 def kept_fraction(spark, sf):
     keys = load(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
     return A.coverage(load(spark, sf, "orders").select(F.col("o_custkey").alias("key")), keys, "key").withColumn("kept_fraction", F.round("kept_fraction", 6))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 5 = 0 OR vec_id % 7 = 0 THEN 'skipped' WHEN vec_id % 3 = 0 THEN 'degraded' WHEN vec_id % 2 = 0 AND len(embedding) <> 32 OR vec_id % 2 = 1 AND len(embedding) <> 64 THEN 'failed' ELSE 'ready' END AS status FROM embeddings""")
+def semantic_plans(spark, sf):
+    n = F.col("vec_id")
+    text, error = F.when(n % 5 == 0, "  ").otherwise("quiet place"), F.when(n % 3 == 0, "timeout")
+    status = lambda size: C.semantic_status(text, n % 7 != 0, error, F.col("embedding"), size)
+    return load(spark, sf, "embeddings").select("vec_id", F.when(n % 2 == 0, status(32)).otherwise(status(64)).alias("status"))
