@@ -77,21 +77,24 @@ def memory_terms(spark, sf):
     return load(spark, sf, "conversations").select("conv_id", "turn", matched.alias("matched")).where("matched > 0").orderBy(F.col("matched").desc(), "conv_id", "turn").limit(40)
 
 
-# ---- fusion: three channels over places, with many queries in one plan
-
-_HITS = f"""{PLACES}, {KDOCS}, asked(q, area) AS (VALUES (0, 'asia'), (1, 'europe'), (2, 'africa')), hits AS (
-  SELECT q AS query_id, 'structured' AS channel, restaurant_id, 1.0::DOUBLE AS score FROM places JOIN asked ON borough = area WHERE is_active AND rating >= 3.0
-  UNION ALL SELECT q, 'keyword', restaurant_id, round(((restaurant_id + q) % 17) / 17.0::DOUBLE, 6) FROM places, asked WHERE contains(name, '7')
-  UNION ALL SELECT q.document_id, 'vector', d.document_id, round({_SIM}, 6) FROM kdocs d JOIN kdocs q ON q.document_id < 3
-  UNION ALL SELECT q, 'review', restaurant_id, round(((restaurant_id + q) % 23) / 23.0::DOUBLE, 6) FROM places, asked WHERE contains(name, '3')
-  UNION ALL SELECT q, 'review', restaurant_id, 0.01::DOUBLE FROM places, asked WHERE contains(name, '33')),
- pool AS (SELECT q AS query_id, restaurant_id, CASE WHEN rating > 0 THEN 4.0 + (rating - 4.0) * rating_count / (rating_count + 50.0) ELSE 0.0 END AS prior FROM places, (VALUES (0), (1), (2)) v(q) WHERE is_active)"""
+# ---- fusion: four channels over places, with many queries in one plan
+
+
+def _tri(a: str, b: str) -> str:
+    return f"len(list_intersect({_GRAMS.format(a)}, {_GRAMS.format(b)})) / len(list_distinct(list_concat({_GRAMS.format(a)}, {_GRAMS.format(b)})))::DOUBLE"
+
+
 _BOROUGHS = ("africa", "america", "asia", "europe", "middle east")
-#: The same with every twentieth document as a query.
-_HITS_ALL = (
-    _HITS.replace("asked(q, area) AS (VALUES (0, 'asia'), (1, 'europe'), (2, 'africa'))", f"asked AS (SELECT document_id AS q, list_extract({list(_BOROUGHS)}, CAST(document_id // 20 % {len(_BOROUGHS)} + 1 AS BIGINT)) AS area FROM kdocs WHERE document_id % 20 = 0)")
-    .replace("q.document_id < 3", "q.document_id % 20 = 0").replace("(VALUES (0), (1), (2)) v(q)", "asked")
-)
+
+#: Every twentieth document asks: for an area, for a street, and for what is near its vector within its scope.
+_HITS = f"""{PLACES}, {KDOCS}, asked AS (SELECT document_id AS q, scope, embedding, list_extract({list(_BOROUGHS)}, CAST(document_id // 20 % {len(_BOROUGHS)} + 1 AS BIGINT)) AS area, 'street ' || document_id // 20 % 97 AS said FROM kdocs WHERE document_id % 20 = 0),
+ near AS (SELECT a.q, d.document_id, d.restaurant_id, {_SIM.replace("q.embedding", "a.embedding")} AS score FROM kdocs d JOIN asked a ON d.scope = a.scope),
+ said AS (SELECT q, restaurant_id, greatest({_tri('name', 'said')}, {_tri('address', 'said')}) AS score FROM places JOIN asked ON contains(lower(address), said) OR contains(lower(name), said)),
+ hits AS (SELECT q AS query_id, 'structured' AS channel, restaurant_id, 1.0::DOUBLE AS score FROM places JOIN asked ON borough = area WHERE is_active AND rating >= 3.0
+  UNION ALL SELECT q, 'keyword', restaurant_id, round(score, 6) FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, restaurant_id) AS rn FROM said) WHERE rn <= 500
+  UNION ALL SELECT q, 'vector', document_id, round(score, 6) FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, document_id) AS rn FROM near) WHERE rn <= 200
+  UNION ALL SELECT q, 'review', restaurant_id, round(score, 6) FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, document_id) AS rn FROM near WHERE score >= 0.1) WHERE rn <= 200),
+ pool AS (SELECT query_id, restaurant_id, CASE WHEN rating > 0 THEN 4.0 + (rating - 4.0) * rating_count / (rating_count + 50.0) ELSE 0.0 END AS prior FROM (SELECT DISTINCT query_id, restaurant_id FROM hits) JOIN places USING (restaurant_id) WHERE is_active)"""
 _BEST = "best AS (SELECT h.query_id, h.channel, h.restaurant_id, max(score) AS raw FROM hits h SEMI JOIN pool p ON h.query_id = p.query_id AND h.restaurant_id = p.restaurant_id GROUP BY 1, 2, 3)"
 _WEIGHT = "CASE channel WHEN 'structured' THEN 1.0 WHEN 'keyword' THEN 0.5 WHEN 'vector' THEN 1.0 ELSE 0.8 END"
 _FUSED = """s AS (SELECT query_id, restaurant_id, sum(c) AS ch FROM parts GROUP BY 1, 2), k AS (SELECT s.*, prior FROM s JOIN pool USING (query_id, restaurant_id)),
@@ -99,33 +102,27 @@ _FUSED = """s AS (SELECT query_id, restaurant_id, sum(c) AS ch FROM parts GROUP
 SELECT query_id, restaurant_id, total, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, restaurant_id) AS rank FROM t) WHERE rank <= 10"""
 
 
-def _three(spark, sf):
-    """(query_id, borough) of three queries."""
-    return F.broadcast(spark.createDataFrame([(0, "asia"), (1, "europe"), (2, "africa")], "query_id long, borough string"))
-
-
-def _every_twentieth(spark, sf):
-    """(query_id, borough) of every query; not marked for broadcast, as their number grows with the table."""
-    boroughs = F.array(*map(F.lit, _BOROUGHS))
-    return _queries(spark, sf).select("query_id", F.element_at(boroughs, (F.floor(F.col("query_id") / 20) % len(_BOROUGHS) + 1).cast("int")).alias("borough"))
+def _asking(spark, sf):
+    """Every twentieth document with what it asks for; not marked for broadcast, as their number grows with the table."""
+    at = F.floor(F.col("document_id") / 20)
+    area = F.element_at(F.array(*map(F.lit, _BOROUGHS)), (at % len(_BOROUGHS) + 1).cast("int"))
+    return kdocs(spark, sf).where("document_id % 20 = 0").select(F.col("document_id").alias("query_id"), "scope", "embedding", area.alias("borough"), F.concat(F.lit("street "), (at % 97).cast("string")).alias("text"))
 
 
-def _hits(spark, sf, queries=_three):
+def _hits(spark, sf):
+    """(hits, pool): the hits of all channels, and the active places among them with their priors."""
     from larkspur.functions.text import rating_prior
 
-    all_places = places(spark, sf)
-    areas = queries(spark, sf)
-    hit = lambda df, q, channel, score: df.select(q.cast("long").alias("query_id"), F.lit(channel).alias("channel"), "restaurant_id", score.cast("double").alias("score"))
-    score = lambda n: F.round(((F.col("restaurant_id") + F.col("query_id")) % n) / float(n), 6)
-    each = all_places.crossJoin(areas.select("query_id"))
-    structured = hit(all_places.where("is_active AND rating >= 3.0").join(areas, "borough"), F.col("query_id"), "structured", F.lit(1.0))
-    keyword = hit(each.where(F.contains("name", F.lit("7"))), F.col("query_id"), "keyword", score(17))
-    review = hit(each.where(F.contains("name", F.lit("3"))), F.col("query_id"), "review", score(23)).unionByName(hit(each.where(F.contains("name", F.lit("33"))), F.col("query_id"), "review", F.lit(0.01)))
-    asked = kdocs(spark, sf).join(areas.select(F.col("query_id").alias("document_id")), "document_id", "left_semi").select(F.col("document_id").alias("query_id"), F.lit(1).alias("one"), "embedding")
-    near = R.vector_hits(kdocs(spark, sf).withColumn("one", F.lit(1)), asked, ["one"], 1 << 30)
-    vector = near.select("query_id", F.lit("vector").alias("channel"), F.col("document_id").alias("restaurant_id"), F.round("score", 6).alias("score"))
-    pool = all_places.where("is_active").select("restaurant_id", rating_prior(F.col("rating"), F.col("rating_count")).alias("prior")).crossJoin(areas.select("query_id"))
-    return structured.unionByName(keyword).unionByName(review).unionByName(vector), pool
+    all_places, docs, asked = places(spark, sf), kdocs(spark, sf), _asking(spark, sf)
+    hit = lambda df, channel, place, score: df.select("query_id", F.lit(channel).alias("channel"), F.col(place).alias("restaurant_id"), F.round(score, 6).alias("score"))
+    structured = hit(all_places.where("is_active AND rating >= 3.0").join(asked.select("query_id", "borough"), "borough"), "structured", "restaurant_id", F.lit(1.0))
+    named = all_places.select(F.col("restaurant_id").alias("id"), "name", "address")
+    keyword = hit(R.text_hits(named, asked.select("query_id", "text"), 500), "keyword", "id", F.col("score"))
+    vector = hit(R.vector_hits(docs, asked, ["scope"], 200), "vector", "document_id", F.col("score"))
+    review = hit(R.vector_hits(docs, asked, ["scope"], 200, floor=0.1), "review", "restaurant_id", F.col("score"))
+    hits = structured.unionByName(keyword).unionByName(vector).unionByName(review)
+    known = all_places.where("is_active").select("restaurant_id", rating_prior(F.col("rating"), F.col("rating_count")).alias("prior"))
+    return hits, hits.select("query_id", "restaurant_id").distinct().join(known, "restaurant_id")
 
 
 @query(f"""WITH {_HITS}, {_BEST}, r AS (SELECT query_id, CASE WHEN channel IN ('vector', 'review') THEN 'semantic' ELSE channel END AS family, min(score) AS lo, max(score) AS hi FROM hits GROUP BY 1, 2),
@@ -158,24 +155,8 @@ def _rescored(hits, pool):
     return R.rescored(hits, exact, {"review": 0.3})
 
 
-@query(SQL["fuse_weighted"].replace(_HITS, _HITS_ALL))
-def fuse_weighted_all(spark, sf):
-    return R.fuse(*_hits(spark, sf, _every_twentieth), "weighted", top=10)
-
-
-@query(SQL["fuse_rrf"].replace(_HITS, _HITS_ALL))
-def fuse_rrf_all(spark, sf):
-    return R.fuse(*_hits(spark, sf, _every_twentieth), "rrf", top=10)
-
-
-@query(SQL["unknown_hits"].replace(_HITS, _HITS_ALL))
-def unknown_hits_all(spark, sf):
-    return R.unknown_hits(*_hits(spark, sf, _every_twentieth))
-
-
-@query(SQL["rescore_overlay"].replace(_HITS, _HITS_ALL))
-def rescore_overlay_all(spark, sf):
-    return _rescored(*_hits(spark, sf, _every_twentieth))
+# the same under the names that told them from queries over three documents
+fuse_weighted_all, fuse_rrf_all, unknown_hits_all, rescore_overlay_all = (query(SQL[f.__name__], f"{f.__name__}_all")(f) for f in (fuse_weighted, fuse_rrf, unknown_hits, rescore_overlay))
 
 
 @query(f"""WITH {PLACES}, c AS (SELECT 1 AS o, restaurant_id, CASE WHEN restaurant_id % 5 <> 0 THEN address END AS address, CASE WHEN restaurant_id % 3 <> 1 THEN rating END AS rating, CASE WHEN restaurant_id % 2 = 0 THEN rating END AS prior FROM places

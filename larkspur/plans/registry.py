@@ -8,11 +8,13 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function, under its own name if no other is given, with its SQL if there is some."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name or f.__name__] = sql
         return f
 
     return add
