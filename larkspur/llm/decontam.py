@@ -130,8 +130,8 @@ class ItemIndex:
 
 
 def item_blocks(benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD):
-    """Indexes over blocks of the benchmark; each is bounded by BLOCK_ITEMS and BLOCK_BYTES in expectation."""
-    rows = benchmark.select("item_id", "text").where("text IS NOT NULL")
+    """Indexes over blocks of the distinct items; each is bounded by BLOCK_ITEMS and BLOCK_BYTES in expectation."""
+    rows = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(1, math.ceil(total["n"] / BLOCK_ITEMS), math.ceil(total["b"] / BLOCK_BYTES))
     for block in range(blocks):

@@ -95,6 +95,14 @@ def test_leaks_against_brute_force(leaky, monkeypatch):
 def test_no_items_or_documents(leaky):
     docs, items = leaky
     assert decontam.find_leaks(docs, items.limit(0)).count() == 0 and decontam.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_repeated_items_are_collected_once(spark):
+    items = spark.range(3000).select(F.lit(1).alias("item_id"), F.lit("one two three four five six").alias("text")).unionByName(spark.createDataFrame([(2, "seven eight nine ten eleven twelve")], "item_id int, text string"))
+    (index,) = decontam.item_blocks(items)
+    assert sorted(index.ids) == [1, 2]
+    docs = spark.createDataFrame([(5, "zero one two three four five six")], "doc_id long, text string")
+    assert [(r["item_id"], r["n_shared"]) for r in decontam.find_leaks(docs, items).collect()] == [(1, 2)]
     assert decontam.drop_leaks(docs, items.limit(0)).count() == docs.count()
 
 
