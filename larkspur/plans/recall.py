@@ -8,6 +8,7 @@ from larkspur.functions import text as T
 from larkspur.operators import memory as M
 from larkspur.operators import recall as C
 from larkspur.operators import rollups as A
+from larkspur.operators import vector_index as V
 from larkspur.plans.curation import _TOPICS, _scores
 from larkspur.plans.importing import selected
 from larkspur.plans.registry import SQL, query
@@ -61,6 +62,29 @@ def scoped_vector_topk(spark, sf):
     return C.scoped_vector_hits(knowledge(spark, sf), asked, 10).withColumn("score", F.round("score", 6))
 
 
+def _indexed(spark, sf):
+    from larkspur.session import shared_folder
+
+    asked = requests(spark, sf).select("query_id", "scope", "borough", F.col("vector").alias("embedding"))
+    return V.build_index(knowledge(spark, sf), shared_folder(spark, "index"), 64), asked
+
+
+@query()
+def indexed_vector_topk(spark, sf):
+    """The calibrated cells of every twentieth vector; its recall against the exact way is tested."""
+    index, asked = _indexed(spark, sf)
+    return V.index_hits(spark, index, asked, 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {KNOWLEDGE}, {REQUESTS}, s AS (SELECT query_id, k.document_id, greatest(0.0, least(1.0, list_cosine_similarity(k.embedding, r.vector))) AS score
+ FROM k JOIN r ON k.scope = r.scope WHERE is_active AND (r.borough IS NULL OR k.borough = r.borough))
+SELECT query_id, document_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM s) WHERE rank <= 10""")
+def indexed_vector_exact(spark, sf):
+    """The same index, all cells read."""
+    index, asked = _indexed(spark, sf)
+    return V.index_hits(spark, index, asked, 10, exact=True).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {KNOWLEDGE}, {REQUESTS}, s AS (SELECT query_id, k.document_id, k.restaurant_id, k.doc_type, r.embedding IS NULL AS plain, named = 1 AS one,
  CASE WHEN r.embedding IS NOT NULL THEN greatest(0.0, least(1.0, list_cosine_similarity(k.embedding, r.vector))) END AS score
  FROM k JOIN r ON list_contains(r.places, k.restaurant_id) WHERE is_active AND k.scope = 'evidence' AND {_ON_TOPIC} AND ((r.embedding IS NULL AND named = 1) OR {_ON_KIND})),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,6 +32,16 @@ def local_session(cpus: int = 8, memory: str = "8g", name: str = "larkspur") ->
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share; a machine-local one only where that is unset and the master is local."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
+    return f"{base.rstrip('/')}/larkspur-{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that do not see the repository."""
     app = spark.sparkContext.applicationId
