@@ -171,9 +171,17 @@ def fuse(hits: DataFrame, pool: DataFrame, method: str = "weighted", top: int =
 
 
 def explain(parts: DataFrame) -> DataFrame:
-    """Per query and place the channels that contributed, strongest first, as text."""
-    listed = F.array_sort(F.collect_list(F.struct((-F.round("contribution", 3)).alias("c"), "channel")))
-    return parts.groupBy("query_id", "restaurant_id").agg(F.array_join(F.transform(listed, lambda x: F.concat(x["channel"], F.lit(":"), F.format_number(-x["c"], 3))), " ").alias("reasons"))
+    """query_id, restaurant_id and ``reasons``: what each channel that recalled the place says, in the channels' order, with its weight and contribution.
+
+    ``parts`` has the channels' contributions and a ``reason``; a channel without one is not named. One whose weakest hit the
+    place was contributes nothing and is named all the same.
+    """
+    place = F.element_at(F.create_map(*[F.lit(x) for kv in enumerate(WEIGHTS) for x in reversed(kv)]), F.col("channel"))
+    weight = F.format_string("%.2f", F.element_at(_weights(), F.col("channel")))
+    added = F.concat(F.col("reason"), F.lit("（权重 "), weight, F.lit("，贡献 "), F.format_string("%.3f", "contribution"), F.lit("）"))
+    none = F.concat(F.col("reason"), F.lit("（权重 "), weight, F.lit("，归一化后贡献为 0：该通道内最弱命中，仍被该通道召回）"))
+    said = parts.where(F.coalesce("reason", F.lit("")) != "").select("query_id", "restaurant_id", F.struct(place.alias("o"), F.when(F.col("contribution") > 0, added).otherwise(none).alias("t")).alias("r"))
+    return said.groupBy("query_id", "restaurant_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["t"]).alias("reasons"))
 
 
 def apply_rerank(ranked: DataFrame, order: DataFrame) -> DataFrame:

@@ -134,12 +134,18 @@ def tool_counters(calls: DataFrame, retrieval: tuple[str, ...] = RETRIEVAL_TOOLS
 
 
 def frames(chunks: DataFrame, key: str, order: str) -> DataFrame:
-    """Frames of a server-sent stream cut at blank lines, whatever the chunk bounds; comments go, data lines are joined."""
+    """Frames of a server-sent stream cut at blank lines, whatever the chunk bounds: pos, event, data.
+
+    A frame without an event's name goes, comments with it; one without data stays, with empty data. Data lines are
+    trimmed and joined by newlines, leading empty ones left out. What follows the last blank line is a frame as well.
+    """
     whole = chunks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "chunk"))), lambda x: x["chunk"]), "").alias("_all"))
-    cut = whole.select(key, F.posexplode(F.split(F.regexp_replace("_all", "\r\n", "\n"), "\n\n")).alias("pos", "frame"))
+    cut = whole.select(key, F.posexplode(F.split("_all", "\n\n")).alias("pos", "frame"))
     lines = F.split("frame", "\n")
-    pick = lambda name: F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(f"{name}:"))), lambda x: F.regexp_replace(x, f"^{name}: ?", ""))
-    return cut.select(key, "pos", F.coalesce(F.try_element_at(pick("event"), F.lit(1)), F.lit("message")).alias("event"), F.array_join(pick("data"), "\n").alias("data")).where(F.size(pick("data")) > 0)
+    trimmed = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    pick = lambda name: F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(f"{name}:"))), lambda x: trimmed(F.substring(x, len(name) + 2, 1 << 30)))
+    named = cut.select(key, "pos", F.try_element_at(pick("event"), F.lit(-1)).alias("event"), F.regexp_replace(F.array_join(pick("data"), "\n"), "^\n+", "").alias("data"))
+    return named.where(F.coalesce("event", F.lit("")) != "")
 
 
 def stable_text(text: Column, marker: str) -> Column:
@@ -148,20 +154,3 @@ def stable_text(text: Column, marker: str) -> Column:
     for n in range(1, len(marker)):
         out = F.when(F.endswith(text, F.lit(marker[:n])), F.left(text, F.length(text) - n)).otherwise(out)
     return F.when(F.contains(text, F.lit(marker)), F.substring_index(text, marker, 1)).otherwise(out)
-
-
-def segments(text: Column) -> Column:
-    """Paragraphs of an answer as (kind, text): bullet lists and plain paragraphs."""
-    blocks = F.filter(F.transform(F.split(text, "\n{2,}"), F.trim), lambda b: b != "")
-    return F.transform(blocks, lambda b: F.struct(F.when(b.rlike(r"^[-*] "), "list").otherwise("paragraph").alias("kind"), b.alias("text")))
-
-
-def accumulate_turns(events: DataFrame) -> DataFrame:
-    """Per run: distinct warnings in first-seen order, and the selected id unless it is no candidate any more."""
-    firsts = events.where("kind = 'warning'").groupBy("run_id", "value").agg(F.min("seq").alias("seq"))
-    warnings = firsts.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), "|").alias("warnings"))
-    candidates = events.where("kind = 'candidate'").groupBy("run_id").agg(F.collect_set("value").alias("_ids"))
-    chosen = events.where("kind = 'select'").groupBy("run_id").agg(F.max_by("value", "seq").alias("_sel"))
-    runs = events.select("run_id").distinct()
-    joined = runs.join(warnings, "run_id", "left").join(candidates, "run_id", "left").join(chosen, "run_id", "left")
-    return joined.select("run_id", F.coalesce("warnings", F.lit("")).alias("warnings"), F.when(F.array_contains("_ids", F.col("_sel")), F.col("_sel")).alias("selected"))

@@ -219,27 +219,9 @@ def tool_counters(spark, sf):
     return S.tool_counters(events(spark, sf).select(F.col("user_id").alias("run_id"), F.col("event_type").alias("tool")), ("view", "click"))
 
 
-_ACC = "CASE event_type WHEN 'error' THEN 'warning' WHEN 'view' THEN 'candidate' WHEN 'purchase' THEN 'select' ELSE 'x' END"
-
-
-@query(f"""WITH e AS (SELECT user_id AS run_id, event_id AS seq, {_ACC} AS kind, json_extract_string(props, '$.k') AS value FROM events), fw AS (SELECT run_id, value, min(seq) AS seq FROM e WHERE kind = 'warning' GROUP BY 1, 2),
-w AS (SELECT run_id, string_agg(value, '|' ORDER BY seq) AS warnings FROM fw GROUP BY 1), s AS (SELECT run_id, arg_max(value, seq) AS sel FROM e WHERE kind = 'select' GROUP BY 1)
-SELECT r.run_id, coalesce(warnings, '') AS warnings, CASE WHEN EXISTS (SELECT 1 FROM e c WHERE c.run_id = r.run_id AND c.kind = 'candidate' AND c.value = sel) THEN sel END AS selected
-FROM (SELECT DISTINCT run_id FROM e) r LEFT JOIN w USING (run_id) LEFT JOIN s USING (run_id)""")
-def turn_accumulation(spark, sf):
-    kind = F.when(F.col("event_type") == "error", "warning").when(F.col("event_type") == "view", "candidate").when(F.col("event_type") == "purchase", "select").otherwise("x")
-    return S.accumulate_turns(events(spark, sf).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.get_json_object("props", "$.k").alias("value")))
-
-
 @query("""SELECT conv_id, CAST(unnest(range(count(*))) AS INTEGER) AS pos, unnest(list(role ORDER BY turn)) AS event, unnest(list(CAST(turn AS VARCHAR) || chr(10) || 'x' ORDER BY turn)) AS data FROM conversations GROUP BY conv_id""")
 def stream_frames(spark, sf):
     talk = load(spark, sf, "conversations")
     frame = F.concat(F.lit("event: "), F.col("role"), F.lit("\n: note\ndata: "), F.col("turn").cast("string"), F.lit("\ndata:x\n\n"))
     pieces = talk.select("conv_id", (F.col("turn") * 2).alias("n"), F.left(frame, F.lit(9)).alias("chunk")).unionByName(talk.select("conv_id", (F.col("turn") * 2 + 1).alias("n"), F.substring(frame, 10, 1000).alias("chunk")))
     return S.frames(pieces, "conv_id", "n")
-
-
-@query("""SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text || chr(10) || chr(10) || '- a' || chr(10) || '- b', '\\n\\n+'), lambda b: trim(b, ' ')), lambda b: b <> '')) AS blocks, 1 AS lists FROM documents""")
-def answer_segments(spark, sf):
-    found = S.segments(F.concat(F.col("text"), F.lit("\n\n- a\n- b")))
-    return load(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("blocks"), F.size(F.filter(found, lambda x: x["kind"] == "list")).alias("lists"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larkspur.functions import answers as A
 from larkspur.functions import interpret as I
 from larkspur.functions import text as T
 from larkspur.operators import evaluate as M
@@ -31,24 +32,36 @@ def quoted_names(spark, sf):
     return _talk(spark, sf).select("conv_id", "turn", F.array_join(F.array_sort(I.quoted_names(text)), "|").alias("names"))
 
 
-@query("""WITH e AS (SELECT event_id, event_id % 11 AS n, event_id % 7 + 1 AS count, event_id // 77 % 6 AS form FROM events)
-SELECT event_id, CAST(CASE WHEN form = 5 THEN 0 WHEN form = 4 THEN count WHEN form = 3 AND n > 5 THEN 0 WHEN n BETWEEN 1 AND count THEN n ELSE 0 END AS INTEGER) AS position FROM e""")
+_CLASSIFIERS = ("家", "间", "个", "位", "名", "条", "店")
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 37 AS n, event_id % 7 + 1 AS count, event_id // 259 % 8 AS form FROM events), p AS (SELECT *, CASE form WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN count WHEN 3 THEN count END AS position FROM e)
+SELECT event_id, CASE WHEN form < 2 AND n = 0 THEN NULL WHEN form < 4 THEN 'ordinal' WHEN form = 4 THEN 'modifier' WHEN form < 7 THEN 'demonstrative' END AS kind,
+CASE WHEN form < 2 AND n = 0 THEN NULL WHEN form < 4 THEN position WHEN form = 4 THEN CASE WHEN n BETWEEN 1 AND count THEN n ELSE 0 END WHEN form = 5 THEN 1 WHEN form = 6 THEN CASE WHEN n BETWEEN 1 AND count THEN n ELSE 0 END END::INTEGER AS position,
+CASE WHEN form < 2 AND (n = 0 OR n > count) THEN NULL WHEN form < 4 THEN 100 + position WHEN form = 4 THEN CASE WHEN n BETWEEN 1 AND count THEN 100 + n END WHEN form = 5 THEN 101 WHEN form = 6 THEN 100 + n END AS place FROM p""")
 def reference_positions(spark, sf):
+    """Places in lists of one to seven candidates: in digits and Chinese numerals up to 36 with each classifier, the last, a description, a pointer with and without a pin, and an occasion that is none."""
     e = F.col("event_id")
-    n, form = e % 11, F.floor(e / 77) % 6
-    ordinal = F.element_at(F.array(*map(F.lit, ("zeroth", "first", "second", "third", "fourth", "fifth", "x", "x", "x", "x", "x"))), (n + 1).cast("int"))
+    n, count, form = e % 37, e % 7 + 1, F.floor(e / 259) % 8
+    numerals = ["零"] + ["".join(("", "十", "二十", "三十")[k // 10 : k // 10 + 1]) + ("", *A.DIGITS_IN_ORDER)[k % 10] for k in range(1, 37)]
+    numeral = F.element_at(F.array(*map(F.lit, numerals)), (n + 1).cast("int"))
+    classifier = F.element_at(F.array(*map(F.lit, _CLASSIFIERS)), (e % 5 % 7 + 1).cast("int"))
     text = (
-        F.when(form == 0, F.concat(F.lit("number "), n.cast("string"))).when(form == 1, F.concat(F.lit("那就第 "), n.cast("string"), F.lit(" 家"))).when(form == 2, F.concat(F.lit("take #"), n.cast("string"), F.lit(" please")))
-        .when(form == 3, F.concat(F.lit("The "), ordinal, F.lit(" one"))).when(form == 4, "maybe the last").otherwise("any of them")
+        F.when(form == 0, F.concat(F.lit("那么第 "), n.cast("string"), F.lit(" "), classifier, F.lit("怎么样"))).when(form == 1, F.concat(F.lit("第"), numeral, classifier)).when(form == 2, F.concat(F.lit("最后"), classifier)).when(form == 3, F.concat(F.lit("第一家和最后一"), classifier))
+        .when(form == 4, F.concat(F.lit("那家 Name"), n.cast("string"), F.lit("x 的呢"))).when(form == 5, "this one?").when(form == 6, "它安静吗").otherwise("第二次来纽约")
     )
-    return events(spark, sf).select("event_id", F.coalesce(I.referred_position(text, (e % 7 + 1).cast("int")), F.lit(0)).alias("position"))
+    candidates = F.transform(F.sequence(F.lit(1), count.cast("int")), lambda i: F.struct(i.alias("position"), (i + 100).cast("long").alias("restaurant_id"), F.concat(F.lit("name"), i.cast("string"), F.lit("X")).alias("name"), F.array(F.lit("匹配")).alias("reasons")))
+    found = A.reference_in(text, candidates, F.when(form == 6, n + 100))
+    return events(spark, sf).select("event_id", found.alias("f")).select("event_id", "f.kind", "f.position", F.col("f.restaurant_id").alias("place"))
 
 
-@query(f"""WITH {_WORDS} SELECT conv_id, turn, array_to_string(w[1:least(3, turn % 6)], '|') AS questions FROM c""")
+@query(f"""WITH {_WORDS} SELECT conv_id, turn, CASE WHEN turn % 6 > 0 THEN array_to_string(list_filter(w, lambda x: x <> '')[1:least(3, turn % 6)], '|') END AS questions FROM c""")
 def follow_up_lists(spark, sf):
-    asked = F.slice("w", F.lit(1), (F.col("turn") % 6).cast("int"))
-    body = F.concat(F.col("text"), F.when(F.col("turn") % 6 > 0, F.concat(F.lit(' [follow_ups] ["no"]\n[follow_ups] '), F.to_json(asked), F.lit("\n"))).otherwise(""))
-    return _talk(spark, sf).select("conv_id", "turn", F.coalesce(F.array_join(I.follow_ups(body), "|"), F.lit("")).alias("questions"))
+    """Lists of one to five questions with blank ones and a null among them, behind the last of two markers; every sixth turn has no list of strings."""
+    asked = F.concat(F.array(F.lit(" "), F.lit(None)), F.slice("w", F.lit(1), (F.col("turn") % 6).cast("int")))
+    some = F.concat(F.lit('FOLLOWUPS: ["no"]\nFOLLOWUPS: see ['), F.array_join(F.transform(asked, lambda x: F.coalesce(F.concat(F.lit('"'), x, F.lit('"')), F.lit("null"))), ", "), F.lit("] \n"))
+    body = F.concat(F.col("text"), F.lit("\n"), F.when(F.col("turn") % 6 > 0, some).when(F.col("turn") % 12 == 0, "FOLLOWUPS: none").otherwise('FOLLOWUPS: ["a", 1]'))
+    return _talk(spark, sf).select("conv_id", "turn", F.array_join(A.follow_ups(body), "|").alias("questions"))
 
 
 @query("""WITH q AS (SELECT conv_id, turn, text, translate(replace(substr(text, turn % 40 + 1, 17), ' ', '  '), 'aeiou', 'AEIOU') AS own, role || ' ' || left(text, 2) AS other FROM conversations),
