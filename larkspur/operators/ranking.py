@@ -177,8 +177,8 @@ def explain(parts: DataFrame) -> DataFrame:
     place was contributes nothing and is named all the same.
     """
     place = F.element_at(F.create_map(*[F.lit(x) for kv in enumerate(WEIGHTS) for x in reversed(kv)]), F.col("channel"))
-    weight = F.format_string("%.2f", F.element_at(_weights(), F.col("channel")))
-    added = F.concat(F.col("reason"), F.lit("（权重 "), weight, F.lit("，贡献 "), F.format_string("%.3f", "contribution"), F.lit("）"))
+    weight = F.format_number(F.element_at(_weights(), F.col("channel")), 2)
+    added = F.concat(F.col("reason"), F.lit("（权重 "), weight, F.lit("，贡献 "), F.format_number("contribution", 3), F.lit("）"))
     none = F.concat(F.col("reason"), F.lit("（权重 "), weight, F.lit("，归一化后贡献为 0：该通道内最弱命中，仍被该通道召回）"))
     said = parts.where(F.coalesce("reason", F.lit("")) != "").select("query_id", "restaurant_id", F.struct(place.alias("o"), F.when(F.col("contribution") > 0, added).otherwise(none).alias("t")).alias("r"))
     return said.groupBy("query_id", "restaurant_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["t"]).alias("reasons"))

@@ -33,13 +33,16 @@ def scan_lines(spark: SparkSession, path: str, schema: T.StructType, limit: int
     A limit bounds the lines that are read, not those that are accepted.
     """
     lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    if limit is not None:
-        lines = lines.limit(limit)
+    return parsed_lines(lines if limit is None else lines.limit(limit), schema)
+
+
+def parsed_lines(lines: DataFrame, schema: T.StructType, *keep: str) -> DataFrame:
+    """Lines (line_no, value) read as JSON: ``keep``, line_no, record and reason as in ``scan_lines``."""
     with_bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     parsed = F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     good = (F.length("value") <= LONGEST_LINE) & parsed.isNotNull() & parsed["_bad"].isNull()
     fields = F.struct(*[parsed[f.name].alias(f.name) for f in schema.fields])
-    return lines.select("line_no", F.when(good, fields).alias("record"), F.when(~good, "decode_error").alias("reason"))
+    return lines.select(*keep, "line_no", F.when(good, fields).alias("record"), F.when(~good, "decode_error").alias("reason"))
 
 
 def accepted(scanned: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def labels_of(misc: Column) -> Column:
     return F.coalesce(F.transform_values(top, lambda k, v: F.coalesce(listed(v), F.array().cast("array<string>"))), F.create_map().cast("map<string,array<string>>"))
 
 
-def curate_places(raw: DataFrame, areas: list[tuple[str, list]] | None = None) -> DataFrame:
+def curate_places(raw: DataFrame, areas: list[tuple[str, list]] | None = None, *keep: str) -> DataFrame:
     """Raw places with ``outcome`` (accept, filter or reject) and ``reason``, by the first rule that applies, and the curated fields.
 
     ``areas`` are boundaries as ``load_boundaries`` gives them; a point in none of them is in no
@@ -76,7 +79,7 @@ def curate_places(raw: DataFrame, areas: list[tuple[str, list]] | None = None) -
     reason = F.when(blank("gmap_id"), "missing_id").when(~food, "not_food").when(~valid, "coordinates").when(~served, "outside_area").when(blank("name"), "missing_name")
     misc = labels_of(F.col("MISC"))
     return raw.select(
-        *[c for c in ("line_no",) if c in raw.columns],
+        *[c for c in ("line_no",) if c in raw.columns], *keep,
         F.when(reason.isNull(), "accept").when(reason.isin("not_food", "outside_area"), "filter").otherwise("reject").alias("outcome"), reason.alias("reason"), "gmap_id", F.trim("name").alias("name"),
         F.trim(F.coalesce("address", F.lit(""))).alias("address"), F.trim(F.coalesce("description", F.lit(""))).alias("description"), hours(F.col("hours")).alias("hours"), X.cuisine_tags(F.col("category")).alias("cuisine_tags"), X.price_level(F.col("price")).alias("price_level"),
         F.col("avg_rating").alias("source_avg"), X.snapshot_status(F.col("state")).alias("snapshot_status"), borough(lat, lon).alias("borough"), lat.alias("lat"), lon.alias("lon"),
@@ -86,14 +89,14 @@ def curate_places(raw: DataFrame, areas: list[tuple[str, list]] | None = None) -
     )
 
 
-def curate_reviews(raw: DataFrame, least_chars: int = 1) -> DataFrame:
+def curate_reviews(raw: DataFrame, least_chars: int = 1, *keep: str) -> DataFrame:
     """Raw reviews with outcome and reason, scrubbed text (short texts blank), hash, topics and the dedup key; no identity fields."""
     at = X.reviewed_at(F.col("time"))
     text = X.short_to_blank(X.scrub(F.trim(F.coalesce("text", F.lit("")))), least_chars)
     reason = F.when(F.trim(F.coalesce("gmap_id", F.lit(""))) == "", "missing_id").when(~F.coalesce(F.col("rating").between(1, 5), F.lit(False)), "rating").when(F.coalesce("time", F.lit(0)) <= 0, "time").when(at.isNull(), "time_range")
     hashed = X.text_hash(text)
     return raw.select(
-        *[c for c in ("line_no",) if c in raw.columns],
+        *[c for c in ("line_no",) if c in raw.columns], *keep,
         F.when(reason.isNull(), "accept").otherwise("reject").alias("outcome"), reason.alias("reason"), "gmap_id", "rating", at.alias("reviewed_at"), text.alias("text"), hashed.alias("text_hash"),
         X.topics(text).alias("topic_tags"), X.joined_hash(F.col("gmap_id"), F.col("user_id"), F.col("time"), hashed).alias("dedup_key"),
     )
