@@ -16,8 +16,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """1 minus the cosine distance, held between 0 and 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b)))
+    """1 minus the cosine distance, held between 0 and 1; null where a vector is zero."""
+    held = lambda c: F.when(c > 1, 1.0).when(c < 0, 0.0).otherwise(c)  # noqa: E731  greatest and least would pass over null
+    return F.get(F.transform(F.array(cosine(a, b)), held), F.lit(0))  # so that the cosine is computed once
 
 
 def vector_problem(v: Column, size: int) -> Column:

@@ -55,3 +55,10 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
+
+
+def stored(df, name: str):
+    """df written once under the shared folder and read again: what is read several times is computed once, and lost executors lose nothing."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
