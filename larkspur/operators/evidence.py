@@ -24,8 +24,21 @@ def incompleteness(now: Column) -> Column:
     )
 
 
-def with_source(source: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(source), F.lit("")), F.lit("unknown"))
+def with_source(docs: DataFrame) -> DataFrame:
+    """Documents whose blank source is 'unknown', with a ``warning`` where it is."""
+    known = F.nullif(F.trim(F.coalesce("source", F.lit(""))), F.lit(""))
+    return docs.withColumn("warning", F.when(known.isNull(), F.concat(F.lit("证据 "), F.col("document_id").cast("string"), F.lit(" 缺少来源")))).withColumn("source", F.coalesce(known, F.lit("unknown")))
+
+
+def assembly_status(docs: DataFrame, now: Column, budget: int) -> DataFrame:
+    """Per place what assembling its evidence comes to: nothing_citable (an error of the input), over_budget (no citable document fits), or assembled; with the counts behind it.
+
+    ``docs`` have restaurant_id, the columns of ``incompleteness`` and cost.
+    """
+    budget = check_budget(budget)
+    good = incompleteness(now).isNull()
+    counts = docs.groupBy("restaurant_id").agg(F.count("*").alias("found"), F.count_if(good).alias("citable"), F.count_if(good & (F.col("cost") <= budget)).alias("fitting"))
+    return counts.withColumn("status", F.when(F.col("citable") == 0, "nothing_citable").when(F.col("fitting") == 0, "over_budget").otherwise("assembled"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:

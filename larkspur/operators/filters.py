@@ -75,12 +75,13 @@ class PlaceFilter:
         return out
 
     def describe(self) -> str:
+        """The conditions as reasons quote them."""
         parts = [
-            f"borough={self.borough}" if self.borough else "", f"cuisines={'|'.join(self.cuisines)}" if self.cuisines else "",
-            f"price={'|'.join(map(str, self.price_levels))}" if self.price_levels else "", f"rating>={self.min_rating}" if self.min_rating is not None else "",
-            f"near={self.neighborhood}" if self.neighborhood else "", f"open={str(self.open_now).lower()}" if self.open_now is not None else "",
+            f"菜系={'/'.join(self.cuisines)}" if self.cuisines else "", f"价格={'/'.join(f'${p}' for p in self.price_levels)}" if self.price_levels else "", f"评分>={self.min_rating:.1f}" if self.min_rating is not None else "",
+            f"地区={self.neighborhood}" if self.neighborhood else "", f"行政区={self.borough}" if self.borough else "", f"营业={str(self.open_now).lower()}" if self.open_now is not None else "",
+            f"距离<{self.max_metres:.0f}m" if self.point is not None and self.max_metres is not None else "",
         ]
-        return ", ".join(p for p in parts if p)
+        return "、".join(p for p in parts if p)
 
 
 def contains_literal(column: Column, text: str) -> Column:
@@ -204,3 +205,15 @@ def optional_filters(df: DataFrame, **wanted: object) -> DataFrame:
         if value is not None:
             df = df.where(F.col(column) == F.lit(value))
     return df
+
+
+def lookups(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """A row for each wanted key with the columns of its row and ``status``: found or not_found."""
+    rows = df.withColumn("_there", F.lit(True))
+    return wanted.select(key).join(rows, key, "left").withColumn("status", F.when(F.col("_there"), "found").otherwise("not_found")).drop("_there")
+
+
+def query_state(text: Column) -> Column:
+    """Whether a text can be searched for: empty, short (fewer code points than MIN_QUERY) or ok."""
+    plain = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(plain == "", "empty").when(F.length(plain) < MIN_QUERY, "short").otherwise("ok")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import curation, documents, extra, hybrid, lifecycle, phrases, publishing, ranked, recall, records, search, turns  # noqa: F401  registering is what the import is for
+from larkspur.plans import curation, documents, extra, hybrid, lifecycle, listings, phrases, publishing, ranked, recall, records, search, turns  # noqa: F401  registering is what the import is for
 from larkspur.plans.registry import QUERIES, SQL
 
 
