@@ -153,13 +153,13 @@ def price_levels(spark, sf):
 
 @query(f"""WITH {TEXTS}, t AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 0 ELSE rating END AS rating, CASE WHEN doc_id % 19 = 0 THEN -5 WHEN doc_id % 23 = 0 THEN 1893456000000 ELSE 1500000000000 + doc_id * 1000 END AS ms, text FROM texts)
 SELECT doc_id, CASE WHEN rating NOT BETWEEN 1 AND 5 THEN 'rating' WHEN ms <= 0 THEN 'time' WHEN ms >= 1672531200000 OR ms < 946684800000 THEN 'time_range' END AS reason,
-CASE WHEN ms > 0 AND ms < 1672531200000 THEN make_timestamp(ms * 1000) END AS reviewed_at, CASE WHEN length(text) < 400 THEN '' ELSE left(text, 10) END AS head FROM t""")
+CASE WHEN ms > 0 AND ms < 1672531200000 THEN make_timestamp(ms * 1000) END AS reviewed_at, sha256(CASE WHEN length(text) < 400 THEN '' ELSE text END) AS body FROM t""")
 def review_validation(spark, sf):
     ms = F.when(F.col("doc_id") % 19 == 0, -5).when(F.col("doc_id") % 23 == 0, 1893456000000).otherwise(F.lit(1500000000000) + F.col("doc_id") * 1000).cast("long")
     rating = F.when(F.col("doc_id") % 17 == 0, 0).otherwise(F.col("rating"))
     at = T.reviewed_at(ms)
     reason = F.when(~rating.between(1, 5), "rating").when(ms <= 0, "time").when(at.isNull(), "time_range")
-    return texts(spark, sf).select("doc_id", reason.alias("reason"), at.cast("timestamp_ntz").alias("reviewed_at"), F.left(T.short_to_blank(F.col("text"), 400), F.lit(10)).alias("head"))
+    return texts(spark, sf).select("doc_id", reason.alias("reason"), at.cast("timestamp_ntz").alias("reviewed_at"), F.sha2(T.short_to_blank(F.col("text"), 400), 256).alias("body"))
 
 
 _BANDS = "CASE WHEN rating >= 4 THEN 2 WHEN rating = 3 THEN 1 ELSE 0 END"
@@ -197,12 +197,12 @@ GATED = (
 _GATED = " ".join(f"WHEN {k} THEN '{words}'" for k, words in enumerate(GATED))
 
 
-@query(f"""WITH {TEXTS}, b AS (SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN left(text, 300) ELSE text END || CASE doc_id % {len(GATED)} {_GATED} END, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM texts)
+@query(f"""WITH {TEXTS}, b AS (SELECT doc_id, trim(text || CASE doc_id % {len(GATED)} {_GATED} END, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM texts)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN length(t) < 150 THEN 'too_short' WHEN length(t) > 800 THEN 'too_long' END, CASE WHEN regexp_matches(t, '{E.GATE_URL}') THEN 'url' END, CASE WHEN regexp_matches(t, '{E.GATE_EMAIL}') THEN 'email' END,
 CASE WHEN regexp_matches(t, '{E.GATE_PHONE}') THEN 'phone' END, CASE WHEN regexp_matches(t, '{E.GATE_OVERRIDE}') THEN 'instruction' END], lambda x: x IS NOT NULL), ',') AS problems FROM b""")
 def text_gate(spark, sf):
     more = F.element_at(F.array(*map(F.lit, GATED)), (F.col("doc_id") % len(GATED) + 1).cast("int"))
-    body = F.concat(F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(300))).otherwise(F.col("text")), more)
+    body = F.concat("text", more)
     return texts(spark, sf).select("doc_id", F.array_join(E.text_problems(body), ",").alias("problems"))
 
 

@@ -169,11 +169,11 @@ def hours_parse(spark, sf):
     return events(spark, sf).select("event_id", parsed.alias("h")).select("event_id", F.array_join(shown, ",").alias("hours"))
 
 
-@query("""WITH t AS (SELECT doc_id, doc_id % 4 AS k, regexp_replace(left(text, CAST(doc_id % 400 AS BIGINT)), '[^A-Za-z ]', '', 'g') AS said FROM documents), c AS (SELECT *, '"' || CASE WHEN length(said) > 200 THEN left(said, 200) || '…' ELSE said END || '"' AS cut FROM t)
+@query("""WITH t AS (SELECT doc_id, doc_id % 4 AS k, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS said FROM documents), c AS (SELECT *, '"' || CASE WHEN length(said) > 200 THEN left(said, 200) || '…' ELSE said END || '"' AS cut FROM t)
 SELECT doc_id, CASE k WHEN 0 THEN '{"min_rating":4.5,"open_now":' || CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'null' END || ',"query":' || cut || '}' WHEN 1 THEN '{"query":' || cut || ',"restaurant_ids":[' || doc_id || ',7],"top_k":' || doc_id % 50 || '}' ELSE '{}' END AS kept FROM c""")
 def redacted_arguments(spark, sf):
     doc, k = F.col("doc_id"), F.col("doc_id") % 4
-    said = F.regexp_replace(F.left("text", (doc % 400).cast("int")), "[^A-Za-z ]", "")
+    said = F.regexp_replace("text", "[^A-Za-z ]", "")
     tool = F.when(k == 0, "search_restaurants").when(k == 2, "send_mail").otherwise("get_restaurant_evidence")
     search = F.concat(F.lit('{"query": "'), said, F.lit('", "phone": "212", "min_rating": 4.5, "open_now": '), F.when(doc % 3 == 0, "true").otherwise("null"), F.lit("}"))
     recall = F.concat(F.lit('{"top_k": '), (doc % 50).cast("string"), F.lit(', "restaurant_ids": ['), doc.cast("string"), F.lit(', 7], "user": {"a": 1}, "query": "'), said, F.lit('"}'))

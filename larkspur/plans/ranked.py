@@ -70,11 +70,11 @@ def resolve_name(spark, sf):
     return R.resolve_names(matches).select("query_id", "status", F.coalesce("id", F.lit(-1).cast("long")).alias("id"), F.round("score", 6).alias("score"))
 
 
-@query("""SELECT conv_id, turn, CAST(m AS INTEGER) AS matched FROM (SELECT conv_id, turn, CAST(contains(lower(text), 'the') AS INTEGER) + CAST(contains(lower(text), 'tion') AS INTEGER) + CAST(contains(lower(text), 'zzz') AS INTEGER) AS m FROM conversations) WHERE m > 0 ORDER BY m DESC, conv_id, turn LIMIT 40""")
+@query("""SELECT conv_id, turn, CAST(m AS INTEGER) AS matched FROM (SELECT conv_id, turn, CAST(contains(lower(text), 'the') AS INTEGER) + CAST(contains(lower(text), 'tion') AS INTEGER) + CAST(contains(lower(text), 'zzz') AS INTEGER) AS m FROM conversations) WHERE m > 0""")
 def memory_terms(spark, sf):
     low = F.lower("text")
     matched = sum((F.contains(low, F.lit(t)).cast("int") for t in P.query_terms("the TION zzz a the")), F.lit(0))
-    return load(spark, sf, "conversations").select("conv_id", "turn", matched.alias("matched")).where("matched > 0").orderBy(F.col("matched").desc(), "conv_id", "turn").limit(40)
+    return load(spark, sf, "conversations").select("conv_id", "turn", matched.alias("matched")).where("matched > 0")
 
 
 # ---- fusion: four channels over places, with many queries in one plan
@@ -93,7 +93,7 @@ _HITS = f"""{PLACES}, {KDOCS}, asked AS (SELECT document_id AS q, scope, embeddi
  hits AS (SELECT q AS query_id, 'structured' AS channel, restaurant_id, 1.0::DOUBLE AS score FROM places JOIN asked ON borough = area WHERE is_active AND rating >= 3.0
   UNION ALL SELECT q, 'keyword', restaurant_id, round(score, 6) FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, restaurant_id) AS rn FROM said) WHERE rn <= 500
   UNION ALL SELECT q, 'vector', document_id, round(score, 6) FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, document_id) AS rn FROM near) WHERE rn <= 200
-  UNION ALL SELECT q, 'review', restaurant_id, round(score, 6) FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, document_id) AS rn FROM near WHERE score >= 0.1) WHERE rn <= 200),
+  UNION ALL SELECT q, 'review', restaurant_id, round(score, 6) FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, document_id) AS rn FROM near WHERE score >= 0.3) WHERE rn <= 200),
  pool AS (SELECT query_id, restaurant_id, CASE WHEN rating > 0 THEN 4.0 + (rating - 4.0) * rating_count / (rating_count + 50.0) ELSE 0.0 END AS prior FROM (SELECT DISTINCT query_id, restaurant_id FROM hits) JOIN places USING (restaurant_id) WHERE is_active)"""
 _BEST = "best AS (SELECT h.query_id, h.channel, h.restaurant_id, max(score) AS raw FROM hits h SEMI JOIN pool p ON h.query_id = p.query_id AND h.restaurant_id = p.restaurant_id GROUP BY 1, 2, 3)"
 _WEIGHT = "CASE channel WHEN 'structured' THEN 1.0 WHEN 'keyword' THEN 0.5 WHEN 'vector' THEN 1.0 ELSE 0.8 END"
@@ -119,7 +119,7 @@ def _hits(spark, sf):
     named = all_places.select(F.col("restaurant_id").alias("id"), "name", "address")
     keyword = hit(R.text_hits(named, asked.select("query_id", "text"), 500), "keyword", "id", F.col("score"))
     vector = hit(R.vector_hits(docs, asked, ["scope"], 200), "vector", "document_id", F.col("score"))
-    review = hit(R.vector_hits(docs, asked, ["scope"], 200, floor=0.1), "review", "restaurant_id", F.col("score"))
+    review = hit(R.vector_hits(docs, asked, ["scope"], 200, floor=R.REVIEW_FLOOR), "review", "restaurant_id", F.col("score"))
     hits = structured.unionByName(keyword).unionByName(vector).unionByName(review)
     known = all_places.where("is_active").select("restaurant_id", rating_prior(F.col("rating"), F.col("rating_count")).alias("prior"))
     return hits, hits.select("query_id", "restaurant_id").distinct().join(known, "restaurant_id")

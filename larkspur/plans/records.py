@@ -63,12 +63,12 @@ def write_domain(spark, sf):
     return R.refused_writes(rows, seen, slots)
 
 
-@query(f"""WITH {TEXTS}, b AS (SELECT doc_id, regexp_replace(left(text, 400), '[^A-Za-z ]', '', 'g') AS body FROM texts), t AS (SELECT doc_id, trim(body) AS c FROM b)
-SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'not_an_object' WHEN 1 THEN 'not_one_object' WHEN 2 THEN 'unknown_field' ELSE CASE WHEN length(c) < 150 THEN 'too_short' WHEN doc_id % 8 = 3 THEN 'no_ids' WHEN doc_id % 8 = 4 THEN 'id_not_offered' END END AS problem,
-CASE WHEN doc_id % 8 > 4 AND length(c) >= 150 THEN '3,' || (doc_id + 10) END AS ids, CASE WHEN doc_id % 8 > 4 AND length(c) >= 150 THEN c END AS content FROM t""")
+@query(f"""WITH {TEXTS}, b AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS body FROM texts), t AS (SELECT doc_id, trim(body) AS c FROM b)
+SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'not_an_object' WHEN 1 THEN 'not_one_object' WHEN 2 THEN 'unknown_field' ELSE CASE WHEN length(c) < 150 THEN 'too_short' WHEN length(c) > 800 THEN 'too_long' WHEN doc_id % 8 = 3 THEN 'no_ids' WHEN doc_id % 8 = 4 THEN 'id_not_offered' END END AS problem,
+CASE WHEN doc_id % 8 > 4 AND length(c) BETWEEN 150 AND 800 THEN '3,' || (doc_id + 10) END AS ids, CASE WHEN doc_id % 8 > 4 AND length(c) BETWEEN 150 AND 800 THEN c END AS content FROM t""")
 def digest_contract(spark, sf):
     doc, case = F.col("doc_id"), F.col("doc_id") % 8
-    body = F.regexp_replace(F.left("text", F.lit(400)), "[^A-Za-z ]", "")
+    body = F.regexp_replace("text", "[^A-Za-z ]", "")
     ids = F.when(case == 3, "[]").when(case == 4, F.concat(F.lit("[3, "), (doc + 99).cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("["), (doc + 10).cast("string"), F.lit(", 3, 3]")))
     plain = F.concat(F.lit(' {"content": "  '), body, F.lit('", "source_review_ids": '), ids, F.when(case == 2, ', "x": 1').otherwise(""), F.lit("} "))
     raw = F.when(case == 0, F.concat(F.lit("["), plain, F.lit("]"))).when(case == 1, F.concat(plain, F.lit(","), plain)).otherwise(plain)
