@@ -110,6 +110,18 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 FROM placed
 """
 
+#: Every pair of neighbouring lines that stood at an earlier place; runs of such pairs go unless they are blank.
+PASSAGES = """
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+pairs AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS pair FROM lines),
+again AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY doc_id, i) AS n FROM pairs WHERE pair IS NOT NULL) WHERE n > 1),
+runs AS (SELECT doc_id, min(i) AS first, max(i) + 1 AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM again) GROUP BY doc_id, g),
+goes AS (SELECT r.doc_id, first, last FROM runs r JOIN lines l ON l.doc_id = r.doc_id AND l.i BETWEEN first AND last GROUP BY r.doc_id, first, last HAVING bool_or(trim(translate(line, chr(13) || chr(9), '')) <> '')),
+stay AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM lines l WHERE NOT EXISTS (SELECT 1 FROM goes g WHERE g.doc_id = l.doc_id AND l.i BETWEEN first AND last) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM goes GROUP BY doc_id), done AS (SELECT d.doc_id, d.text AS old, CASE WHEN n IS NULL THEN d.text ELSE coalesce(s.text, '') END AS text, coalesce(n, 0) AS n FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN stay s ON s.doc_id = d.doc_id)
+SELECT doc_id, text, CAST(n AS INTEGER) AS n_removed, CAST(coalesce(length(old), 0) - coalesce(length(text), 0) AS INTEGER) AS removed_chars FROM done
+"""
+
 #: These pages keep their main text in one article, in paragraphs and lines, and use five character references.
 MAIN_TEXTS = r"""
 WITH a AS (
@@ -161,6 +173,7 @@ SQL = {
     "op2_containment_leaks": CONTAINMENT,
     "op4_dictionary_warc": ARCHIVES,
     "op5_line_chunks": linechunks.ORACLE,
+    "op5_line_passages": PASSAGES,
     "op7_typed_chat": CONVERSATIONS,
     "op8_subspace_pigeonhole": VECTORS,
     "op9_parity_sketch_join": NEAR_TEXTS,

@@ -232,3 +232,32 @@ def test_headers_are_whole_and_ids_unique(spark):
     heads = [f for x in files for f, _ in warc.read_archive(bytes(x["content"]))]
     assert len({h["WARC-Record-ID"] for h in heads}) == len(heads) == 11 and {h["WARC-Date"] for h in heads} == {"2024-05-06T07:08:09Z"}
     assert all({"WARC-Profile", "WARC-Refers-To-Date"} <= set(h) for h in heads if h["WARC-Type"] == "revisit")
+
+
+def test_whole_prediction_against_dictionaries(spark):
+    """Profiles, ranks, distances and the choice, reckoned anew for every row."""
+    import re
+    from collections import Counter
+
+    def own_ranks(texts):
+        counts = Counter()
+        for word in (w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower())):
+            padded = f" {word} "
+            counts.update(padded[i : i + n] for n in range(1, 6) for i in range(len(padded) - n + 1) if padded[i : i + n] != " ")
+        return sorted(counts, key=lambda g: (-counts[g], len(g), g))[:300]
+
+    docs = labelled(spark)
+    rows, profiles = docs.collect(), {}
+    for r in rows:
+        held = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
+        if not held and r["lang"] and r["text"] and re.search(r"[^\W\d_]", r["text"]):
+            profiles.setdefault(r["lang"], []).append(r["text"])
+    ranks = {lang: {g: i for i, g in enumerate(own_ranks(texts))} for lang, texts in profiles.items()}
+    want = []
+    for r in rows:
+        own = own_ranks([r["text"] or ""])
+        far = {lang: sum(abs(known[g] - i) if g in known else 300 for i, g in enumerate(own)) for lang, known in sorted(ranks.items())}
+        best = min(far, key=far.get) if own else "und"
+        want.append((r["doc_id"], best, round(1 - far[best] / (300 * len(own)), 9) if own else 0.0))
+    got = [(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.identify(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(set(x[2] for x in want)) > 20
