@@ -58,15 +58,25 @@ def topic_rollup(texts: DataFrame) -> DataFrame:
 def top_keywords(texts: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """The most frequent significant words per key, by count falling, then word; exact counts."""
     words = texts.select(*keys, F.explode(significant_words(F.col("text"))).alias("word"))
-    counts = words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    return _most_frequent(words.groupBy(*keys, "word").agg(F.count("*").alias("n")), keys, limit)
+
+
+def _most_frequent(counts: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "word")))
     return ranked.where(F.col("rank") <= limit)
 
 
 def topic_keywords(texts: DataFrame, limit: int) -> DataFrame:
-    """restaurant_id, topic and keywords: the most frequent significant words of the texts of each place and topic, an array of at most ``limit``."""
-    tagged = texts.select("restaurant_id", "text", F.explode(topics(F.col("text"))).alias("topic"))
-    best = top_keywords(tagged, ["restaurant_id", "topic"], limit)
+    """restaurant_id, topic and keywords: the most frequent significant words of the texts of each place and topic, an array of at most ``limit``.
+
+    A text is cut into words once, whatever the number of its topics: words are counted by the set of topics first, and
+    only these counts are dealt out to the topics.
+    """
+    tagged = texts.select("restaurant_id", "text", topics(F.col("text")).alias("topics"))  # before the words are dealt out: beside them it would be computed for each
+    words = tagged.select("restaurant_id", "topics", F.explode(significant_words(F.col("text"))).alias("word"))
+    by_set = words.groupBy("restaurant_id", "topics", "word").agg(F.count("*").alias("n"))
+    counts = by_set.select("restaurant_id", F.explode("topics").alias("topic"), "word", "n").groupBy("restaurant_id", "topic", "word").agg(F.sum("n").alias("n"))
+    best = _most_frequent(counts, ["restaurant_id", "topic"], limit)
     return best.groupBy("restaurant_id", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
 
 
