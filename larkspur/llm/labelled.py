@@ -77,8 +77,10 @@ def pages() -> Iterator[str]:
                 around = [part[roles[(j * (i + 1) + k) % len(roles)]] for j in range(len(roles))]
                 yield "<body>" + "".join(around[: 3 + k % 4]) + text + "".join(around[3 + k % 4 :]) + "</body>"
             # side matter inside the article, and an article's own header: its heading stays, its other lines go
-            inner = part[roles[(k + way) % len(roles)]]
-            yield f"<body><article><header><h1 data-main>{t.say(5)}</h1><p>{t.say(n)}</p></header><div data-main><p>{t.say(n)}</p><p>{t.say(30)}</p></div>{inner}<div data-main><p>{t.say(2)}</p></div><footer><p>{t.say(n)}</p></footer></article></body>"
+            inside = [r for r in roles if r != "header"]
+            inner = part[inside[(k + way) % len(inside)]]
+            before = (part["menu"], part["advert"], "")[k % 3]
+            yield f"<body>{before}<article><header><h1 data-main>{t.say(1 + k % 9)}</h1><p>{t.say(n)}</p></header><div data-main><p>{t.say(n)}</p><p>{t.say(30)}</p></div>{inner}<div data-main><p>{t.say(2)}</p></div><footer><p>{t.say(n)}</p></footer></article></body>"
             # no roles at all: words and links of a block and its neighbours have to tell
             links = "".join(f"<div>{t.linked(m, m)}</div>" for m in (1, 2, 3, n)) if k % 2 else f"<ul>{''.join(f'<li>{t.linked(m, m)}</li>' for m in (1, 2, 3, n))}</ul>"
             long = _LENGTHS[8 + k % 9]

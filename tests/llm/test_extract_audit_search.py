@@ -27,6 +27,8 @@ PAGES = [
     ("", ""),
     (None, ""),
     ("no markup", ""),
+    (f"<nav><a>x</a></nav><div class=ad>{LONG}</div><article><header><h1>Big title</h1><p class=byline>By me</p></header><p>{LONG}</p><p>end</p></article><aside>{LONG}</aside>", f"Big title {LONG} end"),
+    ("<header><h1>Site name</h1></header><article><header><h2>T</h2></header><p>one</p></article>", "T one"),
 ]
 
 
