@@ -33,7 +33,7 @@ LEAST_DOCUMENTS, SMOOTHING, TERM_RANKS = 30, 5, 50
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 #: Terms that a task's tables hold before they are emitted; rows looked at between two looks at their size.
-HELD_TERMS, SLICE_ROWS = 200_000, 64
+HELD_TERMS, SLICE_ROWS = 500_000, 64
 
 #: Sources along a tile, tiles that a task keeps, vectors that are evaluated at once.
 TILE, KEPT_TILES, VECTORS = 1024, 16, 2048
