@@ -1,6 +1,6 @@
 """The import as a restartable stream of micro-batches: each reads its files once and leaves its rows and one audit row.
 
-A batch is a bounded number of files. Its rows are judged, counted while they are written (``observe``), and
+A batch is a bounded number of files, taken in the order of their time of change. Its rows are judged, counted while they are written (``observe``), and
 replace what an earlier attempt of the same batch left; so does its audit row, which is ``running`` until the rows
 are there. A run that is killed anywhere and started again leaves what an undisturbed run leaves.
 

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,7 @@ def shards(folder):
         rows = [{"gmap_id": f"g{(k * 3 + i) % 8}", "name": f"P {k} {i}"} | BASE for i in range(4)]
         rows += [rows[0] | {"name": f"P {k} again"}, {"gmap_id": "lib", "name": "L"} | BASE | {"category": ["Library"]}, {"gmap_id": f"n{k}"} | BASE]
         packed(folder / f"{k}.gz", "\n".join([*map(json.dumps, rows), "", "{bad"]))
+        os.utime(folder / f"{k}.gz", (1_700_000_000 + k, 1_700_000_000 + k))  # batches take files by their time of change
 
 
 def test_killed_and_restarted(spark, tmp_path, monkeypatch):
