@@ -54,3 +54,20 @@ def test_pairs_never_leave_the_tiles(odd):
     """No vectors are joined to vectors: before, each pair of a scope was a row with both."""
     plan = ranking.vector_hits(*odd, ["scope"], 9)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("method", ["weighted", "rrf"])
+def test_shared_channel_ranks_as_if_dealt_out(spark, method):
+    """Hits that all queries of an area share are not dealt out to them; totals and ranks are those of the whole pool."""
+    place = spark.range(400).select(F.col("id").alias("restaurant_id"), (F.col("id") % 3).alias("area"), (F.pmod(F.xxhash64("id"), F.lit(23)) / 7.0).alias("prior"))
+    asking = spark.range(9).select(F.col("id").alias("query_id"), (F.col("id") % 4).alias("area"))
+    drawn = lambda seed, n: F.pmod(F.xxhash64("query_id", "n", F.lit(seed)), F.lit(n))
+    hits = asking.crossJoin(spark.range(25).withColumnRenamed("id", "n")).select("query_id", F.when(drawn(1, 2) == 0, "keyword").otherwise("vector").alias("channel"), drawn(2, 430).alias("restaurant_id"), (drawn(3, 100) / 99.0).alias("score"))
+    shared = ranking.Shared("structured", "area", 1.0, place.select("area", "restaurant_id", "prior"), asking)
+    pool = lambda found: found.select("query_id", "restaurant_id").distinct().join(place.select("restaurant_id", "prior"), "restaurant_id")
+    whole = hits.unionByName(shared.hits().drop("prior"))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "restaurant_id", "total").collect()))
+    assert rows(ranking.fuse(hits, pool(hits), method, top=7, shared=shared)) == rows(ranking.fuse(whole, pool(whole), method, top=7))
+    both = {(r[0], r[1]) for r in hits.join(shared.hits().select("query_id", "restaurant_id"), ["query_id", "restaurant_id"]).select("query_id", "restaurant_id").collect()}
+    alone = {tuple(r) for r in shared.alone(pool(hits)).select("query_id", "restaurant_id").collect()}
+    assert both and alone == {tuple(r) for r in shared.hits().select("query_id", "restaurant_id").collect()} - both
