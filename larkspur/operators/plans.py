@@ -118,12 +118,13 @@ def compact_label(seconds: Column) -> Column:
     return F.when((seconds < 0) | F.isnan(seconds.cast("double")), "?").otherwise(known)
 
 
-def size_label(n: Column) -> Column:
-    """Bytes as 512B, or with one decimal in KiB, MiB, GiB or TiB."""
+def size_label(n: Column, largest: str = "TiB") -> Column:
+    """Bytes as 512B, or with one decimal in KiB, MiB, GiB or TiB, none above the largest."""
     from larkspur.functions.text import one_decimal
 
     out = F.concat(n.cast("string"), F.lit("B"))
-    for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), start=1):
+    units = ("KiB", "MiB", "GiB", "TiB")
+    for power, unit in enumerate(units[: units.index(largest) + 1], start=1):
         out = F.when(n >= 1024**power, F.concat(one_decimal(n / float(1024**power)), F.lit(unit))).otherwise(out)
     return out
 

@@ -46,3 +46,12 @@ def test_budget_counts_whole_texts(spark):
         if r["status"] == "kept":
             got[r["restaurant_id"]].append((r["document_id"], r["cost"]))
     assert got == want
+
+
+def test_sizes_end_at_the_unit_asked_for(spark):
+    from pyspark.sql import functions as F
+
+    from larkspur.operators import plans
+
+    n = F.lit(7 * 600_000**2)
+    assert tuple(spark.range(1).select(plans.size_label(n, "GiB"), plans.size_label(n)).first()) == ("2346.9GiB", "2.3TiB")
