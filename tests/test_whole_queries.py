@@ -55,3 +55,11 @@ def test_sizes_end_at_the_unit_asked_for(spark):
 
     n = F.lit(7 * 600_000**2)
     assert tuple(spark.range(1).select(plans.size_label(n, "GiB"), plans.size_label(n)).first()) == ("2346.9GiB", "2.3TiB")
+
+
+def test_fusion_keeps_the_weaker_reviews():
+    """The fusion queries look at reviews from 0.1 on; the reasons, like the hybrid search, from the operator's floor."""
+    for name in ("fuse_weighted", "fuse_rrf", "unknown_hits", "rescore_overlay"):
+        for sql in (catalogue.oracle_sql()[name], catalogue.oracle_sql()[f"{name}_all"]):
+            assert "FROM near WHERE score >= 0.1" in sql
+    assert "FROM near WHERE score >= 0.3" in catalogue.oracle_sql()["fusion_reasons"]
