@@ -114,3 +114,11 @@ def recall_at_k(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     hits = results.where(F.col("rank") <= k).join(truth, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
     relevant = truth.groupBy("query_id").agg(F.count("*").alias("relevant"))
     return relevant.join(hits, "query_id", "left").select("query_id", "relevant", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("hits", F.lit(0)) / F.least(F.col("relevant"), F.lit(k))).alias("recall"))
+
+
+def recall_of_groups(results: DataFrame, members: DataFrame, asked: DataFrame, group: str, k: int) -> DataFrame:
+    """As ``recall_at_k``, where all members (id, group) of the group that a query (query_id, group) asks for are relevant: they are counted, not paired."""
+    known = results.where(F.col("rank") <= k).join(asked.select("query_id", group), "query_id")
+    hits = known.join(members.select("id", group), ["id", group], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
+    relevant = asked.select("query_id", group).join(members.groupBy(group).agg(F.count("*").alias("relevant")), group)
+    return relevant.join(hits, "query_id", "left").select("query_id", "relevant", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("hits", F.lit(0)) / F.least(F.col("relevant"), F.lit(k))).alias("recall"))

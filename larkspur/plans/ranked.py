@@ -263,7 +263,5 @@ SELECT n.query_id, relevant, count(t.id) AS hits, round(count(t.id) / least(rele
 def recall_at_k(spark, sf):
     asked = _queries(spark, sf).withColumn("one", F.lit(1)).select("query_id", "one", "embedding")
     found = R.vector_hits(kdocs(spark, sf).withColumn("one", F.lit(1)), asked, ["one"], 50).select("query_id", F.col("document_id").alias("id"), "rank")
-    truth = kdocs(spark, sf).select(F.col("document_id").alias("id"), "scope").join(R._queries(_queries(spark, sf).select("query_id", "scope")), "scope").select("query_id", "id")
-    return A.recall_at_k(found, truth, 50).select("query_id", "relevant", "hits", F.round("recall", 6).alias("recall"))
-
-
+    members = kdocs(spark, sf).select(F.col("document_id").alias("id"), "scope")
+    return A.recall_of_groups(found, members, _queries(spark, sf), "scope", 50).select("query_id", "relevant", "hits", F.round("recall", 6).alias("recall"))

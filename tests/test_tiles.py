@@ -71,3 +71,24 @@ def test_shared_channel_ranks_as_if_dealt_out(spark, method):
     both = {(r[0], r[1]) for r in hits.join(shared.hits().select("query_id", "restaurant_id"), ["query_id", "restaurant_id"]).select("query_id", "restaurant_id").collect()}
     alone = {tuple(r) for r in shared.alone(pool(hits)).select("query_id", "restaurant_id").collect()}
     assert both and alone == {tuple(r) for r in shared.hits().select("query_id", "restaurant_id").collect()} - both
+
+
+def test_recall_without_pairs(spark):
+    from larkspur.operators import rollups
+
+    members = spark.range(40).select("id", (F.col("id") % 3).alias("g"))
+    asked = spark.range(4).select(F.col("id").alias("query_id"), F.col("id").alias("g"))
+    results = asked.crossJoin(members.drop("g")).select("query_id", "id", F.pmod(F.xxhash64("query_id", "id"), F.lit(30)).alias("rank"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rollups.recall_of_groups(results, members, asked, "g", 12)
+    assert len(got.collect()) == 3 and rows(got) == rows(rollups.recall_at_k(results, members.join(asked, "g").select("query_id", "id"), 12))
+
+
+def test_equal_names_are_looked_up_once(spark, tmp_path):
+    from larkspur.operators import name_index
+
+    items = spark.range(50).select("id", F.concat(F.lit("fox "), (F.col("id") % 5).cast("string")).alias("name"), F.lit(None).cast("string").alias("address"))
+    index = name_index.build_name_index(items, str(tmp_path))
+    asked = spark.range(60).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "FOX").otherwise("x 3").alias("text"))
+    found = name_index.name_hits(spark, index, asked, 3)
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in found.collect()) == sorted((q, i, n + 1) for q in range(60) for n, i in enumerate([0, 1, 2] if q % 2 == 0 else [3, 8, 13]))
