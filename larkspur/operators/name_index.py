@@ -46,8 +46,13 @@ def name_hits(spark: SparkSession, index: NameIndex, queries: DataFrame, limit:
     """Items whose name or address holds a query's text: query_id, the item's columns, score, rank; by trigram similarity, then id.
 
     ``queries`` has query_id, text and what ``keep`` needs beside the item's columns; what it refuses takes no rank. Blank texts find nothing.
+    Queries that ask for the same are answered once.
     """
-    asked = queries.withColumn("_t", F.lower("text")).where(F.trim(F.coalesce("_t", F.lit(""))) != "")
+    same = [c for c in queries.columns if c not in ("query_id", "text")]
+    asking = queries.withColumn("_t", F.lower("text")).where(F.trim(F.coalesce("_t", F.lit(""))) != "").withColumn("_as", F.xxhash64("_t", *same))
+    # the first query that asks for it stands for all; equal requests are compared as such, not by their hash
+    asking = asking.withColumn("_first", F.min("query_id").over(Window.partitionBy("_as", "_t", *same))).drop("_as")
+    asked = asking.where("query_id = _first").drop("_first", "text").dropDuplicates(["query_id"])
     own = asked.select("query_id", F.explode(F.array_distinct(_runs(F.col("_t"), F.least(F.length("_t"), F.lit(3))))).alias("run")).select("query_id", "run", _bucket("run"))
     counts, postings, items = (spark.read.parquet(f"{index.path}/{name}") for name in ("counts", "postings", "items"))
     # a run that no item has is in no posting: its text is nowhere
@@ -59,7 +64,8 @@ def name_hits(spark: SparkSession, index: NameIndex, queries: DataFrame, limit:
     if keep is not None:
         scored = scored.where(F.coalesce(keep, F.lit(False)))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= limit).select("query_id", *items.columns, "score", "rank")
+    best = ranked.where(F.col("rank") <= limit).select(F.col("query_id").alias("_first"), *items.columns, "score", "rank")
+    return best.join(asking.select("query_id", "_first"), "_first").select("query_id", *items.columns, "score", "rank")
 
 
 def hinted() -> Column:
@@ -75,6 +81,7 @@ def resolve_in_index(spark: SparkSession, index: NameIndex, queries: DataFrame,
     Hints and the least similarity narrow what counts as a match before the two best are compared, so a
     near miss that a hint refuses makes no name ambiguous.
     """
-    found = name_hits(spark, index, queries, depth, hinted()).select("query_id", "id", "score")
+    # what a name is shows in its two best matches, so no more of the ``depth`` are ranked
+    found = name_hits(spark, index, queries, min(depth, 2), hinted()).select("query_id", "id", "score")
     none = queries.select("query_id").distinct().join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(None).cast(found.schema["id"].dataType).alias("id"), F.lit(None).cast("double").alias("score"))
     return resolve_names(found.unionByName(none), least, gap)
