@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import rating_prior
-from larkspur.functions.vector import similarity
 from larkspur.operators import ranking as R
+from larkspur.operators import tiles
 from larkspur.operators.recall import soft_reason
 from larkspur.session import stored
 
@@ -55,23 +55,33 @@ def _satisfies() -> Column:
 
 
 def structured_hits(places: DataFrame, asked: DataFrame, depth: int) -> DataFrame:
-    """Places that satisfy all conditions of a request; a request without a borough meets them by tenths of its rating, so each join has a key."""
-    some = asked.where(F.col("asked_borough").isNotNull() | F.col("asked_rating").isNotNull()).select("query_id", "asked_borough", "asked_rating")
+    """Places that satisfy all conditions of a request; equal conditions are met once. A request without a borough meets them by tenths of its rating, so each join has a key."""
+    asking = asked.where(F.col("asked_borough").isNotNull() | F.col("asked_rating").isNotNull()).select("query_id", "asked_borough", "asked_rating")
+    conditions = ["asked_borough", "asked_rating"]
+    some = asking.select(conditions).distinct()
     by_area = places.join(R._queries(some.where(F.col("asked_borough").isNotNull()).withColumn("borough", F.col("asked_borough"))), "borough")
     tenth = F.floor(F.col("asked_rating") * 10).cast("int")
     rated = some.where(F.col("asked_borough").isNull()).withColumn("_tenth", F.explode(F.sequence(tenth, F.greatest(tenth, F.lit(50)))))
     by_rating = places.withColumn("_tenth", F.floor(F.col("rating") * 10).cast("int")).join(R._queries(rated), "_tenth")
-    columns = ["query_id", "restaurant_id", "score", "borough", "rating", "is_active", "asked_borough", "asked_rating"]
-    met = by_area.select(columns).unionByName(by_rating.select(columns)).where(_satisfies()).withColumn("channel", F.lit("structured"))
-    return _best(met, depth, "restaurant_id", F.desc("score")).select("query_id", "channel", "restaurant_id", F.lit(1.0).alias("score"))
+    columns = ["restaurant_id", "score", "borough", "rating", "is_active", *conditions]
+    met = by_area.select(columns).unionByName(by_rating.select(columns)).where(_satisfies())
+    best = met.withColumn("_n", F.row_number().over(Window.partitionBy(conditions).orderBy(F.desc("score"), "restaurant_id"))).where(F.col("_n") <= depth).select("restaurant_id", F.col("asked_borough").alias("_area"), F.col("asked_rating").alias("_least"))
+    same = F.col("asked_borough").eqNullSafe(F.col("_area")) & F.col("asked_rating").eqNullSafe(F.col("_least"))
+    return best.join(asking, same).select("query_id", F.lit("structured").alias("channel"), "restaurant_id", F.lit(1.0).alias("score"))
+
+
+#: More than rounding to nine digits moves a score.
+_ROUNDED = 2e-9
 
 
 def semantic_hits(documents: DataFrame, asked: DataFrame, depth: int) -> DataFrame:
-    """Profiles (channel vector) and digests (channel review) nearest to a request's vector within its scope; the similarity is computed once for both."""
+    """Profiles (channel vector) and digests (channel review) nearest to a request's vector within its scope, in tiles of each kind."""
     live = documents.where(F.col("is_active") & F.col("doc_type").isin(PROFILE, DIGEST)).select("document_id", "restaurant_id", "scope", "doc_type", "embedding")
-    met = live.join(R._queries(asked.where(F.col("embedding").isNotNull()).select("query_id", "scope", F.col("embedding").alias("_q"))), "scope")
+    kinds = F.explode(F.array(F.lit(PROFILE), F.lit(DIGEST))).alias("doc_type")
+    wanted = asked.where(F.col("embedding").isNotNull()).select("query_id", "scope", F.col("embedding").alias("_q"), kinds)
+    met = tiles.nearest(live, wanted, ["scope", "doc_type"], depth, floor=0.0, blur=_ROUNDED, keep=("document_id", "restaurant_id", "doc_type"))
     channel = F.when(F.col("doc_type") == PROFILE, "vector").otherwise("review").alias("channel")
-    scored = met.select("query_id", channel, "restaurant_id", "document_id", F.round(similarity(F.col("embedding"), F.col("_q")), 9).alias("score")).where("score IS NOT NULL")
+    scored = met.select("query_id", channel, "restaurant_id", "document_id", F.round("score", 9).alias("score"))
     return _best(scored, depth, "document_id", F.desc("score")).drop("document_id")
 
 

@@ -85,7 +85,7 @@ def _scores(docs: np.ndarray, queries: np.ndarray, norms: np.ndarray, q_norms: n
     return score, some
 
 
-def _best(docs: pa.Table, queries: pa.Table, ids: str, limit: int, floor: float | None, group: str | None, fits: Fits | None) -> tuple[np.ndarray, ...]:
+def _best(docs: pa.Table, queries: pa.Table, ids: str, limit: int, floor: float | None, group: str | None, fits: Fits | None, blur: float = 0.0) -> tuple[np.ndarray, ...]:
     """(rows of documents, rows of queries, scores, whether there is one): the best ``limit`` documents of each query, or of each query and group."""
     order = np.empty(docs.num_rows, np.int64)
     order[pc.sort_indices(docs.column(ids)).to_numpy()] = np.arange(docs.num_rows)
@@ -131,7 +131,7 @@ def _best(docs: pa.Table, queries: pa.Table, ids: str, limit: int, floor: float
                 else:
                     if limit < len(line):
                         least = max(least, np.partition(line, len(line) - limit)[len(line) - limit])
-                    chosen = np.flatnonzero(always | ((line >= least - SLACK) & (line >= 0)))
+                    chosen = np.flatnonzero(always | ((line >= least - SLACK - blur) & (line >= 0)))
                 score, some = _scores(columns, q_columns, norms, q_norms, chosen, np.full(len(chosen), k))
                 if floor is not None:
                     some &= score >= floor
@@ -142,7 +142,12 @@ def _best(docs: pa.Table, queries: pa.Table, ids: str, limit: int, floor: float
                     g = groups[at][ranked]
                     ranked = ranked[np.r_[True, g[1:] != g[:-1]]] if len(ranked) else ranked
                 else:
-                    ranked = ranked[:limit]
+                    first = ranked[:limit]
+                    if blur and len(ranked) > limit:
+                        s = score[ranked]
+                        run = np.arange(len(s)) - np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], np.arange(len(s)), 0))  # place among equal ones
+                        first = ranked[(np.arange(len(s)) < limit) | ((s >= s[limit - 1] - blur) & (run < limit))]
+                    ranked = first
                 found.append((at[ranked], np.full(len(ranked), q), score[ranked], np.ones(len(ranked), bool)))
     if floor is None and silent.any():
         # pairs without a score stand last, by id
@@ -170,13 +175,14 @@ def _dealt(table: DataFrame, on: Sequence[str], by: Column, own: str, other: str
     return dealt.select(*[F.col(c).alias(c) for c in dealt.columns])  # columns of its own, where documents ask themselves
 
 
-def nearest(docs: DataFrame, queries: DataFrame, on: Sequence[str], limit: int = 1, floor: float | None = None, group: str | None = None, fits: Fits | None = None, by: str | None = None, keep: Sequence[str] = ("document_id", "restaurant_id")) -> DataFrame:
+def nearest(docs: DataFrame, queries: DataFrame, on: Sequence[str], limit: int = 1, floor: float | None = None, group: str | None = None, fits: Fits | None = None, by: str | None = None, blur: float = 0.0, keep: Sequence[str] = ("document_id", "restaurant_id")) -> DataFrame:
     """Candidates for the best documents of each query under its key: query_id, what ``keep`` names of the document, score.
 
     ``docs`` have document_id and embedding, ``queries`` query_id and _q, both the key. Of each tile the ``limit`` best of
     each query come, by similarity, then id (``group``: the best of each query and group), so the best of all are among them.
     Similarities below ``floor`` are left out; without one, documents without a similarity stand last. ``by``: what
-    decides a document's tile, if not its id.
+    decides a document's tile, if not its id. ``blur``: documents so little below the last of the ``limit`` come too, for
+    an order by rounded similarities.
     """
     ship(docs.sparkSession)
     count = lambda df, size, name: df.groupBy(*on).agg(F.ceil(F.count("*") / size).alias(name))
@@ -191,7 +197,7 @@ def nearest(docs: DataFrame, queries: DataFrame, on: Sequence[str], limit: int =
         if not mine.num_rows or not asking.num_rows:
             at, q, score, some = _best_of_none
         else:
-            at, q, score, some = _best(mine, asking, "document_id", limit, floor, group, fits)
+            at, q, score, some = _best(mine, asking, "document_id", limit, floor, group, fits, blur)
         scores = pa.array(score, pa.float64(), mask=~some)
         return pa.Table.from_arrays([asking.column("query_id").take(pa.array(q)), *[mine.column(c).take(pa.array(at)) for c in fields.values()], scores], ["query_id", *fields, "score"])
 
