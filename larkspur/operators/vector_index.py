@@ -14,12 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.vector import dot, similarity
+from larkspur.functions.vector import similarity
+from larkspur.operators import tiles
 from larkspur.operators.errors import MissingScope
 from larkspur.operators.ranking import _queries
 
@@ -57,6 +59,8 @@ def nearest_cells(vector: Column, centroids: np.ndarray, count: int) -> Column:
         if not len(vectors):
             return pd.Series([], dtype=object)
         scores = np.stack(vectors.to_numpy()).astype(float) @ table.T
+        if count == 1:
+            return pd.Series(list(np.argmax(scores, axis=1).astype(np.int32)[:, None]))
         return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :count].astype(np.int32)))
 
     return nearest(vector)
@@ -147,18 +151,35 @@ def index_hits(spark: SparkSession, index: VectorIndex, requests: DataFrame, lim
     """The nearest documents of each request: query_id, document_id, score, rank.
 
     Requests have query_id, scope, embedding and borough (null or empty: any). Each is sent to its ``probes``
-    nearest cells (None: as calibrated; ``exact``: to all) and meets only their rows: the join's keys are the
-    folders' columns, so folders that no request asks for are not read. Of each cell a request keeps ``limit`` rows
+    nearest cells (None: as calibrated; ``exact``: to all) and meets only their rows, in tiles that hold cells whole;
+    folders of cells that no request is sent to are not read. Of each tile a request keeps ``limit`` rows
     before they meet. Requests without a scope or a usable vector have no rows.
     """
     if not index.cells:
         return requests.select("query_id", F.lit(0).cast("long").alias("document_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     count = index.cells if exact else min(probes or index.probes, index.cells)
     asked = requests.where((F.coalesce("scope", F.lit("")) != "") & usable(F.col("embedding"), index.centroids.shape[1]))
-    asked = asked.select("query_id", "scope", F.nullif(F.col("borough"), F.lit("")).alias("_borough"), F.col("embedding").alias("_q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_norm"))
-    sent = _queries(asked.withColumn("cell", F.explode(nearest_cells(F.col("_q"), index.centroids, count))))
-    met = stored(spark, index).join(sent, ["scope", "cell"]).where(F.col("_borough").isNull() | (F.col("borough") == F.col("_borough")))
-    scored = met.select("query_id", "document_id", similarity(F.col("embedding"), F.col("_q")).alias("score"))
+    asked = asked.select("query_id", "scope", F.nullif(F.col("borough"), F.lit("")).alias("_borough"), F.col("embedding").alias("_q"))
+    held = stored(spark, index).select("document_id", "borough", "scope", "cell", "embedding")
+    if count < index.cells:
+        sent = asked.withColumn("_cells", nearest_cells(F.col("_q"), index.centroids, count))
+        # only the folders of cells that some request is sent to
+        held = held.join(_queries(sent.select("scope", F.explode("_cells").alias("cell")).distinct()), ["scope", "cell"], "left_semi")
+    else:
+        sent = asked.withColumn("_cells", F.lit(None).cast("array<int>"))
+
+    def fits(found: pa.Table, row: dict) -> np.ndarray:
+        out = np.ones(found.num_rows, bool)
+        if row["_cells"] is not None:
+            named = np.zeros(index_cells, bool)
+            named[row["_cells"]] = True
+            out &= named[found.column("cell").to_numpy()]
+        if row["_borough"] is not None:
+            out &= tiles.among(found.column("borough"), [row["_borough"]])
+        return out
+
+    index_cells = index.cells
+    scored = tiles.nearest(held, sent, ["scope"], limit, fits=fits, by="cell" if count < index.cells else None, keep=("document_id",))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))).where(F.col("rank") <= limit)
 
 
