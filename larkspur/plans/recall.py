@@ -113,8 +113,8 @@ SELECT query_id, count(*) AS found, count(*) FILTER (WHERE NOT known) AS unknown
 def detail_backfill(spark, sf):
     docs = knowledge(spark, sf)
     asked = docs.where("document_id % 20 = 0").select(F.col("document_id").alias("query_id"), "scope", "doc_type")
-    hits = docs.where("is_active").join(asked, ["scope", "doc_type"]).select("query_id", "restaurant_id")
-    return C.backfill(hits, places(spark, sf).where("is_active").select("restaurant_id", "name", "address", "rating"), F.col("rating") >= 2.0)[1]
+    details = places(spark, sf).where("is_active").select("restaurant_id", "name", "address", "rating")
+    return C.backfill_counts(docs.where("is_active"), asked, ["scope", "doc_type"], details, F.col("rating") >= 2.0)
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role AS topic, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM conversations), c AS (SELECT conv_id, turn, topic, coalesce(w[1], '') AS a, coalesce(w[2], '') AS b, coalesce(w[3], '') AS question FROM t),

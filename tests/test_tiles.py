@@ -92,3 +92,14 @@ def test_equal_names_are_looked_up_once(spark, tmp_path):
     asked = spark.range(60).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "FOX").otherwise("x 3").alias("text"))
     found = name_index.name_hits(spark, index, asked, 3)
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in found.collect()) == sorted((q, i, n + 1) for q in range(60) for n, i in enumerate([0, 1, 2] if q % 2 == 0 else [3, 8, 13]))
+
+
+def test_backfill_counts_without_pairs(spark):
+    from larkspur.operators import recall
+
+    members = spark.range(90).select((F.col("id") % 4).alias("g"), F.when(F.col("id") % 7 != 0, F.col("id") % 11).alias("restaurant_id"))
+    asked = spark.range(6).select(F.col("id").alias("query_id"), (F.col("id") % 5).alias("g"))
+    details = spark.range(8).select(F.col("id").alias("restaurant_id"), F.when(F.col("id") % 3 != 0, F.col("id") / 2.0).alias("rating"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = recall.backfill_counts(members, asked, ["g"], details, F.col("rating") >= 2.0)
+    assert rows(got) == rows(recall.backfill(members.join(asked, "g").select("query_id", "restaurant_id"), details, F.col("rating") >= 2.0)[1])
