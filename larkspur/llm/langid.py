@@ -168,15 +168,16 @@ def _learnable(labelled: DataFrame) -> DataFrame:
 
 
 def fit_bounds(labelled: DataFrame, profiles: Profiles) -> dict[str, float]:
-    """The least closeness of each learned language, from the rows that its profile was fitted on."""
+    """The least closeness of each learned language, from all rows that have one."""
     settings = profiles.settings
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             found = [profiles.predict(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
+        rest_worker()
 
-    scores = _sampled(_learnable(labelled), settings).mapInArrow(run, "lang string, score double").where(F.col("lang") != UND)
+    scores = _learnable(labelled).select("text").mapInArrow(run, "lang string, score double").where(F.col("lang") != UND)
     return {r["lang"]: settings.reject * r["low"] for r in scores.groupBy("lang").agg(F.percentile("score", F.lit(settings.outliers)).alias("low")).collect()}
 
 
