@@ -78,20 +78,32 @@ def digest_answer(raw: Column, offered: Column) -> Column:
 
     The content passes the text gate; the ids are some, all offered, and come back sorted, each once.
     """
-    known = ("content", "source_review_ids")
-    body = F.trim(raw)
-    parsed = F.from_json(body, "content string, source_review_ids array<bigint>", {"mode": "PERMISSIVE"})
-    fields = F.json_object_keys(body)
-    # the keys of what follows a first object would be lost, so the text must be no longer than its one object
-    whole = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")
-    content, ids = F.trim(parsed["content"]), parsed["source_review_ids"]
-    problems = text_problems(F.coalesce(content, F.lit("")))
-    problem = (
-        F.when(fields.isNull() | ~body.startswith("{"), "not_an_object").when(F.size(F.coalesce(whole, F.array().cast("array<string>"))) != 1, "not_one_object").when(F.size(F.array_except(fields, F.array(*map(F.lit, known)))) > 0, "unknown_field")
-        .when(F.size(problems) > 0, F.get(problems, F.lit(0))).when(F.coalesce(F.size(ids), F.lit(0)) <= 0, "no_ids").when(F.size(F.array_except(ids, offered)) > 0, "id_not_offered")
-    )
-    good = problem.isNull()
-    return F.struct(F.when(good, content).alias("content"), F.when(good, F.array_sort(F.array_distinct(ids))).alias("ids"), problem.alias("problem"))
+    known = F.array(F.lit("content"), F.lit("source_review_ids"))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  so that a value used in many places is computed once
+
+    def read(body: Column) -> Column:
+        parsed = F.from_json(body, "content string, source_review_ids array<bigint>", {"mode": "PERMISSIVE"})
+        # the keys of what follows a first object would be lost, so the text must be no longer than its one object
+        whole = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")
+        return F.struct(parsed.alias("parsed"), F.json_object_keys(body).alias("fields"), F.coalesce(F.size(F.coalesce(whole, F.array().cast("array<string>"))), F.lit(0)).alias("count"), body.startswith("{").alias("opens"))
+
+    def said(p: Column) -> Column:
+        content = F.trim(p["parsed"]["content"])
+        return F.struct(content.alias("content"), p["parsed"]["source_review_ids"].alias("ids"), F.get(once(F.coalesce(content, F.lit("")), text_problems), F.lit(0)).alias("first"), p["fields"].alias("fields"), p["count"].alias("count"), p["opens"].alias("opens"))
+
+    def judged(p: Column) -> Column:
+        ids = p["ids"]
+        problem = (
+            F.when(p["fields"].isNull() | ~p["opens"], "not_an_object").when(p["count"] != 1, "not_one_object").when(F.size(F.array_except(p["fields"], known)) > 0, "unknown_field")
+            .when(p["first"].isNotNull(), p["first"]).when(F.coalesce(F.size(ids), F.lit(0)) <= 0, "no_ids").when(F.size(F.array_except(ids, offered)) > 0, "id_not_offered")
+        )
+        return F.struct(p.alias("p"), problem.alias("problem"))
+
+    def told(j: Column) -> Column:
+        good = j["problem"].isNull()
+        return F.struct(F.when(good, j["p"]["content"]).alias("content"), F.when(good, F.array_sort(F.array_distinct(j["p"]["ids"]))).alias("ids"), j["problem"].alias("problem"))
+
+    return once(once(once(once(F.trim(raw), read), said), judged), told)
 
 
 def embedded_counts(places: DataFrame, documents: DataFrame) -> DataFrame:

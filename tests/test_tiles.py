@@ -103,3 +103,14 @@ def test_backfill_counts_without_pairs(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     got = recall.backfill_counts(members, asked, ["g"], details, F.col("rating") >= 2.0)
     assert rows(got) == rows(recall.backfill(members.join(asked, "g").select("query_id", "restaurant_id"), details, F.col("rating") >= 2.0)[1])
+
+
+def test_digest_answers_are_parsed_once(spark):
+    from larkspur.operators import records
+
+    text = "a" * 200
+    rows = [(f' {{"content": " {text} ", "source_review_ids": [3, 1, 3]}} ',), ("[1]",), (None,), (f'{{"content": "{text}", "source_review_ids": [9]}}',), ("{} {}",)]
+    raw = spark.createDataFrame(rows, "raw string")
+    done = raw.select(records.digest_answer(F.col("raw"), F.array(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("a"))
+    assert [(r["a"]["problem"], r["a"]["ids"]) for r in done.collect()] == [(None, [1, 3]), ("not_an_object", None), ("not_an_object", None), ("id_not_offered", None), ("not_one_object", None)]
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 2
