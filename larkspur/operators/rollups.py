@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import significant_words, topics
+from larkspur.functions.text import TOPICS, cut_words, is_significant, significant_words, topics
 
 
 def review_rollup(reviews: DataFrame) -> DataFrame:
@@ -69,14 +69,17 @@ def _most_frequent(counts: DataFrame, keys: Sequence[str], limit: int) -> DataFr
 def topic_keywords(texts: DataFrame, limit: int) -> DataFrame:
     """restaurant_id, topic and keywords: the most frequent significant words of the texts of each place and topic, an array of at most ``limit``.
 
-    A text is cut into words once, whatever the number of its topics: words are counted by the set of topics first, and
-    only these counts are dealt out to the topics.
+    A text is cut into words once, whatever the number of its topics. A word of a place is one row with a count for each
+    topic, so that what is shuffled grows with the words of places, not with their topics; the counts are dealt out to topics after that.
     """
-    tagged = texts.select("restaurant_id", "text", topics(F.col("text")).alias("topics"))  # before the words are dealt out: beside them it would be computed for each
-    words = tagged.select("restaurant_id", "topics", F.explode(significant_words(F.col("text"))).alias("word"))
-    by_set = words.groupBy("restaurant_id", "topics", "word").agg(F.count("*").alias("n"))
-    counts = by_set.select("restaurant_id", F.explode("topics").alias("topic"), "word", "n").groupBy("restaurant_id", "topic", "word").agg(F.sum("n").alias("n"))
-    best = _most_frequent(counts, ["restaurant_id", "topic"], limit)
+    names = sorted(TOPICS)
+    tagged = texts.select("restaurant_id", "text", topics(F.col("text")).alias("_topics"))
+    flags = tagged.select("restaurant_id", *[F.array_contains("_topics", name).alias(name) for name in names], F.when(F.size("_topics") > 0, cut_words(F.col("text"))).alias("_words"))
+    # explode of a column makes Spark filter by its size first, and that filter is pushed down to the texts and finds the topics twice more
+    words = flags.select("restaurant_id", *names, F.explode_outer("_words").alias("word")).where(is_significant(F.col("word")))
+    counts = words.groupBy("restaurant_id", "word").agg(*[F.count_if(F.col(name)).alias(name) for name in names])
+    each = F.array(*[F.struct(F.lit(name).alias("topic"), F.col(name).alias("n")) for name in names])
+    best = _most_frequent(counts.select("restaurant_id", "word", F.inline(each)).where("n > 0"), ["restaurant_id", "topic"], limit)
     return best.groupBy("restaurant_id", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
 
 
