@@ -44,3 +44,10 @@ def test_words_are_dealt_out_to_topics_after_the_shuffle(texts):
     plan = rollups.topic_keywords(texts, 3)._jdf.queryExecution().optimizedPlan().toString()
     counted = [line for line in plan.split("\n") if "Aggregate [" in line][-1]  # the lowest one, next to the input
     assert counted.split("Aggregate [")[1].split("]")[0].count("#") == 2  # place and word
+
+
+def test_the_digest_cuts_a_text_once_for_each_reading(spark):
+    from larkspur.plans import catalogue
+
+    plan = catalogue.queries()["rules_digest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 3  # topics for the rollup, topics and words for the keywords
