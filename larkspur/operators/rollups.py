@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-from larkspur.functions.text import TOPICS, cut_words, is_significant, significant_words, topics
+from larkspur.functions.text import TOPICS, cut_alike, cut_words, is_significant, known_words, significant_words, topic_cut, topics, topics_told, word_cut
+from larkspur.session import ship
+
+#: Places whose counts a task keeps in mind while it looks for the leading words.
+PLACES_KNOWN = 1 << 16
 
 
 def review_rollup(reviews: DataFrame) -> DataFrame:
@@ -78,11 +86,86 @@ def topic_keywords(texts: DataFrame, limit: int) -> DataFrame:
     # explode of a column makes Spark filter by its size first, and that filter is pushed down to the texts and finds the topics twice more
     words = flags.select("restaurant_id", *names, F.explode_outer("_words").alias("word")).where(is_significant(F.col("word")))
     counts = words.groupBy("restaurant_id", "word").agg(*[F.count_if(F.col(name)).alias(name) for name in names])
-    each = F.array(*[F.struct(F.lit(name).alias("topic"), F.col(name).alias("n")) for name in names])
-    best = _most_frequent(counts.select("restaurant_id", "word", F.inline(each)).where("n > 0"), ["restaurant_id", "topic"], limit)
+    best = _most_frequent(_leading(counts, names, limit), ["restaurant_id", "topic"], limit)
     return best.groupBy("restaurant_id", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
 
 
+def topic_figures(texts: DataFrame, limit: int) -> DataFrame:
+    """``topic_rollup`` with the column keywords of ``topic_keywords`` (null where a topic has none), from one reading of the texts' topics and words.
+
+    Beside its words each text counts as a row without a word but with its rating, so the same shuffle brings both; as many of them come out of it
+    as a place has ratings. A text that both rules cut alike is cut once for both. Each step is a column of its own, not a bound variable: those copy their arrays.
+    """
+    names = sorted(TOPICS)
+    low, word, itself = F.col("_low"), F.col("word"), F.array(F.lit(None).cast("string"))
+    read = texts.select("restaurant_id", "rating", F.lower(F.coalesce("text", F.lit(""))).alias("_low"))
+    read = read.select("*", cut_alike(low).alias("_alike"))
+    read = read.select("*", F.when(F.col("_alike"), topic_cut(low)).otherwise(word_cut(low)).alias("_words"))
+    read = read.select("*", known_words(F.when(F.col("_alike"), F.col("_words")).otherwise(topic_cut(low))).alias("_known"))
+    told = read.select("restaurant_id", "rating", "_words", topics_told(low, F.col("_known")).alias("_topics"))
+    flags = told.select("restaurant_id", "rating", *[F.array_contains("_topics", name).alias(name) for name in names], F.when(F.size("_topics") > 0, F.concat(itself, "_words")).alias("_words"))
+    words = flags.select("restaurant_id", *names, F.explode_outer("_words").alias("word"), "rating").where(word.isNull() | is_significant(word))
+    counts = words.groupBy("restaurant_id", "word", F.when(word.isNull(), F.col("rating")).alias("rating")).agg(*[F.count_if(F.col(name)).alias(name) for name in names])
+    leading = _leading(counts, names, limit)
+    of_kind = Window.partitionBy("restaurant_id", "topic", word.isNull()).orderBy(F.col("n").desc(), "word")
+    ranked = leading.withColumn("rank", F.row_number().over(of_kind)).where(word.isNull() | (F.col("rank") <= limit))
+    n = F.when(word.isNull(), F.col("n"))
+    rated = F.sum(F.when(F.col("rating").isNotNull(), n))
+    listed = F.array_sort(F.collect_list(F.when(word.isNotNull(), F.struct("rank", "word"))))
+    per = ranked.groupBy("restaurant_id", "topic").agg(
+        F.sum(n).alias("n"), (F.sum(F.col("rating") * n) / rated).alias("mean_rating"), (F.sum(F.when(F.col("rating") >= 4, n).when(F.col("rating").isNotNull(), n * 0)) / rated).alias("positive_ratio"),
+        F.transform(listed, lambda x: x["word"]).alias("_listed"),
+    )
+    means = texts.groupBy(F.col("restaurant_id").alias("_place")).agg(F.count("*").alias("_texts"), F.avg("rating").alias("place_mean"))
+    joined = per.join(means, F.col("restaurant_id").eqNullSafe(F.col("_place")), "left")
+    figures = ["restaurant_id", "topic", "n", "mean_rating", "positive_ratio", (F.col("mean_rating") - F.col("place_mean")).alias("sentiment")]
+    return joined.select(*figures, F.when(F.size("_listed") > 0, F.col("_listed")).alias("keywords"))
+
+
+def _leading(counts: DataFrame, names: Sequence[str], limit: int) -> DataFrame:
+    """The counts by restaurant_id and word dealt out to topics, as topic and n, without most words that ``limit`` others of their place and topic precede.
+
+    ``counts`` has a column of counts for each topic; rows without a word all stay. What a task drops is preceded among its own rows,
+    so the first ``limit`` of all are never dropped, and the words of places need no sort.
+    """
+    ship(counts.sparkSession)
+    kept = [f for f in counts.schema.fields if f.name not in names]
+    return counts.mapInArrow(_leaders(list(names), [f.name for f in kept], limit), S.StructType([*kept, S.StructField("topic", S.StringType()), S.StructField("n", S.LongType())]))
+
+
+def _leaders(names: list[str], kept: list[str], limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: of each batch the first ``limit`` words of a place and topic, but none that is rarer than ``limit`` of an earlier batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors: dict = {}  # of a place: by topic the least count with which a word may lead
+        for batch in batches:
+            coded = batch.column("restaurant_id").dictionary_encode(null_encoding="encode")
+            places, place = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            floor = np.array([floors.get(p, (1,) * len(names)) for p in places], np.int64).reshape(-1, len(names))
+            bare = batch.column("word").is_null().to_numpy(zero_copy_only=False)
+            taken, counts = [], []
+            for t, name in enumerate(names):
+                n = batch.column(name).to_numpy(zero_copy_only=False)
+                rows = np.flatnonzero(~bare & (n >= floor[place, t]))
+                table = pa.table({"place": place[rows], "n": n[rows], "word": batch.column("word").take(pa.array(rows))})
+                rows = rows[pc.sort_indices(table, [("place", "ascending"), ("n", "descending"), ("word", "ascending")]).to_numpy()]
+                at = np.arange(len(rows))
+                rank = at - np.maximum.accumulate(np.where(np.diff(place[rows], prepend=-1) != 0, at, 0))
+                last = rows[rank == limit - 1]
+                floor[place[last], t] = n[last]
+                rows = np.concatenate([rows[rank < limit], np.flatnonzero(bare & (n > 0))])
+                taken.append(rows)
+                counts.append(n[rows])
+            if len(floors) + len(places) > PLACES_KNOWN:
+                floors.clear()
+            floors.update(zip(places, floor.tolist()))
+            rows = pa.array(np.concatenate(taken))
+            topic = pa.array(np.repeat(names, [len(x) for x in taken]).tolist(), pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in kept], topic, pa.array(np.concatenate(counts))], [*kept, "topic", "n"])
+
+    return run
+
+
 def coverage(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """How many known keys have rows, how many are known, and the one's share of the other (0 where none is known)."""
     covered = rows.select(key).distinct().join(known.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("covered"))

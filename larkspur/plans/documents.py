@@ -82,5 +82,4 @@ SELECT restaurant_id, concat_ws(chr(10), name || ' review comprehension (offline
 FROM places JOIN mean USING (restaurant_id) JOIN ps USING (restaurant_id) LEFT JOIN ln USING (restaurant_id)""")
 def rules_digest(spark, sf):
     rows = texts(spark, sf).select(F.col("doc_id").alias("id"), "restaurant_id", "rating", "text", F.col("doc_id").alias("reviewed_at")).where(F.trim("text") != "")
-    stats = A.topic_rollup(rows).join(A.topic_keywords(rows, 3), ["restaurant_id", "topic"], "left")
-    return D.rules_digest(places(spark, sf).withColumnRenamed("cuisines", "cuisine_tags"), rows, E.representative(rows), stats)
+    return D.rules_digest(places(spark, sf).withColumnRenamed("cuisines", "cuisine_tags"), rows, E.representative(rows), A.topic_figures(rows, 3))
